@@ -31,6 +31,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like :func:`cut`, in buckets of the key, which later joins and groups by the key need not shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/failscope-{spark.sparkContext.applicationId}/{table}"
+    df.write.bucketBy(width(spark), key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions to deal keys over."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

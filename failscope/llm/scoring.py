@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bucketed
 
 #: Longest n-gram, and the factor of each step back.
 ORDER, BACKOFF = 3, 0.4
 #: Words of a chunk of documents, and n-grams of one part of a count table, about.
-CHUNK_WORDS, PART_KEYS = 1_000_000, 2_000_000
+CHUNK_WORDS, PART_KEYS = 2_000_000, 2_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,7 +58,8 @@ def _unpacked(raw: bytes, dtype: str) -> np.ndarray:
 
 def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(chunk, ids, lengths, vocabulary, tokens, n): documents in chunks of about so many words, as numbered words. It is
-    written once, so the chunks stay as they are whatever is run again."""
+    written once, so the chunks stay as they are whatever is run again, and in buckets of the chunk, so that the totals
+    come to where the chunks are and the chunks are not shuffled."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +84,7 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
             yield flush()
 
     schema = "chunk string, ids array<bigint>, lengths array<bigint>, vocabulary binary, tokens binary, n bigint"
-    return cut(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, schema), "chunks")
+    return bucketed(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, schema), "chunk", "chunks")
 
 
 def _distinct(vocabulary: bytes, tokens: bytes, lengths, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
