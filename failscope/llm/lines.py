@@ -1,53 +1,181 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame functions only."""
+"""Fuzzy line deduplication by MinHash.
+
+Signatures and the exact comparison run in numpy inside tasks; Spark splits, shuffles and joins. (The first form, with
+DataFrame functions only, could not meet the limits; see the README for its figures.)
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
 
 #: Characters of a shingle and the least Jaccard similarity of two linked lines.
 SHINGLE, SIMILARITY = 8, 0.8
-#: Consecutive signature values of a band. Bands begin in each of 16 equal ranges of hash values.
-BAND_ROWS = 4
-
-
-def normal(line: Column) -> Column:
-    """A line as it is compared: without spaces, tabs and carriage returns at its ends."""
-    return F.btrim(line, F.lit(" \t\r"))
-
-
-def shingles(text: Column, k: int = SHINGLE) -> Column:
-    """All k-character shingles (repeats included); a shorter text is its own shingle.
+#: Bands of a signature and values of a band: at similarity s a pair shares a band with chance 1 - (1 - s^ROWS)^BANDS,
+#: 0.995 at 0.8.
+BANDS, ROWS = 10, 4
+#: Characters that are hashed at once.
+CHARS = 1 << 20
+#: Bits of the filter by which texts are left out before they are shuffled (a fixed size; full, it lets all pass).
+FILTER_BITS = 1 << 26
+LAST = (1 << 63) - 1
+
+_RNG = np.random.default_rng(20)
+_FACTORS = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_OFFSETS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all k-character shingles of the lines (none empty), and where each line's begin. A shorter line
+    is its own shingle."""
+    lengths = np.array([len(t) for t in lines])
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(lengths)
+    if len(chars) < k:
+        chars = np.r_[chars, np.zeros(k - len(chars), np.uint64)]
+    h = np.zeros(len(chars) - k + 1, np.uint64)
+    for i in range(k):
+        h *= np.uint64(_BASE)
+        h += chars[i : i + len(h)]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    short = np.uint64(0xD6E8FEB86659FD93)
+    counts = np.maximum(lengths - k + 1, 1)
+    starts = np.cumsum(counts) - counts
+    at = np.arange(int(counts.sum())) - np.repeat(starts, counts) + np.repeat(ends - lengths, counts)
+    out = h[np.minimum(at, len(h) - 1)]
+    for i in np.flatnonzero(lengths < k):  # by its own characters alone
+        own = np.uint64(lengths[i])
+        for c in chars[ends[i] - lengths[i] : ends[i]]:
+            own = (own * np.uint64(_BASE) + c) * short
+        out[starts[i]] = own
+    return (out >> np.uint64(32)).astype(np.uint32), starts
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS) keys: MinHash values of the shingles, ROWS to a band."""
+    with np.errstate(over="ignore"):
+        h, starts = shingle_hashes(lines)
+        keys = np.zeros((len(lines), BANDS), np.uint64)
+        for b in range(BANDS):
+            keys[:, b] = b + 1
+            for r in range(b * ROWS, (b + 1) * ROWS):
+                keys[:, b] = (keys[:, b] ^ np.minimum.reduceat(h * _FACTORS[r] + _OFFSETS[r], starts)) * np.uint64(_BASE)
+                keys[:, b] ^= keys[:, b] >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def split_lines(batch: pd.DataFrame) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Parts of about CHARS characters: document (null: LAST), number from 0 and stripped line of every line that is not
+    blank. Lines are compared without spaces, tabs and carriage returns at their ends."""
+    docs, numbers, lines, size = [], [], [], 0
+    for doc, text in zip(batch["doc_id"].astype("Int64").fillna(LAST).tolist(), batch["text"]):
+        if not isinstance(text, str):
+            continue
+        for n, line in enumerate(text.split("\n")):
+            if line := line.strip(" \t\r"):
+                docs.append(doc)
+                numbers.append(n)
+                lines.append(line)
+                size += len(line)
+        if size >= CHARS:
+            yield docs, numbers, lines
+            docs, numbers, lines, size = [], [], [], 0
+    if lines:
+        yield docs, numbers, lines
+
+
+def line_keys(lines: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in lines], np.uint64).view(np.int64)
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """(node, doc, line, bands) of every line that is not blank."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, line, texts in split_lines(b):
+                yield pd.DataFrame({"node": line_keys(texts), "doc": doc, "line": line, "bands": list(band_keys(texts))})
+
+    return docs.mapInPandas(run, "node bigint, doc bigint, line int, bands array<bigint>")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, line_no, node) of every line; node is null where it is blank."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            doc, number, node = [], [], []
+            for d, text in zip(b["doc_id"].astype("Int64").fillna(LAST).tolist(), b["text"]):
+                if isinstance(text, str):
+                    own = [t.strip(" \t\r") for t in text.split("\n")]
+                    doc += [d] * len(own)
+                    number += range(len(own))
+                    node += [int(k) if t else None for t, k in zip(own, line_keys(own))]
+            yield pd.DataFrame({"doc": doc, "line_no": number, "node": pd.array(node, "Int64")})
+
+    out = docs.mapInPandas(run, "doc bigint, line_no int, node bigint")
+    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "doc", "line_no", "node")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted (node, place). Lines that cannot be wanted are dropped before the shuffle by a filter of
+    a fixed number of bits, which is all that comes to the driver."""
+    bit = F.pmod(F.col("node"), F.lit(FILTER_BITS))
+    bits = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(node, 64) as int))")).alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        for b in batches:
+            for doc, line, texts in split_lines(b):
+                node = line_keys(texts)
+                at = node % FILTER_BITS
+                hit = (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                yield pd.DataFrame({"node": node, "doc": doc, "line": line, "text": texts})[hit]
+
+    found = docs.mapInPandas(run, "node bigint, doc bigint, line int, text string")
+    place = F.struct(F.col("doc"), F.col("line"))
+    found = found.select("node", place.alias("place"), "text").join(wanted, ["node", "place"])
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
+def similar(a: str, b: str, similarity: float, k: int = SHINGLE) -> bool:
+    """Whether the shingle sets have at least this Jaccard similarity, exactly."""
+    x, y = _shingles(a, k), _shingles(b, k)
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(x & y)
+    return common >= similarity * (len(x) + len(y) - common)
+
+
+@lru_cache(maxsize=256)
+def _shingles(text: str, k: int) -> frozenset:
+    return frozenset(text[i : i + k] for i in range(len(text) - k + 1)) or frozenset((text,))
 
-    Each offset is cut into steps of k characters, so the text is walked k times, not once for every shingle.
-    """
-    steps = [F.regexp_extract_all(F.substring(text, o + 1, 1 << 30) if o else text, F.lit(f"(?s).{{{k}}}"), F.lit(0)) for o in range(k)]
-    return F.when(F.length(text) < k, F.array(text)).otherwise(F.concat(*steps))
-
-
-def bands(rows: int = BAND_ROWS) -> Column:
-    """Band keys of a line: a MinHash signature is the sorted hashes of its shingles; a band is ``rows`` consecutive
-    values from the first in each of 16 ranges, around the end. Two lines share a band with about similarity ** rows, so
-    at 0.8 and 16 bands all but one in 5,000 pairs share one; short lines fill fewer ranges and miss about one in 100."""
-    at = F.filter(F.transform("_h", lambda x, i: F.when((i == 0) | (F.shiftright(x, 60) != F.shiftright(F.element_at("_h", F.greatest(i, F.lit(1))), 60)), i + 1)), lambda i: i.isNotNull())
-    return F.transform(at, lambda i: F.xxhash64(F.slice("_ring", i, rows), F.shiftright(F.element_at("_h", i), 60)))
 
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes that are similar."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 0, line) of every text; null texts have no line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            keep = [similar(x, y, similarity) for x, y in zip(p["ta"], p["tb"])]
+            yield p.loc[np.array(keep, bool), ["a", "b"]]
 
-def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose shingle sets have at least this Jaccard similarity, exactly."""
-    sets = texts.select("node", F.array_distinct(shingles(F.col("text"))).alias("s"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    both = both.where(small >= similarity * large)  # else their union alone is too large
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.mapInPandas(run, "a bigint, b bigint")
 
 
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -63,13 +191,9 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Blank lines are kept and stand alone (component null), null texts have no line, an empty text has one blank line.
     A null doc_id counts as the last. Repeated rows: equal places share ``kept``. Empty input: no rows.
     """
-    lines = split_lines(docs).withColumn("_t", normal(F.col("line"))).withColumn("node", F.xxhash64("_t"))
-    lines = lines.withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)))
-    full = lines.where("_t <> ''")
-    signed = full.withColumn("_h", F.array_distinct(F.sort_array(F.transform(shingles(F.col("_t")), lambda s: F.xxhash64(s)))))
-    signed = signed.withColumn("_ring", F.concat("_h", F.slice("_h", 1, BAND_ROWS - 1)))
-    place = F.struct(F.col("_doc").alias("doc"), F.col("line_no").alias("line"))
-    signed = signed.select("node", place.alias("place"), bands().alias("bands"))
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    place = F.struct(F.col("doc"), F.col("line"))
+    signed = _signed(docs).select("node", place.alias("place"), "bands")
     classes = cut(signed.groupBy("node").agg(F.min("place").alias("place"), F.first("bands").alias("bands")), "lines")
 
     in_band = classes.select("node", F.explode("bands").alias("band"))
@@ -78,9 +202,7 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     star = live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     star = cut(star, "pairs")
     wanted = live.select("node").distinct().join(classes.select("node", "place"), "node")
-    texts = full.withColumn("place", place).select(F.col("node").alias("_n"), "place", F.col("_t").alias("text"))
-    texts = texts.join(wanted, "place").where("_n = node").select("node", "text").dropDuplicates(["node"])
-    texts = cut(texts, "texts")
+    texts = cut(_texts(docs, wanted), "texts")
     links = cut(_similar(star, texts, similarity), "links")
     first = components(links)
 
@@ -102,10 +224,9 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     kept = firsts.groupBy("root").agg(F.min("place").alias("keeper"))
     keeper = classes.select("node", "place").join(firsts.select("node", "root").join(kept, "root").select("node", "keeper"), "node", "left")
     keeper = keeper.select("node", F.coalesce("keeper", "place").alias("keeper"))
-    out = lines.select("doc_id", "_doc", "line_no", F.col("_t").eqNullSafe("").alias("blank"), F.when(F.col("_t") != "", F.col("node")).alias("node"))
-    out = out.join(keeper, "node", "left")
-    mine = (F.col("keeper.doc") == F.col("_doc")) & (F.col("keeper.line") == F.col("line_no"))
-    named_doc = F.when(F.col("keeper.doc") < (1 << 63) - 1, F.col("keeper.doc"))
+    out = _numbered(docs).join(keeper, "node", "left").withColumn("blank", F.col("node").isNull())
+    mine = (F.col("keeper.doc") == F.col("doc")) & (F.col("keeper.line") == F.col("line_no"))
+    named_doc = F.when(F.col("keeper.doc") < LAST, F.col("keeper.doc"))
     return out.select("doc_id", "line_no", "blank", named_doc.alias("component_doc"), F.col("keeper.line").alias("component_line"), (F.col("blank") | mine).alias("kept"))
 
 
