@@ -9,6 +9,7 @@ from ..operators import causal as cs
 from ..operators import drift as dr
 from ..operators import evaluation as ev
 from ..operators import fairness as fa
+from ..operators import prep as pr
 from ..operators import stats as st
 from ..sources.views import load, table, text
 
@@ -192,6 +193,18 @@ def _folds(d):
 _SQL["vs3_stratified_folds"] = f"select row_id, cast((row_number() over (partition by y_true order by h, row_id)-1) % 5 as integer) fold from (select row_id, y_true, md5(concat(cast(row_id as string), ':f')) h from ({text('scored')}))"
 
 
+_add("pr7_label_codes", "treat", lambda d: pr.label_codes(d, "stratum"), "select row_id, cast(dense_rank() over (order by stratum)-1 as integer) code from {v}")
+_add("pr8_mean_fill", "gaps", lambda d: pr.mean_fill(d, ["acctbal", "nation"]), "select row_id, round(coalesce(acctbal,(select avg(acctbal) from {v})),6) acctbal, round(coalesce(nation,(select avg(nation) from {v})),6) nation from {v}")
+_add("pr9_standardise", "treat", lambda d: pr.standardise(d, ["x1"], F.col("post") == 0), "select row_id, round((x1-(select avg(x1) from {v} where post=0))/(select stddev_samp(x1) from {v} where post=0),6) x1 from {v}")
+_add("pr13_indicators", "gaps", lambda d: pr.indicators(d, ["acctbal", "y", "balance"]), "select row_id, case when acctbal is null then 1 else 0 end is_missing_acctbal, case when balance is null then 1 else 0 end is_missing_balance from {v}")
+_add("vs13_label_check", "multi", lambda d: pr.label_check(d, "y_true", [0, 1]), "select y_true as label, count(*) n, round(count(*)/cast(sum(count(*)) over () as double),6) share, y_true in (0,1) expected, count(*)/cast(sum(count(*)) over () as double)<0.05 minority from {v} group by 1")
+_add("lk2_ranked_correlation", "treat", lambda d: pr.ranked_correlation(d, ["t", "x1", "x2"], "y"), "select feature, round(r,6) r, cast(row_number() over (order by r desc) as integer) as rank, r>0.9 suspect from (select 't' feature, abs(corr(t,y)) r from {v} union all select 'x1', abs(corr(x1,y)) from {v} union all select 'x2', abs(corr(x2,y)) from {v})")
+_add("uq2_prediction_sets", "multi", lambda d: pr.prediction_sets(d, P3, "y_true"), """with s as (select *, 1-(case y_true when 0 then p0 when 1 then p1 else p2 end) score from {v}), q as (select score q from (select score, row_number() over (order by score)-1 i, count(*) over () n from s) where i=least(cast(floor(0.9*n) as bigint),n-1))
+    select round(max(q),6) q, round(avg(case when score<=q+1e-12 then 1e0 else 0e0 end),6) coverage, round(avg((case when p0>=1-q-1e-12 then 1 else 0 end)+(case when p1>=1-q-1e-12 then 1 else 0 end)+(case when p2>=1-q-1e-12 then 1 else 0 end)),6) mean_size from s, q""")
+_add("ht14_cohens_h", "scored2", lambda d: pr.cohens_h(d, "y_pred", "segment", "BUILDING", "MACHINERY"), "select round(a,6) p1, round(b,6) p2, round(2*asin(sqrt(a))-2*asin(sqrt(b)),6) h from (select avg(cast(y_pred as double)) filter (segment='BUILDING') a, avg(cast(y_pred as double)) filter (segment='MACHINERY') b from {v})")
+_add("gv3_input_checks", "scored", lambda d: pr.input_checks(d, "y_true", "y_prob"), "select count(*) filter (y_true not in (0,1)) bad_labels, count(*) filter (y_prob<0 or y_prob>1) bad_probs, count(*) n, count(*)<30 too_few from {v}")
+
+
 def flagship(spark, sf_dir):
     """Findings of the full audit: module, feature, metric, value, severity."""
     s, s2 = load(spark, sf_dir, "scored"), load(spark, sf_dir, "scored2")
