@@ -70,3 +70,31 @@ def cohens_h(df: DataFrame, c: str, group: str, a, b) -> DataFrame:
 def input_checks(df: DataFrame, y_true: str, y_prob: str, least: int = 30) -> DataFrame:
     """GV3: violations of binary labels, probabilities in [0, 1] and the least number of rows."""
     return df.agg(F.count_if(~F.coalesce(F.col(y_true).isin(0, 1), F.lit(False))).alias("bad_labels"), F.count_if(~F.coalesce(F.col(y_prob).between(0, 1), F.lit(False))).alias("bad_probs"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) < least).alias("too_few"))
+
+
+def fold_of(key, k: int, salt: str = "v"):
+    """VS1, VS2: fold 0..k-1 of a key by a hash draw, the same on any partitioning."""
+    h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{salt}"))), 1, 4), 16, 10).cast("int")
+    return F.floor(h / 65536.0 * k).cast("int")
+
+
+def z_scores(df: DataFrame, c: str, key: str = "row_id") -> DataFrame:
+    """DS5: each value's distance from the mean in sample deviations."""
+    m = df.agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"))
+    return df.crossJoin(F.broadcast(m)).select(key, r6(F.try_divide(F.col(c) - F.col("_m"), F.col("_s"))).alias("z"))
+
+
+def co_missing(df: DataFrame, cols: list[str], least: float = 0.5) -> DataFrame:
+    """MD10: correlation of the missing indicators of every pair of columns, in one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    gone = lambda c: F.col(c).isNull().cast("double")
+    g = df.agg(*[corr(gone(a), gone(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
+    return g.select(rows.alias("x")).select("x.a", "x.b", r6("x.r").alias("r"), (F.col("x.r") > least).alias("together"))
+
+
+def one_sample(df: DataFrame, c: str, mu: float, by: str, z: float = 1.959964) -> DataFrame:
+    """HT1, HT3: one-sample t statistic and a normal interval of the mean by group."""
+    g = df.groupBy(by).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
+    se = F.col("s") / F.sqrt("n")
+    return g.select(by, "n", r6("m").alias("mean"), r6(F.try_divide(F.col("m") - mu, se)).alias("t"), (F.col("n") - 1).alias("df"), r6(F.col("m") - z * se).alias("low"), r6(F.col("m") + z * se).alias("high"))

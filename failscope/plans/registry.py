@@ -11,7 +11,7 @@ from ..operators import evaluation as ev
 from ..operators import fairness as fa
 from ..operators import prep as pr
 from ..operators import stats as st
-from ..sources.views import load, table, text
+from ..sources.views import draw, load, table, text
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -205,6 +205,13 @@ _add("ht14_cohens_h", "scored2", lambda d: pr.cohens_h(d, "y_pred", "segment", "
 _add("gv3_input_checks", "scored", lambda d: pr.input_checks(d, "y_true", "y_prob"), "select count(*) filter (y_true not in (0,1)) bad_labels, count(*) filter (y_prob<0 or y_prob>1) bad_probs, count(*) n, count(*)<30 too_few from {v}")
 
 
+_add("vs2_folds", "scored", lambda d: d.select("row_id", pr.fold_of("row_id", 5).alias("fold")), f"select row_id, cast(floor({draw('row_id', 'v')} * 5) as integer) fold from {{v}}")
+_add("ds5_z_scores", "gaps", lambda d: pr.z_scores(d, "acctbal"), "select row_id, round((acctbal-(select avg(acctbal) from {v}))/(select stddev_samp(acctbal) from {v}),6) z from {v}")
+_add("md10_co_missing", "gaps", lambda d: pr.co_missing(d, GAPS), "select a, b, round(r,6) r, r>0.5 together from (" + " union all ".join(f"select '{a}' a, '{b}' b, corr(case when {a} is null then 1e0 else 0e0 end, case when {b} is null then 1e0 else 0e0 end) r from {{v}}" for a, b in (("acctbal", "nation"), ("acctbal", "balance"), ("nation", "balance"))) + ")")
+_add("ht3_one_sample", "treat", lambda d: pr.one_sample(d, "y", 5.0, "stratum"), "select stratum, n, round(m,6) mean, round((m-5)/(s/sqrt(n)),6) t, n-1 df, round(m-1.959964e0*s/sqrt(n),6) low, round(m+1.959964e0*s/sqrt(n),6) high from (select stratum, count(y) n, avg(y) m, stddev_samp(y) s from {v} group by 1)")
+_add("ln4_error_fraction", "noisy", lambda d: cs.confident(d, "y_noisy", P3).agg(F.round(F.avg(F.col("is_issue").cast("double")), 6).alias("fraction"), F.count_if("is_issue").alias("issues")), THR + " select round(avg(case when i then 1e0 else 0e0 end),6) fraction, count(*) filter (i) issues from (select case when m is null then own < (case label when 0 then t0 when 1 then t1 else t2 end) else confident<>label end i from k)")
+
+
 def flagship(spark, sf_dir):
     """Findings of the full audit: module, feature, metric, value, severity."""
     s, s2 = load(spark, sf_dir, "scored"), load(spark, sf_dir, "scored2")
