@@ -11,18 +11,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, sorted_groups
 
 #: Characters of a shingle and the least Jaccard similarity of two linked lines.
 SHINGLE, SIMILARITY = 8, 0.8
 #: Bands of a signature and values of a band: at similarity s a pair shares a band with chance 1 - (1 - s^ROWS)^BANDS,
 #: 0.995 at 0.8.
 BANDS, ROWS = 10, 4
-#: Characters that are hashed at once.
-CHARS = 1 << 20
+#: Characters that are hashed at once (they fit a core's cache).
+CHARS = 1 << 16
+#: Bits of a line's sketch, and rows of each side of a bucket whose sketches a task compares at once.
+SKETCH_BITS, SIDE_ROWS = 4096, 4096
 #: Bits of the filter by which texts are left out before they are shuffled (a fixed size; full, it lets all pass).
 FILTER_BITS = 1 << 26
 LAST = (1 << 63) - 1
@@ -33,46 +36,68 @@ _OFFSETS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.ui
 _BASE = 0x9E3779B97F4A7C15
 
 
+def _rolled(chars: np.ndarray, k: int) -> np.ndarray:
+    """A polynomial hash of every k characters, put together from hashes of 1, 2, 4, ... characters."""
+    out, done, h, span, factor = None, 0, chars, 1, _BASE
+    while True:
+        if k & span:
+            n = len(chars) - done - span + 1
+            out = h if out is None else out[:n] * np.uint64(factor) + h[done : done + n]
+            done += span
+        if span * 2 > k:
+            return out[: len(chars) - k + 1]
+        n = len(h) - span
+        h = h[:n] * np.uint64(factor) + h[span : span + n]
+        factor, span = factor * factor % (1 << 64), span * 2
+
+
 def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all k-character shingles of the lines (none empty), and where each line's begin. A shorter line
-    is its own shingle."""
-    lengths = np.array([len(t) for t in lines])
+    is its own shingle, filled up with a character that no text holds."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if lengths.min() < k:
+        padded = np.maximum(lengths, k)
+        ends = np.cumsum(padded)
+        at = np.arange(len(chars)) + np.repeat(ends - padded - np.cumsum(lengths) + lengths, lengths)
+        chars, plain, lengths = np.full(int(ends[-1]), 0xFFFFFFFF, np.uint64), chars, padded
+        chars[at] = plain
     ends = np.cumsum(lengths)
-    if len(chars) < k:
-        chars = np.r_[chars, np.zeros(k - len(chars), np.uint64)]
-    h = np.zeros(len(chars) - k + 1, np.uint64)
-    for i in range(k):
-        h *= np.uint64(_BASE)
-        h += chars[i : i + len(h)]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    short = np.uint64(0xD6E8FEB86659FD93)
-    counts = np.maximum(lengths - k + 1, 1)
-    starts = np.cumsum(counts) - counts
-    at = np.arange(int(counts.sum())) - np.repeat(starts, counts) + np.repeat(ends - lengths, counts)
-    out = h[np.minimum(at, len(h) - 1)]
-    for i in np.flatnonzero(lengths < k):  # by its own characters alone
-        own = np.uint64(lengths[i])
-        for c in chars[ends[i] - lengths[i] : ends[i]]:
-            own = (own * np.uint64(_BASE) + c) * short
-        out[starts[i]] = own
-    return (out >> np.uint64(32)).astype(np.uint32), starts
+    with np.errstate(over="ignore"):
+        h = _rolled(chars, k)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h >>= np.uint64(32)
+    keep = np.ones(len(h), bool)
+    keep[(ends[:-1, None] - np.arange(1, k)).ravel()] = False  # those that reach into the next line
+    counts = lengths - k + 1
+    return h.astype(np.uint32)[keep], np.cumsum(counts) - counts
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys: MinHash values of the shingles, ROWS to a band."""
+    h, starts = shingle_hashes(lines)
+    keys, drawn = np.zeros((len(lines), BANDS), np.uint64), np.empty_like(h)
     with np.errstate(over="ignore"):
-        h, starts = shingle_hashes(lines)
-        keys = np.zeros((len(lines), BANDS), np.uint64)
         for b in range(BANDS):
             keys[:, b] = b + 1
             for r in range(b * ROWS, (b + 1) * ROWS):
-                keys[:, b] = (keys[:, b] ^ np.minimum.reduceat(h * _FACTORS[r] + _OFFSETS[r], starts)) * np.uint64(_BASE)
+                np.multiply(h, _FACTORS[r], out=drawn)
+                np.add(drawn, _OFFSETS[r], out=drawn)
+                keys[:, b] = (keys[:, b] ^ np.minimum.reduceat(drawn, starts)) * np.uint64(_BASE)
                 keys[:, b] ^= keys[:, b] >> np.uint64(29)
     return keys.view(np.int64)
 
 
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each line and (lines, SKETCH_BITS / 64) words: the bits of its shingles' hashes."""
+    h, starts = shingle_hashes(lines)
+    counts = np.diff(starts, append=len(h))
+    bits = np.zeros((len(lines), SKETCH_BITS), np.uint8)
+    bits[np.repeat(np.arange(len(lines)), counts), h % np.uint32(SKETCH_BITS)] = 1
+    return np.array([len(_shingles(t, SHINGLE)) for t in lines]), np.packbits(bits, axis=1).view(np.uint64)
+
+
 def split_lines(batch: pd.DataFrame) -> Iterator[tuple[list[int], list[int], list[str]]]:
     """Parts of about CHARS characters: document (null: LAST), number from 0 and stripped line of every line that is not
     blank. Lines are compared without spaces, tabs and carriage returns at their ends."""
@@ -100,14 +125,20 @@ def line_keys(lines: list[str]) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(node, doc, line, bands) of every line that is not blank."""
+    """(node, doc, line, bands) of every line that is not blank; of equal lines that stand close, the first place alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, line, texts in split_lines(b):
-                yield pd.DataFrame({"node": line_keys(texts), "doc": doc, "line": line, "bands": list(band_keys(texts))})
+            for doc, line, texts in split_lines(b.to_pandas()):
+                first: dict[str, int] = {}
+                for i in sorted(range(len(texts)), key=lambda i: (doc[i], line[i])):
+                    first.setdefault(texts[i], i)
+                own, at = list(first), list(first.values())
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(own).ravel()))
+                columns = [pa.array(line_keys(own)), pa.array([doc[i] for i in at], pa.int64()), pa.array([line[i] for i in at], pa.int32()), bands]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc", "line", "bands"])
 
-    return docs.mapInPandas(run, "node bigint, doc bigint, line int, bands array<bigint>")
+    return docs.mapInArrow(run, "node bigint, doc bigint, line int, bands array<bigint>")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -178,6 +209,73 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInPandas(run, "a bigint, b bigint")
 
 
+def _sketched(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles, sketch) of the nodes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                counts, words = sketches(part["text"].tolist())
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "shingles": counts, "sketch": [w.tobytes() for w in words]})
+
+    return nodes.join(texts, "node").select("node", "text").mapInPandas(run, "node bigint, shingles bigint, sketch binary")
+
+
+def may_be_similar(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
+    """(x, y) booleans, false only for pairs of sketches whose shingle sets cannot have this Jaccard similarity.
+
+    Every differing bit is a shingle that one set lacks, as is every one by which the sizes differ, and sets of similarity
+    s differ in at most (1 - s) / (1 + s) of their summed sizes; so no similar pair is lost.
+    """
+    out = np.zeros((len(x), len(y)), bool)
+    most = (1 - similarity) / (1 + similarity) + 1e-9
+    for i in range(len(x)):
+        near = np.flatnonzero(np.abs(nx[i] - ny) <= most * (nx[i] + ny))
+        out[i, near] = np.bitwise_count(x[i] ^ y[near]).sum(axis=1, dtype=np.int64) <= most * (nx[i] + ny[near])
+    return out
+
+
+def _open_pairs(open_: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes in one band's bucket that lie in different components and may be similar.
+
+    open_ holds (band, node, root, largest, shingles, sketch). Rows outside the largest component meet all rows, in tasks
+    of SIDE_ROWS by SIDE_ROWS: each side is dealt into tiles, and a row is sent once to every tile of the other side (in
+    a bucket of one tile, once at all).
+    """
+    outside = F.col("root") != F.col("largest")
+    sizes = open_.groupBy("band").agg(F.count_if(outside).alias("l"), F.count(F.lit(1)).alias("r"))
+    sizes = sizes.select("band", *[F.ceil(F.col(c) / SIDE_ROWS).cast("int").alias(f"k{c}") for c in "lr"])
+    dealt = open_.join(sizes, "band")
+    tiles = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    columns = ["band", "tl", "tr", "side", "node", "root", "largest", "shingles", "sketch"]
+    left = dealt.where(outside & (F.col("kr") > 1)).withColumn("side", F.lit(0)).withColumn("tl", own("kl")).withColumn("tr", tiles("kr"))
+    right = dealt.withColumn("side", F.lit(1)).withColumn("tr", own("kr")).withColumn("tl", tiles("kl"))
+    rows = left.select(columns).unionByName(right.select(columns)).repartition("band", "tl", "tr").sortWithinPartitions("band", "tl", "tr")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in sorted_groups(batches, ["band", "tl", "tr"]):
+            for _, g in part.groupby(["band", "tl", "tr"], sort=False):
+                y = g[g["side"] == 1]
+                x = g[g["side"] == 0] if len(y) < len(g) else y[y["root"] != y["largest"]]
+                if not len(x) or not len(y):
+                    continue
+                words = lambda d: np.frombuffer(b"".join(d["sketch"]), np.uint64).reshape(len(d), -1)
+                na, ra, nb, rb = x["node"].to_numpy(), x["root"].to_numpy(), y["node"].to_numpy(), y["root"].to_numpy()
+                wy, sy, top = words(y), y["shingles"].to_numpy(), rb == y["largest"].to_numpy()
+                wx, sx = words(x), x["shingles"].to_numpy()
+                for at in range(0, len(x), 256):
+                    c = slice(at, at + 256)
+                    # two classes that are both outside the largest component meet once
+                    meet = (ra[c, None] != rb) & (top | (na[c, None] < nb))
+                    i, j = np.nonzero(meet & may_be_similar(wx[c], sx[c], wy, sy, similarity))
+                    u, v = na[c][i], nb[j]
+                    yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    return rows.mapInPandas(run, "a bigint, b bigint").distinct()
+
+
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no, blank, component_doc, component_line, kept) of every line of docs.
 
@@ -185,7 +283,7 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     the smallest (doc_id, line_no). Classes that share a band are candidates; a shared band links nothing by itself: the
     shingle sets are compared exactly. Of a bucket, every class is compared with the bucket's first; where that leaves
     several components in a bucket, all classes outside its largest component are compared with all that are not in
-    theirs. So no link is lost between components, and a bucket of copies costs its size, not its square. Then union-find
+    theirs, first by sketches that rule out no similar pair. So no link is lost between components, and a bucket of copies costs its size, not its square. Then union-find
     over the links keeps the first place of each component.
 
     Blank lines are kept and stand alone (component null), null texts have no line, an empty text has one blank line.
@@ -212,11 +310,9 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     of = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
     top = of.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
     open_ = named.join(top.select("band", F.col("top.root").alias("largest")), "band")
-    left = open_.where("root <> largest").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("largest").alias("l"), "first")
-    right = open_.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    # two classes that are both outside the largest meet once
-    cross = left.join(right, "band").where("ra <> rb and a <> first and b <> first and (rb = l or a < b)")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = cut(open_.select("band", "node", "root", "largest"), "open")
+    sketched = cut(_sketched(open_.select("node").distinct(), texts), "sketches")
+    cross = cut(_open_pairs(open_.join(sketched, "node"), similarity), "cross")
     more = _similar(cross, texts, similarity)
     links = cut(links.unionByName(more), "links")
     comp = components(links)

@@ -168,3 +168,26 @@ def test_fuzzy_lines(spark):
     kept = {r.doc_id: r.text for r in lines.drop_repeated_lines(spark.createDataFrame(docs, DOCS)).collect()}
     assert len(kept) == len(docs) and kept[100] is None and kept[101] == "" and kept[103] == "" and kept[102] == "abc"
     assert lines.line_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    base = "".join(chr(97 + c) for c in rng.integers(0, 26, 300))
+    texts = [base]
+    for n in (0, 1, 2, 5, 10, 40):
+        own = list(base)
+        for i in rng.integers(0, 300, n):
+            own[i] = "#"
+        texts.append("".join(own)[: 300 - n])
+    texts += ["ab", "abc", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaa"]
+    n, words = lines.sketches(texts)
+    may = lines.may_be_similar(words, n, words, n, 0.8)
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            assert may[i, j] or not lines.similar(x, y, 0.8)
+    assert not may[0, 6]
+
+
+def test_short_lines_have_their_own_shingle_wherever_they_stand():
+    alone = [lines.band_keys([t])[0] for t in ("ab", "abcdefgh", "x", "abcdefghij")]
+    assert (lines.band_keys(["ab", "abcdefgh", "x", "abcdefghij"]) == np.array(alone)).all()
