@@ -24,8 +24,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4
 #: Characters that are hashed at once (they fit a core's cache).
 CHARS = 1 << 16
-#: Bits of a line's sketch, and rows of each side of a bucket whose sketches a task compares at once.
-SKETCH_BITS, SIDE_ROWS = 4096, 4096
+#: Bits of a line's sketch, and rows and characters of each side of a bucket that a task compares at once.
+SKETCH_BITS, SIDE_ROWS, SIDE_CHARS = 4096, 4096, 1 << 22
 #: Bits of the filter by which texts are left out before they are shuffled (a fixed size; full, it lets all pass).
 FILTER_BITS = 1 << 26
 LAST = (1 << 63) - 1
@@ -90,12 +90,21 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each line and (lines, SKETCH_BITS / 64) words: the bits of its shingles' hashes."""
-    h, starts = shingle_hashes(lines)
-    counts = np.diff(starts, append=len(h))
-    bits = np.zeros((len(lines), SKETCH_BITS), np.uint8)
-    bits[np.repeat(np.arange(len(lines)), counts), h % np.uint32(SKETCH_BITS)] = 1
-    return np.array([len(_shingles(t, SHINGLE)) for t in lines]), np.packbits(bits, axis=1).view(np.uint64)
+    """Shingles of each line, with repeats, and (lines, SKETCH_BITS / 64) words: the bits of its shingles' hashes."""
+    counts, words = np.zeros(len(lines), np.int64), np.zeros((len(lines), SKETCH_BITS // 64), np.uint64)
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and end - at < 256 and (size < CHARS or end == at):
+            size += len(lines[end])
+            end += 1
+        h, starts = shingle_hashes(lines[at:end])
+        counts[at:end] = np.diff(starts, append=len(h))
+        bits = np.zeros((end - at, SKETCH_BITS), np.uint8)
+        bits[np.repeat(np.arange(end - at), counts[at:end]), h % np.uint32(SKETCH_BITS)] = 1
+        words[at:end] = np.packbits(bits, axis=1).view(np.uint64)
+        at = end
+    return counts, words
 
 
 def split_lines(batch: pd.DataFrame) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -209,69 +218,61 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInPandas(run, "a bigint, b bigint")
 
 
-def _sketched(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, shingles, sketch) of the nodes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                counts, words = sketches(part["text"].tolist())
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "shingles": counts, "sketch": [w.tobytes() for w in words]})
-
-    return nodes.join(texts, "node").select("node", "text").mapInPandas(run, "node bigint, shingles bigint, sketch binary")
-
-
 def may_be_similar(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
-    """(x, y) booleans, false only for pairs of sketches whose shingle sets cannot have this Jaccard similarity.
+    """False only for sketches x and y (rows, or one row and many) whose shingle sets cannot have this Jaccard similarity.
 
-    Every differing bit is a shingle that one set lacks, as is every one by which the sizes differ, and sets of similarity
-    s differ in at most (1 - s) / (1 + s) of their summed sizes; so no similar pair is lost.
+    Every differing bit is a shingle that one set lacks, and sets of similarity s differ in at most (1 - s) / (1 + s) of
+    their summed sizes, which are at most nx + ny; so no similar pair is lost.
     """
-    out = np.zeros((len(x), len(y)), bool)
-    most = (1 - similarity) / (1 + similarity) + 1e-9
-    for i in range(len(x)):
-        near = np.flatnonzero(np.abs(nx[i] - ny) <= most * (nx[i] + ny))
-        out[i, near] = np.bitwise_count(x[i] ^ y[near]).sum(axis=1, dtype=np.int64) <= most * (nx[i] + ny[near])
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= ((1 - similarity) / (1 + similarity) + 1e-9) * (nx + ny)
+
+
+def joining_links(xs: np.ndarray, ys: np.ndarray, label: np.ndarray, texts: list[str], sketch: np.ndarray, counts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs (of xs, of ys) that join the components named by label, as few as join all that any such pair does."""
+    out = []
+    for i in xs:
+        near = ys[label[ys] != label[i]]
+        for j in near[may_be_similar(sketch[i], counts[i], sketch[near], counts[near], similarity)]:
+            if label[i] != label[j] and similar(texts[i], texts[j], similarity):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
     return out
 
 
-def _open_pairs(open_: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of classes in one band's bucket that lie in different components and may be similar.
+def _open_links(open_: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the components within each band's bucket: as many as a tile has components, not pairs.
 
-    open_ holds (band, node, root, largest, shingles, sketch). Rows outside the largest component meet all rows, in tasks
-    of SIDE_ROWS by SIDE_ROWS: each side is dealt into tiles, and a row is sent once to every tile of the other side (in
-    a bucket of one tile, once at all).
+    open_ holds (band, node, root, largest, text). Rows outside the largest component meet all rows, in tasks of about
+    SIDE_ROWS by SIDE_ROWS or SIDE_CHARS by SIDE_CHARS: each side is dealt into tiles, and a row is sent once to every
+    tile of the other side (in a bucket of one tile, once at all).
     """
-    outside = F.col("root") != F.col("largest")
-    sizes = open_.groupBy("band").agg(F.count_if(outside).alias("l"), F.count(F.lit(1)).alias("r"))
-    sizes = sizes.select("band", *[F.ceil(F.col(c) / SIDE_ROWS).cast("int").alias(f"k{c}") for c in "lr"])
+    outside, length = F.col("root") != F.col("largest"), F.length("text")
+    sizes = open_.groupBy("band").agg(F.count_if(outside).alias("l"), F.sum(F.when(outside, length)).alias("lc"), F.count(F.lit(1)).alias("r"), F.sum(length).alias("rc"))
+    sizes = sizes.select("band", *[F.ceil(F.greatest(F.col(c) / SIDE_ROWS, F.col(f"{c}c") / SIDE_CHARS)).cast("int").alias(f"k{c}") for c in "lr"])
     dealt = open_.join(sizes, "band")
     tiles = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
-    columns = ["band", "tl", "tr", "side", "node", "root", "largest", "shingles", "sketch"]
+    columns = ["band", "tl", "tr", "side", "node", "root", "largest", "text"]
     left = dealt.where(outside & (F.col("kr") > 1)).withColumn("side", F.lit(0)).withColumn("tl", own("kl")).withColumn("tr", tiles("kr"))
     right = dealt.withColumn("side", F.lit(1)).withColumn("tr", own("kr")).withColumn("tl", tiles("kl"))
     rows = left.select(columns).unionByName(right.select(columns)).repartition("band", "tl", "tr").sortWithinPartitions("band", "tl", "tr")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in sorted_groups(batches, ["band", "tl", "tr"]):
-            for _, g in part.groupby(["band", "tl", "tr"], sort=False):
-                y = g[g["side"] == 1]
-                x = g[g["side"] == 0] if len(y) < len(g) else y[y["root"] != y["largest"]]
-                if not len(x) or not len(y):
-                    continue
-                words = lambda d: np.frombuffer(b"".join(d["sketch"]), np.uint64).reshape(len(d), -1)
-                na, ra, nb, rb = x["node"].to_numpy(), x["root"].to_numpy(), y["node"].to_numpy(), y["root"].to_numpy()
-                wy, sy, top = words(y), y["shingles"].to_numpy(), rb == y["largest"].to_numpy()
-                wx, sx = words(x), x["shingles"].to_numpy()
-                for at in range(0, len(x), 256):
-                    c = slice(at, at + 256)
-                    # two classes that are both outside the largest component meet once
-                    meet = (ra[c, None] != rb) & (top | (na[c, None] < nb))
-                    i, j = np.nonzero(meet & may_be_similar(wx[c], sx[c], wy, sy, similarity))
-                    u, v = na[c][i], nb[j]
-                    yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+            band, tl, tr, side, node, root, largest = (part[c].to_numpy() for c in columns[:-1])
+            texts = part["text"].tolist()
+            counts, words = sketches(texts)
+            starts = np.flatnonzero((np.diff(band) != 0) | (np.diff(tl) != 0) | (np.diff(tr) != 0)) + 1
+            a, b = [], []
+            for lo, hi in zip([0, *starts], [*starts, len(part)]):
+                own, mine = slice(lo, hi), side[lo:hi]
+                ys = np.flatnonzero(mine == 1)
+                xs = np.flatnonzero(mine == 0) if len(ys) < hi - lo else np.flatnonzero(root[own] != largest[own])
+                for i, j in joining_links(xs, ys, root[own].copy(), texts[own], words[own], counts[own], similarity):
+                    a.append(node[lo + i])
+                    b.append(node[lo + j])
+            if a:
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return rows.mapInPandas(run, "a bigint, b bigint").distinct()
 
@@ -283,7 +284,8 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     the smallest (doc_id, line_no). Classes that share a band are candidates; a shared band links nothing by itself: the
     shingle sets are compared exactly. Of a bucket, every class is compared with the bucket's first; where that leaves
     several components in a bucket, all classes outside its largest component are compared with all that are not in
-    theirs, first by sketches that rule out no similar pair. So no link is lost between components, and a bucket of copies costs its size, not its square. Then union-find
+    theirs, first by sketches that rule out no similar pair, save pairs that other links have joined by then. So no link is
+    lost between components, and a bucket of copies costs its size, not its square. Then union-find
     over the links keeps the first place of each component.
 
     Blank lines are kept and stand alone (component null), null texts have no line, an empty text has one blank line.
@@ -311,9 +313,7 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     top = of.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
     open_ = named.join(top.select("band", F.col("top.root").alias("largest")), "band")
     open_ = cut(open_.select("band", "node", "root", "largest"), "open")
-    sketched = cut(_sketched(open_.select("node").distinct(), texts), "sketches")
-    cross = cut(_open_pairs(open_.join(sketched, "node"), similarity), "cross")
-    more = _similar(cross, texts, similarity)
+    more = _open_links(open_.join(texts, "node"), similarity)
     links = cut(links.unionByName(more), "links")
     comp = components(links)
     firsts = comp.join(classes.select("node", "place"), "node")

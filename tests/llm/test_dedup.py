@@ -181,7 +181,7 @@ def test_sketches_rule_out_no_similar_pair():
         texts.append("".join(own)[: 300 - n])
     texts += ["ab", "abc", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaa"]
     n, words = lines.sketches(texts)
-    may = lines.may_be_similar(words, n, words, n, 0.8)
+    may = np.array([lines.may_be_similar(words[i], n[i], words, n, 0.8) for i in range(len(texts))])
     for i, x in enumerate(texts):
         for j, y in enumerate(texts):
             assert may[i, j] or not lines.similar(x, y, 0.8)
@@ -191,3 +191,15 @@ def test_sketches_rule_out_no_similar_pair():
 def test_short_lines_have_their_own_shingle_wherever_they_stand():
     alone = [lines.band_keys([t])[0] for t in ("ab", "abcdefgh", "x", "abcdefghij")]
     assert (lines.band_keys(["ab", "abcdefgh", "x", "abcdefghij"]) == np.array(alone)).all()
+
+
+def test_joining_links_are_few_and_join_all_that_similar_pairs_join():
+    rng = np.random.default_rng(6)
+    bases = ["".join(chr(97 + c) for c in rng.integers(0, 26, 80)) for _ in range(3)]
+    texts = [b[: 80 - int(n)] for b in bases for n in rng.integers(0, 12, 15)]
+    n, words = lines.sketches(texts)
+    every, label = np.arange(len(texts)), np.arange(len(texts))
+    links = lines.joining_links(every, every, label, texts, words, n, 0.8)
+    groups = len({frozenset(np.flatnonzero(label == k)) for k in label})
+    assert len(links) == len(texts) - groups and all(lines.similar(texts[i], texts[j], 0.8) for i, j in links)
+    assert all(label[i] == label[j] for i, x in enumerate(texts) for j, y in enumerate(texts) if lines.similar(x, y, 0.8))
