@@ -207,13 +207,20 @@ def _shingles(text: str, k: int) -> frozenset:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes that are similar."""
+    """The pairs (a, b) of classes that are similar: sketches rule out most others before the exact comparison."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            keep = [similar(x, y, similarity) for x, y in zip(p["ta"], p["tb"])]
-            yield p.loc[np.array(keep, bool), ["a", "b"]]
+            x, y = p["ta"].tolist(), p["tb"].tolist()
+            code, own = pd.factorize(pd.concat([p["a"], p["b"]]))
+            texts = dict(zip(code.tolist(), x + y))
+            counts, words = sketches([texts[k] for k in range(len(own))])
+            c, d = code[: len(p)], code[len(p) :]
+            keep = may_be_similar(words[c], counts[c], words[d], counts[d], similarity)
+            for i in np.flatnonzero(keep):
+                keep[i] = similar(x[i], y[i], similarity)
+            yield p.loc[keep, ["a", "b"]]
 
     return both.mapInPandas(run, "a bigint, b bigint")
 
