@@ -98,3 +98,21 @@ def one_sample(df: DataFrame, c: str, mu: float, by: str, z: float = 1.959964) -
     g = df.groupBy(by).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
     se = F.col("s") / F.sqrt("n")
     return g.select(by, "n", r6("m").alias("mean"), r6(F.try_divide(F.col("m") - mu, se)).alias("t"), (F.col("n") - 1).alias("df"), r6(F.col("m") - z * se).alias("low"), r6(F.col("m") + z * se).alias("high"))
+
+
+def filters(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """Rows that meet every {column, op, value} rule; > and < compare as numbers, rules on unknown columns are ignored."""
+    for rule in rules:
+        c, op, value = rule["column"], rule["op"], rule["value"]
+        if c in df.columns:
+            df = df.where(F.col(c) > float(value) if op == ">" else F.col(c) < float(value) if op == "<" else F.col(c) == F.lit(value))
+    return df
+
+
+def binned_mean(df: DataFrame, x: str, y: str, bins: int = 12) -> DataFrame:
+    """Count and mean of y per equal-width, right-closed bin of x (the least value falls into the first). Nulls of x are left out."""
+    ends = df.agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"))
+    at = F.ceil((F.col(x) - F.col("lo")) * bins / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))) - 1
+    d = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(ends))
+    d = d.withColumn("bin", F.greatest(F.lit(0), F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1))).cast("int"))
+    return d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(y), 6).alias("mean"))

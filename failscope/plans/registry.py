@@ -212,6 +212,11 @@ _add("ht3_one_sample", "treat", lambda d: pr.one_sample(d, "y", 5.0, "stratum"),
 _add("ln4_error_fraction", "noisy", lambda d: cs.confident(d, "y_noisy", P3).agg(F.round(F.avg(F.col("is_issue").cast("double")), 6).alias("fraction"), F.count_if("is_issue").alias("issues")), THR + " select round(avg(case when i then 1e0 else 0e0 end),6) fraction, count(*) filter (i) issues from (select case when m is null then own < (case label when 0 then t0 when 1 then t1 else t2 end) else confident<>label end i from k)")
 
 
+_add("pr1_filters", "scored2", lambda d: pr.filters(d, [{"column": "y_prob", "op": ">", "value": "0.4"}, {"column": "segment", "op": "==", "value": "BUILDING"}, {"column": "absent", "op": "<", "value": 1}]).select("row_id", "segment", "y_prob"), "select row_id, segment, y_prob from {v} where y_prob>0.4e0 and segment='BUILDING'")
+_add("ch1_binned_mean", "treat", lambda d: pr.binned_mean(d, "x1", "y"), "select cast(greatest(0, least(ceil((x1-lo)*12/(hi-lo))-1, 11)) as integer) bin, count(*) n, round(avg(y),6) mean from {v}, (select min(x1) lo, max(x1) hi from {v}) group by 1")
+_add("ch7_calibration_residuals", "scored", lambda d: ca.reliability(d).select("bin", F.round(F.col("frac_pos") - F.col("mean_prob"), 6).alias("residual")), f"select bin, round(fp-mp,6) residual from ({_B('')})")
+
+
 def flagship(spark, sf_dir):
     """Findings of the full audit: module, feature, metric, value, severity."""
     s, s2 = load(spark, sf_dir, "scored"), load(spark, sf_dir, "scored2")
