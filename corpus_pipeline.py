@@ -28,8 +28,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, by five-word shingles."""
-    return simhash.keep_one(docs.select(*COLUMNS), k=5)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return simhash.keep_one_similar(docs.select(*COLUMNS), k=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
