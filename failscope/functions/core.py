@@ -41,6 +41,13 @@ def corr(x, y) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def _in_buckets(hist: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
+    """hist with ``_b``, the bucket of value in its group, at approximate quantiles."""
+    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = hist.groupBy(*by).agg(F.percentile_approx(value, at, 1000).alias("_bounds"))
+    return hist.join(F.broadcast(bounds) if by == ["_all"] else bounds, by).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+
+
 def prefix_sums(hist: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = 32) -> DataFrame:
     """Running sums (``cum_<name>``) along value in each group, without one task for a group.
 
@@ -49,9 +56,7 @@ def prefix_sums(hist: DataFrame, by: list[str], value: str, sums: list[str], buc
     """
     by = by or ["_all"]
     hist = hist.withColumn("_all", F.lit(1)) if by == ["_all"] else hist
-    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = hist.groupBy(*by).agg(F.percentile_approx(value, at, 1000).alias("_bounds"))
-    cut = hist.join(F.broadcast(bounds) if by == ["_all"] else bounds, by).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+    cut = _in_buckets(hist, by, value, buckets)
     totals = cut.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
@@ -60,3 +65,13 @@ def prefix_sums(hist: DataFrame, by: list[str], value: str, sums: list[str], buc
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"_o_{s}") + F.sum(s).over(inside))
     return out.drop("_all", "_bounds", "_b", *[f"_o_{s}" for s in sums])
+
+
+def suffix_min(hist: DataFrame, value: str, name: str, buckets: int = 32) -> DataFrame:
+    """The least ``name`` (``min_<name>``) of this and all larger values, from minima of buckets as in prefix_sums."""
+    cut = _in_buckets(hist.withColumn("_all", F.lit(1)), ["_all"], value, buckets)
+    after = Window.partitionBy("_all").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    later = cut.groupBy("_all", "_b").agg(F.min(name).alias("_t")).select("_all", "_b", F.min("_t").over(after).alias("_o"))
+    inside = Window.partitionBy("_all", "_b").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(later, ["_all", "_b"]).withColumn(f"min_{name}", F.least("_o", F.min(name).over(inside)))
+    return out.drop("_all", "_bounds", "_b", "_o")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, prefix_sums, r6, ratio, ratio0
+from ..functions.core import corr, prefix_sums, r6, ratio, ratio0, suffix_min
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -71,11 +71,16 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 
 def corrections(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """HT11, HT12: Bonferroni, and Benjamini–Hochberg with monotone adjusted p, over a table of tests."""
+    """HT11, HT12: Bonferroni, and Benjamini–Hochberg with monotone adjusted p, over a table of tests.
+
+    Equal p-values have one adjusted p, that of the last of their ranks, so ranks are running counts of a histogram. A
+    null p-value counts as a test and comes last (adjusted p 1).
+    """
     m = tests.agg(F.count(F.lit(1)).alias("m"))
-    up = Window.orderBy("p_value", "test_id")
-    t = tests.crossJoin(F.broadcast(m)).withColumn("rank", F.row_number().over(up))
-    t = t.withColumn("adj", F.min(F.least(F.lit(1.0), F.col("p_value") * F.col("m") / F.col("rank"))).over(Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)))
+    ranks = prefix_sums(tests.where("p_value is not null").groupBy("p_value").agg(F.count(F.lit(1)).alias("n")), [], "p_value", ["n"])
+    ranks = ranks.crossJoin(F.broadcast(m)).withColumn("adj", F.least(F.lit(1.0), F.col("p_value") * F.col("m") / F.col("cum_n")))
+    adjusted = suffix_min(ranks, "p_value", "adj").select("p_value", F.col("min_adj").alias("adj"))
+    t = tests.join(adjusted, "p_value", "left").withColumn("adj", F.coalesce("adj", F.lit(1.0))).crossJoin(F.broadcast(m))
     return t.select("test_id", r6("p_value").alias("p_value"), r6(F.least(F.lit(1.0), F.col("p_value") * F.col("m"))).alias("bonferroni"), (F.col("p_value") < alpha / F.col("m")).alias("bonferroni_reject"), r6("adj").alias("bh"), (F.col("adj") <= alpha).alias("bh_reject"))
 
 
