@@ -37,14 +37,17 @@ def simpson(df: DataFrame, t="t", y="y", stratum="stratum") -> DataFrame:
     return g.select(F.coalesce(F.col(stratum), F.lit("ALL")).alias("stratum"), "n", r6("effect").alias("effect"), r6("r").alias("r"))
 
 
-def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """GR1: (root, node) for all that the roots of ``start`` (column root) reach. Each round joins the frontier with the
-    edges and leaves out what was met; rounds are written so the plan stays short. For graphs of lineage size."""
+def _can_checkpoint(spark) -> None:
     import tempfile
 
-    spark = edges.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """GR1: (root, node) for all that the roots of ``start`` (column root) reach. Each round joins the frontier with the
+    edges and leaves out what was met; rounds are written so the plan stays short. For graphs of lineage size."""
+    _can_checkpoint(edges.sparkSession)
     frontier = start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().checkpoint()
     met = frontier
     while not frontier.isEmpty():
@@ -57,13 +60,17 @@ def flipped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def relatives(edges: DataFrame, x: str, y: str) -> DataFrame:
-    """GR3–GR5: (kind, node): confounders (common ancestors), colliders (common descendants), mediators (between)."""
-    start = edges.sparkSession.createDataFrame([(x,), (y,)], "root string")
+def relatives(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """GR3–GR5: (x, y, kind, node) for each of the pairs (x, y): confounders (common ancestors), colliders (common
+    descendants), mediators (between). Frontiers start at all nodes of the pairs at once."""
+    _can_checkpoint(edges.sparkSession)
+    edges, pairs = edges.distinct().checkpoint(), pairs.distinct().checkpoint()
+    xs, ys = pairs.select(F.col("x").alias("root")).distinct(), pairs.select(F.col("y").alias("root")).distinct()
+    start = xs.union(ys).distinct()
     down, up = reach(edges, start), reach(flipped(edges), start)
-    of = lambda d, r: d.where(F.col("root") == r).select("node")
-    kind = lambda d, k: d.select(F.lit(k).alias("kind"), "node")
-    return kind(of(up, x).intersect(of(up, y)), "confounder").unionByName(kind(of(down, x).intersect(of(down, y)), "collider")).unionByName(kind(of(down, x).intersect(of(up, y)), "mediator"))
+    of = lambda d, roots, c: d.join(roots, "root", "left_semi").withColumnRenamed("root", c)
+    kind = lambda a, b, k: of(a, xs, "x").join(of(b, ys, "y"), "node").join(pairs, ["x", "y"]).select("x", "y", F.lit(k).alias("kind"), "node")
+    return kind(up, up, "confounder").unionByName(kind(down, down, "collider")).unionByName(kind(down, up, "mediator"))
 
 
 def noise_thresholds(df: DataFrame, label: str, probs: list[str]) -> DataFrame:

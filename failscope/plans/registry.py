@@ -141,8 +141,11 @@ _add("cs3_effects", "treat", cs.effects, """select round(avg(case when t=1 then
 _add("cs10_diff_in_diff", "treat", cs.diff_in_diff, "select round(a,6) treated_post, round(b,6) treated_pre, round(c,6) control_post, round(d,6) control_pre, round(a-b-c+d,6) did from (select avg(y) filter (t=1 and post=1) a, avg(y) filter (t=1 and post=0) b, avg(y) filter (t=0 and post=1) c, avg(y) filter (t=0 and post=0) d from {v})")
 _add("cs14_two_stage", "treat", lambda d: cs.two_stage(d, "x1", "t", "y"), "select round(covar_samp(x1,y)/covar_samp(x1,t),6) effect, round(r*r/(1-r*r)*(n-2),2) first_stage_f from (select covar_samp(x1,y) q, corr(x1,t) r, count(*) n from {v}) s, {v} group by r, n")
 _add("cs16_simpson", "treat", cs.simpson, "select coalesce(stratum,'ALL') stratum, count(*) n, round(avg(y) filter (t=1)-avg(y) filter (t=0),6) effect, round(corr(t,y),6) r from {v} group by rollup(stratum)")
-_add("gr3_relatives", "edges", lambda d: cs.relatives(d, "X", "Y"), """with recursive e as (select * from {v}), d(root,node) as (select src,dst from e where src in ('X','Y') union select root,dst from d join e on node=src), u(root,node) as (select dst,src from e where dst in ('X','Y') union select root,src from u join e on node=dst)
-    select 'confounder' kind, node from u where root='X' and node in (select node from u where root='Y') union all select 'collider', node from d where root='X' and node in (select node from d where root='Y') union all select 'mediator', node from d where root='X' and node in (select node from u where root='Y')""")
+_QUERIES["gr3_relatives"] = lambda spark, sf: cs.relatives(load(spark, sf, "trade"), load(spark, sf, "node_pairs"))
+_SQL["gr3_relatives"] = f"""with recursive e as (select distinct * from ({text('trade')})), p as (select * from ({text('node_pairs')})), s as (select x root from p union select y from p),
+    d(root,node) as (select src,dst from e where src in (select root from s) union select root,dst from d join e on node=src), u(root,node) as (select dst,src from e where dst in (select root from s) union select root,src from u join e on node=dst)
+    select x, y, 'confounder' kind, a.node from p join u a on a.root=x join u b on b.root=y and b.node=a.node union all select x, y, 'collider', a.node from p join d a on a.root=x join d b on b.root=y and b.node=a.node
+    union all select x, y, 'mediator', a.node from p join d a on a.root=x join u b on b.root=y and b.node=a.node"""
 _QUERIES["gr1_descendants"] = lambda spark, sf: cs.reach(load(spark, sf, "edges"), load(spark, sf, "edges").where("src like 'R%'").select(F.col("src").alias("root")).distinct())
 _SQL["gr1_descendants"] = f"with recursive e as (select * from ({text('edges')})), d(root,node) as (select src,dst from e where src like 'R%' union select root,dst from d join e on node=src) select root, node from d"
 P3 = ["p0", "p1", "p2"]

@@ -39,8 +39,12 @@ VIEWS = {
         case when o_orderdate >= timestamp '1998-01-01' then 1 else 0 end as post, cast(c_acctbal as double) as x1, cast(o_totalprice as double) as x2, c_mktsegment as stratum,
         case when c_acctbal > 5000 then 0.7e0 else 0.3e0 end as ps from {{orders}} join {{customer}} on o_custkey = c_custkey) s""",
     "edges": """select concat('R', cast(n_regionkey as string)) as src, concat('N', cast(n_nationkey as string)) as dst from {nation}
-        union all select concat('N', cast(c_nationkey as string)), concat('C', cast(c_custkey as string)) from {customer}
-        union all select 'Z', 'X' union all select 'Z', 'Y' union all select 'X', 'M' union all select 'M', 'Y' union all select 'X', 'W' union all select 'Y', 'W'""",
+        union all select concat('N', cast(c_nationkey as string)), concat('C', cast(c_custkey as string)) from {customer}""",
+    "trade": """select src, dst from ({edges}) e union all select concat('N', cast(s_nationkey as string)), concat('S', cast(s_suppkey as string)) from {supplier}
+        union all select distinct concat('C', cast(o_custkey as string)), p_brand from {orders} join {lineitem} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey
+        union all select distinct concat('S', cast(l_suppkey as string)), p_brand from {lineitem} join {part} on l_partkey = p_partkey""",
+    "node_pairs": """select a.x, b.y from (select concat('N', cast(n_nationkey as string)) as x from {nation}) a join (select concat('N', cast(n_nationkey as string)) as y, 1 as same from {nation}
+        union all select distinct p_brand, 0 from {part}) b on same = 0 or x < y""",
     "tests": f"select o_orderkey as test_id, pow({draw('o_orderkey', 'p')}, 3) as p_value from {{orders}}",
 }
 

@@ -2,7 +2,9 @@
 
 import random
 
+from failscope.operators import causal as cs
 from failscope.operators import stats as st
+from failscope.plans import registry
 from failscope.sources.views import load, table
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +23,18 @@ def test_corrections_take_every_order_and_no_window_over_all(spark):
         least = min(least, p * m / k)
         assert abs(got[i].bh - least) < 1e-6 and got[i].bh_reject == (least <= 0.05)
         assert got[i].bonferroni_reject == (p < 0.05 / m) and abs(got[i].bonferroni - min(1, p * m)) < 1e-6
+
+
+def test_relatives_of_many_pairs(spark):
+    edges = spark.createDataFrame([("Z", "X"), ("Z", "Y"), ("X", "M"), ("M", "Y"), ("X", "W"), ("Y", "W"), ("A", "Z"), ("A", "Z")], "src string, dst string")
+    pairs = spark.createDataFrame([("X", "Y"), ("Z", "W"), ("M", "W"), ("X", "gone")], "x string, y string")
+    got = sorted((r.x, r.y, r.kind, r.node) for r in cs.relatives(edges, pairs).collect())
+    want = [("X", "Y", "collider", "W"), ("X", "Y", "confounder", "A"), ("X", "Y", "confounder", "Z"), ("X", "Y", "mediator", "M")]
+    want += [("Z", "W", "confounder", "A"), *[("Z", "W", "mediator", n) for n in "MXY"], *[("M", "W", "confounder", n) for n in "AXZ"], ("M", "W", "mediator", "Y")]
+    assert got == sorted(want)
+
+
+def test_relatives_query_is_about_the_tables(spark):
+    got = registry.queries()["gr3_relatives"](spark, SF).toPandas()
+    assert set(got["kind"]) == {"confounder", "collider", "mediator"} and got[["x", "y"]].drop_duplicates().shape[0] > 100
+    assert got.loc[got["kind"] == "mediator", "node"].str[0].isin(["C", "S"]).all()
