@@ -20,8 +20,8 @@ from .common import components, cut, sorted_groups
 #: Characters of a shingle and the least Jaccard similarity of two linked lines.
 SHINGLE, SIMILARITY = 8, 0.8
 #: Bands of a signature and values of a band: at similarity s a pair shares a band with chance 1 - (1 - s^ROWS)^BANDS,
-#: 0.995 at 0.8.
-BANDS, ROWS = 10, 4
+#: 0.9998 at 0.8.
+BANDS, ROWS = 16, 4
 #: Characters that are hashed at once (they fit a core's cache).
 CHARS = 1 << 16
 #: Bits of a line's sketch, and rows and characters of each side of a bucket that a task compares at once.

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from failscope.llm import simhash
+from failscope.llm import lines, simhash
 from test_dedup import DOCS, roots, text
 
 PIPE = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -54,3 +54,10 @@ def test_sets_at_the_least_similarity_are_near():
             x, y = simhash.wide_fingerprint(h[:small]), simhash.wide_fingerprint(h[small - common :])
             far += sum((a ^ b).bit_count() for a, b in zip(x, y)) > simhash.WIDE_RADIUS
         assert far <= 5
+
+
+def test_lines_at_the_least_similarity_share_a_band():
+    rng = np.random.default_rng(8)
+    drawn = ["".join(map(chr, rng.integers(97, 123, 107))) for _ in range(4000)]  # 90 shingles each, 80 of them in both
+    x, y = lines.band_keys([t[:97] for t in drawn]), lines.band_keys([t[10:] for t in drawn])
+    assert (~(x == y).any(axis=1)).sum() <= 5
