@@ -151,21 +151,22 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, line_no, node) of every line; node is null where it is blank."""
+    """(doc_id, doc, text_hash, line_no, node) of every line; node is null where it is blank."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            doc, number, node = [], [], []
-            for d, text in zip(b["doc_id"].astype("Int64").fillna(LAST).tolist(), b["text"]):
+            doc, hashes, number, node = [], [], [], []
+            for d, h, text in zip(b["doc_id"].astype("Int64").fillna(LAST).tolist(), b["text_hash"].tolist(), b["text"]):
                 if isinstance(text, str):
                     own = [t.strip(" \t\r") for t in text.split("\n")]
                     doc += [d] * len(own)
+                    hashes += [h] * len(own)
                     number += range(len(own))
                     node += [int(k) if t else None for t, k in zip(own, line_keys(own))]
-            yield pd.DataFrame({"doc": doc, "line_no": number, "node": pd.array(node, "Int64")})
+            yield pd.DataFrame({"doc": doc, "text_hash": hashes, "line_no": number, "node": pd.array(node, "Int64")})
 
-    out = docs.mapInPandas(run, "doc bigint, line_no int, node bigint")
-    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "doc", "line_no", "node")
+    out = docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, "doc bigint, text_hash bigint, line_no int, node bigint")
+    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "doc", "text_hash", "line_no", "node")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -298,6 +299,11 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Blank lines are kept and stand alone (component null), null texts have no line, an empty text has one blank line.
     A null doc_id counts as the last. Repeated rows: equal places share ``kept``. Empty input: no rows.
     """
+    return _components(docs, similarity).drop("doc", "text_hash")
+
+
+def _components(docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of :func:`line_components`, with doc (null: LAST) and the text's hash."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     place = F.struct(F.col("doc"), F.col("line"))
     signed = _signed(docs).select("node", place.alias("place"), "bands")
@@ -330,17 +336,19 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     out = _numbered(docs).join(keeper, "node", "left").withColumn("blank", F.col("node").isNull())
     mine = (F.col("keeper.doc") == F.col("doc")) & (F.col("keeper.line") == F.col("line_no"))
     named_doc = F.when(F.col("keeper.doc") < LAST, F.col("keeper.doc"))
-    return out.select("doc_id", "line_no", "blank", named_doc.alias("component_doc"), F.col("keeper.line").alias("component_line"), (F.col("blank") | mine).alias("kept"))
+    return out.select("doc_id", "doc", "text_hash", "line_no", "blank", named_doc.alias("component_doc"), F.col("keeper.line").alias("component_line"), (F.col("blank") | mine).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with only the kept lines of each text, in order; n_chars, where there is one, is counted anew.
 
-    Every row stays, as does a null text. Only the numbers of dropped lines are joined back, by doc_id.
+    Every row stays, as does a null text. Only the numbers of dropped lines are joined back, by doc_id and the text's hash:
+    rows of one doc_id with different texts lose their own lines alone, and rows of a null doc_id, which come last, lose
+    theirs like any other. Equal lines at one place (doc_id, number) share ``kept``, so all of them stay or go.
     """
-    gone = line_components(docs, similarity).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_id")
-    out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    gone = _components(docs, similarity).where("not kept").groupBy(F.col("doc").alias("_id"), F.col("text_hash").alias("_th")).agg(F.collect_set("line_no").alias("_gone"))
+    own = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)) == F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    out = docs.join(gone, own, "left")
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:

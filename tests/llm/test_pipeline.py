@@ -61,3 +61,19 @@ def test_lines_at_the_least_similarity_share_a_band():
     drawn = ["".join(map(chr, rng.integers(97, 123, 107))) for _ in range(4000)]  # 90 shingles each, 80 of them in both
     x, y = lines.band_keys([t[:97] for t in drawn]), lines.band_keys([t[10:] for t in drawn])
     assert (~(x == y).any(axis=1)).sum() <= 5
+
+
+def test_lines_stage_drops_each_rows_own_lines(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (text(rng, 12, 9000) for _ in range(6))
+    rows = [(1, f"{a}\n{b}"), (2, f"{c}\n{d}"), (2, f"{a}\n{e}"), (None, f"{b}\n{f}"), (None, f"{f}\n{d}")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], PIPE)
+    seen, want = {}, []
+    places = sorted((simhash.LAST if i is None else i, n, line) for i, t in rows for n, line in enumerate(t.split("\n")))
+    for i, n, line in places:
+        seen.setdefault(line, (i, n))
+    for i, t in rows:
+        own = "\n".join(line for n, line in enumerate(t.split("\n")) if seen[line] == (simhash.LAST if i is None else i, n))
+        want.append((str(i), own, len(own)))
+    got = corpus_pipeline.lines_stage(spark, df, "").collect()
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in got) == sorted(want)
