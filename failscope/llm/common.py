@@ -2,27 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Largest number of rows of one group that a task compares at once; larger groups are split into pairs of tiles.
 TILE_ROWS = 4096
+#: Bytes of a slice of documents that a Python worker takes at once.
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse (which a cluster shares as well)
+    where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/failscope-shared"
     return base.rstrip("/")
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about so many bytes (one row at least), so that what a worker makes of them
+    at once does not grow with the length of the texts."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = max(1, int(b.num_rows * size // max(1, b.nbytes)))
+        if rows >= b.num_rows:
+            yield b
+            continue
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b["text"]), 0)), dtype=np.int64) if "text" in b.schema.names else np.arange(1, b.num_rows + 1) * (size // rows)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def in_slices(docs: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas over slices of bounded size; whole numbers stay whole where some are null."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+        for frame in run(b.to_pandas(types_mapper=whole.get) for b in slices(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=kind, preserve_index=False)
+
+    return docs.mapInArrow(over, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: later reads survive lost executors."""
     spark = df.sparkSession
@@ -126,10 +172,8 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def union_labels(n: int, pairs) -> "object":
+def union_labels(n: int, pairs) -> np.ndarray:
     """Roots (smallest index) of 0..n-1 under an array of index pairs, by hooking and pointer jumping in numpy."""
-    import numpy as np
-
     root = np.arange(n)
     if not len(pairs):
         return root
