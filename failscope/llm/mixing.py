@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, fresh
+
 #: A document's expected copies are whole numbers of 1 / UNIT, so prefix sums are exact.
 UNIT = 1 << 24
 #: Most copies of a document, as a multiple of its source.
 MOST = 3
+#: Offsets that are tried for a source, from a random first one on in equal steps.
+OFFSETS = 16
 #: Hash buckets that number a stratum's documents in parallel.
 BUCKETS = 64
 
 
+#: The columns that mixing adds.
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
 def word_count(text):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
@@ -47,36 +55,47 @@ def mix(docs: DataFrame, seed: int = 17, weights=(1, 2, 3), most: int = MOST) ->
 
     Systematic sampling: a document of source s is expected target_s / source_size_s times. The expected copies are
     summed along the source, one random offset (a hash of seed and source) is added, and a document is emitted once for
-    each whole number its step crosses. Along the source documents are ordered by strata of nearly equal size, so the
-    words taken stay within about one document of the target. Numbering is a prefix sum in two levels: counts by
+    each whole number its step crosses. Along the source documents are ordered by strata of nearly equal size. One long
+    document more or less can still move a small source, so of OFFSETS equally spaced offsets after the random one that
+    is used which brings the words taken nearest to the target. Numbering is a prefix sum in two levels: counts by
     (source, stratum, bucket), then row numbers within one bucket; a source with a third of all rows spreads over all
     its strata and buckets.
 
-    Null or empty texts have size 0 and count as documents, so they may be emitted but take 0 words. Repeated rows and
-    equal doc_ids are numbered row by row. A null source is a source of its own, last in order. Empty input: no rows.
-    Columns of docs are kept; helper columns start with an underscore.
+    Null or empty texts have size 0 and count as documents, so they may be emitted but take 0 words. Very long texts are
+    counted whole. Repeated rows and equal doc_ids are numbered row by row (equal rows in any order). A null source is a
+    source of its own, last in order. Empty input: no rows. Columns of docs are kept, but for those that are named like
+    one that is added.
     """
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    targets = source_targets(sized, weights, most)
-    # strata: 16 to an octave of size
-    sized = sized.withColumn("_stratum", F.floor(16 * F.log2(F.col("size") + 1)).cast("int"))
-    sized = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.col("text"), F.lit(seed)), F.lit(BUCKETS)).cast("int"))
-    cells = sized.groupBy("source", "_stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy("source").orderBy("_stratum", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
-    cells = cells.withColumnRenamed("source", "_s").withColumnRenamed("_stratum", "_t").withColumnRenamed("_bucket", "_b")
-    cells = cells.join(targets.withColumnRenamed("source", "_s2"), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_n", "_s2")
-    inner = Window.partitionBy("source", "_stratum", "_bucket").orderBy("doc_id", F.xxhash64("text"))
-    out = sized.withColumn("_i", F.row_number().over(inner) - 1)
-    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_stratum") == F.col("_t")) & (F.col("_bucket") == F.col("_b"))
-    out = out.join(cells, same)
+    kept = [c for c in docs.columns if c not in RESULTS]
+    stratum, bucket, at, cell = fresh(docs, "stratum", "bucket", "at", "cell")
+    sized = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("size", word_count(F.col("text")))
+    sized = sized.withColumn(stratum, F.floor(16 * F.log2(F.col("size") + 1)).cast("int"))  # 16 to an octave of size
+    sized = sized.withColumn(bucket, F.pmod(F.xxhash64("doc_id", F.col("text"), F.lit(seed)), F.lit(BUCKETS)).cast("int"))
+    cells = cut(sized.groupBy("source", F.col(stratum).alias("stratum"), F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "cells")
+    targets = source_targets(cells, weights, most).withColumnRenamed("source", "of")
+    along = Window.partitionBy("source").orderBy("stratum", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    cells = cells.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     step = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size")) * UNIT), F.lit(0)).cast("decimal(20,0)")
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0"))), F.lit(UNIT)).cast("decimal(38,0)")
-    at = lambda k: F.floor((k.cast("decimal(18,0)") * step + offset) / F.lit(UNIT).cast("decimal(10,0)"))
-    k = F.col("_before") + F.col("_i")
-    out = out.withColumn("copies", F.least((at(k + 1) - at(k)).cast("bigint"), F.lit(most)))
-    out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_stratum", "_bucket", "_s", "_t", "_b", "_before", "_i")
+    cells = cells.withColumn("step", step).withColumn("first", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0"))), F.lit(UNIT)))
+    crossed = lambda k, offset: F.floor((k.cast("decimal(18,0)") * F.col("step") + offset.cast("decimal(38,0)")) / F.lit(UNIT).cast("decimal(10,0)")).cast("bigint")
+    offset = lambda n: F.pmod(F.col("first") + n * F.lit(UNIT // OFFSETS), F.lit(UNIT))
+    # a cell's documents are of nearly one size, so the table of cells tells what each offset takes
+    took = [F.sum((crossed(F.col("before") + F.col("n"), offset(n)) - crossed(F.col("before"), offset(n))) * F.col("size") / F.col("n")).alias(f"t{n}") for n in map(F.lit, range(OFFSETS))]
+    tried = cells.groupBy(F.col("source").alias("of")).agg(*[t.alias(f"t{n}") for n, t in enumerate(took)], F.first("target").alias("target"))
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{n}") - F.col("target")).alias("off"), F.lit(n).alias("n")) for n in range(OFFSETS)]))["n"]
+    cells = cells.join(tried.select("of", best.alias("tried")), F.col("source").eqNullSafe(F.col("of")))
+    cells = cells.select(F.struct(F.struct("source", "stratum", "bucket").alias("key"), "before", "step", "target", "source_size", offset(F.col("tried")).alias("offset")).alias(cell))
+    inner = Window.partitionBy("source", stratum, bucket).orderBy("doc_id", F.xxhash64("text"))
+    out = sized.withColumn(at, F.row_number().over(inner) - 1)
+    key = F.col(f"{cell}.key")
+    out = out.join(cells, F.col("source").eqNullSafe(key["source"]) & (F.col(stratum) == key["stratum"]) & (F.col(bucket) == key["bucket"]))
+    own = lambda name: F.col(f"{cell}.{name}")
+    edge = lambda k: F.floor((k.cast("decimal(18,0)") * own("step") + own("offset").cast("decimal(38,0)")) / F.lit(UNIT).cast("decimal(10,0)")).cast("bigint")
+    k = own("before") + F.col(at)
+    copies = F.least(edge(k + 1) - edge(k), F.lit(most))
+    added = [F.col("size"), own("source_size").alias("source_size"), own("target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]
+    return out.select(*[F.col(f"`{c}`") for c in kept], *added)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
