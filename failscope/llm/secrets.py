@@ -9,10 +9,12 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # The base kinds in order, with the pattern of each and the least characters (of group 2 for assign).
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 6),
@@ -22,12 +24,18 @@ BASE = (
 #: Kinds that structural confirmation adds, in order after the base kinds.
 CONFIRMED = ("der_key", "ssh_key", "pem_key", "signed_token")
 
-_TOKEN = re.compile(r"ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*", re.ASCII)
+# No pattern looks at a character of a long run from more than a few starts, so all are linear in the text.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+", re.ASCII)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}", re.ASCII)
 _HEX = re.compile(r"[0-9A-Fa-f]{64,}", re.ASCII)
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----", re.ASCII)
-#: Object identifiers of public-key algorithms (RSA, elliptic curve, Ed25519, X25519), as encoded bytes.
-_ALGORITHMS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b6570"), bytes.fromhex("2b656e"))
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+(?:\r?\n|\\n)[\x20\t]*+)++[A-Za-z0-9+/_-]*+={0,2}", re.ASCII)
+_BREAK = re.compile(r"\\r|\\n|\s")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----", re.ASCII)
+_PEM_HEADER = re.compile(r"[A-Za-z0-9-]+: [^\n]*")
+# Object identifiers of public-key algorithms (RSA, DSA, elliptic curve, X25519, X448, Ed25519, Ed448) and of
+# password-based encryption (the arcs of PKCS#5 and PKCS#12), as encoded bytes.
+_ALGORITHMS = tuple(map(bytes.fromhex, ("2a864886f70d010101", "2a8648ce380401", "2a8648ce3d0201", "2b656e", "2b656f", "2b6570", "2b6571")))
+_ENCRYPTIONS = tuple(map(bytes.fromhex, ("2a864886f70d0105", "2a864886f70d010c01")))
 
 
 def _items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -52,8 +60,9 @@ def _items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | No
 def is_der_private_key(data: bytes) -> bool:
     """A sequence whose nested lengths fit and whose fields are those of a private key.
 
-    Version 0 and at least eight further integers (RSA); version 1 and an octet string (elliptic curve); version 0 or 1,
-    an algorithm sequence with a known identifier and an octet string (any algorithm).
+    Version 0 or 1 and at least eight further integers (RSA) or just five (DSA); version 1 and an octet string (elliptic
+    curve); version 0 or 1, an algorithm sequence with a known identifier and an octet string (any algorithm); or, with no
+    version, a password-based encryption's sequence and an octet string (encrypted key).
     """
     if len(data) < 30 or data[0] != 0x30:
         return False
@@ -67,11 +76,18 @@ def is_der_private_key(data: bytes) -> bool:
     if end > len(data) or len(data) - end > 2:
         return False
     items = _items(data, 2 + size, end)
-    if not items or len(items) < 2 or items[0][0] != 0x02 or items[0][2] - items[0][1] != 1:
+    if not items or len(items) < 2:
+        return False
+    if items[0][0] == 0x30 and len(items) == 2 and items[1][0] == 0x04:
+        inner = _items(data, items[0][1], items[0][2])
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(_ENCRYPTIONS) and items[1][2] - items[1][1] >= 16
+    if items[0][0] != 0x02 or items[0][2] - items[0][1] != 1:
         return False
     version, tags = data[items[0][1]], [t for t, _, _ in items]
     if version in (0, 1) and len(items) >= 9 and all(t == 0x02 for t in tags[:9]):
         return True
+    if version == 0 and len(items) == 6 and all(t == 0x02 for t in tags) and min(e - s for _, s, e in items[1:]) >= 16:
+        return True
     if version == 1 and tags[1] == 0x04 and 16 <= items[1][2] - items[1][1] <= 80:
         return True
     if version in (0, 1) and len(items) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
@@ -116,6 +132,24 @@ def _decoded(text: str) -> bytes:
         return b""
 
 
+def _heads(part: str) -> Iterator[int]:
+    """Where a JSON object may begin in base64."""
+    at = part.find("ey")
+    while at >= 0:
+        if _decoded(part[at : at + 4])[:2] in (b'{"', b"{}", b"{ ", b"{\n", b"{\t", b"{\r"):
+            yield at
+        at = part.find("ey", at + 1)
+
+
+def _base64_key(run: str) -> str | None:
+    """The kind of private key that a run of base64 holds. Only one that begins like a sequence or like the magic is
+    decoded, so prose in long words costs little."""
+    if not run.startswith(("MI", "MC", "MH", "MF", "MG", "MD", "ME", "b3BlbnNza")):
+        return None
+    data = _decoded(run)
+    return "ssh_key" if is_ssh_private_key(data) else "der_key" if is_der_private_key(data) else None
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets, by start, then kind; code points, end exclusive. Null: none.
 
@@ -127,40 +161,45 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     for rank, (kind, pattern, least) in enumerate(BASE):
         group = 2 if kind == "assign" else 0
         found += [(m.start(), rank, kind, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    add = lambda kind, m: found.append((m.start(), len(BASE) + CONFIRMED.index(kind), kind, m.end()))
+    add = lambda kind, start, end: found.append((start, len(BASE) + CONFIRMED.index(kind), kind, end))
     for m in _PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
-        data = _decoded("".join(m[2].split()))
-        if is_der_private_key(data) or is_ssh_private_key(data):
-            add("pem_key", m)
-    for m in _TOKEN.finditer(text) if "." in text else ():
-        if is_signed_token(m[0]):
-            add("signed_token", m)
-    for m in _BASE64.finditer(text):
-        data = _decoded(m[0])
-        if data and is_ssh_private_key(data):
-            add("ssh_key", m)
-        elif data and is_der_private_key(data):
-            add("der_key", m)
+        # header lines go, and line breaks that were written out as \\n
+        body = "\n".join(line for line in m[2].replace("\\r", "").replace("\\n", "\n").split("\n") if not _PEM_HEADER.match(line.strip()))
+        data = _decoded("".join(body.split()))
+        if is_der_private_key(data) or is_ssh_private_key(data) or ("ENCRYPTED" in m[2] and len(data) >= 64 and len(data) % 8 == 0):
+            add("pem_key", m.start(), m.end())
+    at = 0
+    while m := _TOKEN.search(text, at) if "." in text else None:
+        # the head may begin inside the first part; what is no token may hold the head of one after its first point
+        start = next((p for p in _heads(m[1]) if is_signed_token(m[0][p:])), None)
+        if start is not None:
+            add("signed_token", m.start() + start, m.end())
+        at = m.end() if start is not None else m.end(1)
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(text):
+            run = _BREAK.sub("", m[0])
+            if kind := _base64_key(run):
+                add(kind, m.start(), m.end())
     for m in _HEX.finditer(text):
         if is_der_private_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
-            add("der_key", m)
+            add("der_key", m.start(), m.end())
     return [(kind, start, end) for start, _, kind, end in sorted(set(found))]
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """docs plus ``secrets``: an array of (kind, start, end) for every whole text. Null and empty texts have none; rows
-    are independent, so repeated rows repeat. One pass, no shuffle."""
+    """docs plus ``secrets`` (a column of that name is replaced): an array of (kind, start, end) for every whole text,
+    however long. Null and empty texts have none; rows are independent, so repeated rows repeat; spans that begin at one
+    place come in the order of kinds. Other columns pass through as they are. No rows: none. One pass, no shuffle."""
+    docs = docs.drop("secrets")
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, secrets array<struct<kind:string,start:bigint,end:bigint>>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["secrets"] = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t if isinstance(t, str) else None)] for t in b["text"]]
-            yield b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], [*b.schema.names, "secrets"])
 
-    if "secrets" in docs.columns:
-        docs = docs.drop("secrets")
-        return find_secrets(docs)
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
