@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, width
 from .lattice import usable
 
 #: Queries and candidates of a block pair, and candidates multiplied at once.
@@ -23,8 +24,8 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return q, scale, np.sqrt((back * back).sum(axis=1)), np.sqrt(((x - back) ** 2).sum(axis=1))
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query_id, id, score) of the k largest inner products of each query, ties to the smaller id, own id left out.
+def nearest(queries: np.ndarray, query_rows: np.ndarray, rows: np.ndarray, row_keys: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query row, id, score) of the k largest inner products of each query, ties to the smaller id, own row left out.
 
     A tile's int8 products differ from the true ones by at most |q'||r - r'| + |q - q'||r|; a pair whose upper bound is
     under the k-th largest lower bound met so far cannot be among the k. The others are recomputed in double precision
@@ -36,12 +37,13 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     floor = np.full(len(queries), -np.inf)
     for s in range(0, len(rows), TILE):
         part, own = rows[s : s + TILE], ids[s : s + TILE]
+        keys = row_keys[s : s + TILE]
         ri, rs, _, re = quantised(part)
         rn = np.sqrt((part * part).sum(axis=1))
         near = (qi.astype(wide) @ ri.astype(wide).T).astype(np.float64) * qs[:, None] * rs[None, :]
         slack = qn[:, None] * re[None, :] + qe[:, None] * rn[None, :]
         slack += 1e-12 * (qn + qe)[:, None] * rn[None, :]
-        self_ = query_ids[:, None] == own[None, :]
+        self_ = query_rows[:, None] == keys[None, :]
         low = np.where(self_, -np.inf, near - slack)
         if low.shape[1] >= k:
             floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
@@ -54,7 +56,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
             elif (v, -b) > heap[0]:
                 heapq.heapreplace(heap, (v, -b))
         floor = np.maximum(floor, [h[0][0] if len(h) == k else -np.inf for h in heaps])
-    return [(int(q), -b, v) for q, heap in zip(query_ids, heaps) for v, b in heap]
+    return [(int(q), -b, v) for q, heap in zip(query_rows, heaps) for v, b in heap]
 
 
 def neighbours(emb: DataFrame, is_query: Column, k: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
@@ -63,25 +65,32 @@ def neighbours(emb: DataFrame, is_query: Column, k: int = 20, query_block: int =
     Queries and candidates are dealt into blocks of bounded size by a hash of vec_id, and every block of queries meets
     every block of candidates in a task of its own; each pair returns at most k rows a query, which are then merged.
     Vectors that are null, zero or hold null or non-finite components, and null vec_ids, take no part. Vectors meet those
-    of their length. Rows that share a vec_id are one vector, the largest by components. Fewer candidates than k: all.
-    Empty input: no rows.
+    of their length. Rows that share a vec_id are candidates each, for one another too, and queries each; ties go to the
+    smaller vec_id (between rows of one vec_id and score there is nothing to tell apart). Fewer candidates than k: all.
+    Other columns are left out. Empty input: no rows.
     """
-    rows = emb.where(usable("embedding") & F.col("vec_id").isNotNull()).withColumn("_q", is_query)
-    rows = rows.groupBy("vec_id").agg(F.max("embedding").alias("embedding"), F.max("_q").alias("_q")).withColumn("dim", F.size("embedding"))
+    spark = emb.sparkSession
+    rows = emb.where(usable("embedding") & F.col("vec_id").isNotNull()).withColumn("_q", is_query).select("vec_id", "embedding", "_q")
+    # equal rows are told apart by a number, so a row is the same wherever it is computed again
+    rows = rows.groupBy("vec_id", "embedding").agg(F.max("_q").alias("_q"), F.count(F.lit(1)).cast("int").alias("n"))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("row", F.xxhash64("vec_id", "embedding", "n")).withColumn("dim", F.size("embedding"))
+    rows = cut(rows.select("row", "vec_id", "embedding", "_q", "dim"), "rows")
     size = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("nq"))
     size = size.select("dim", F.ceil(F.col("n") / candidate_block).cast("int").alias("cbs"), F.greatest(F.lit(1), F.ceil(F.col("nq") / query_block)).cast("int").alias("qbs"))
     rows = rows.join(size, "dim")
-    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    block = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = rows.where("_q").select("dim", block("qbs", 1).alias("qb"), each("cbs").alias("cb"), F.lit(True).alias("query"), "vec_id", "embedding")
-    others = rows.select("dim", each("qbs").alias("qb"), block("cbs", 2).alias("cb"), F.lit(False).alias("query"), "vec_id", "embedding")
+    queries = rows.where("_q").select("dim", block("qbs", 1).alias("qb"), each("cbs").alias("cb"), F.lit(True).alias("query"), "row", "vec_id", "embedding")
+    others = rows.select("dim", each("qbs").alias("qb"), block("cbs", 2).alias("cb"), F.lit(False).alias("query"), "row", "vec_id", "embedding")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        x, ids, q = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["vec_id"].to_numpy(), part["query"].to_numpy(bool)
-        got = nearest(x[q], ids[q], x[~q], ids[~q], k) if q.any() and not q.all() else []
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        x, row, ids, q = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["row"].to_numpy(), part["vec_id"].to_numpy(), part["query"].to_numpy(bool)
+        got = nearest(x[q], row[q], x[~q], row[~q], ids[~q], k) if q.any() and not q.all() else []
+        out = pd.DataFrame(got, columns=["row", "vec_id", "score"]).astype({"row": "int64", "vec_id": "int64", "score": "float64"})
+        return out.assign(query_id=out["row"].map(dict(zip(row[q].tolist(), ids[q].tolist()))).astype("int64"))
 
-    found = queries.unionByName(others).groupBy("dim", "qb", "cb").applyInPandas(run, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    dealt = queries.unionByName(others).repartition(2 * width(spark), "dim", "qb", "cb")  # block pairs stay spread out
+    found = dealt.groupBy("dim", "qb", "cb").applyInPandas(run, "row bigint, vec_id bigint, score double, query_id bigint")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
