@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Hash buckets that number a shard's rows in parallel.
-BUCKETS = 256
+BUCKETS = 4096
 
 Tree = list[list[list[int]]]
 
@@ -41,24 +43,26 @@ def assign(df: DataFrame, key: Column, tree: Tree, name: str, weights: dict[int,
     """df with the shard of a key: descend region, rack and shard. A node is named by its first shard and weighs as much
     as its shards together (1 each unless given); a weight that changes moves keys only into or out of its subtree."""
     w = lambda shards: float(sum((weights or {}).get(s, 1.0) for s in shards))
-    df = df.withColumn("_region", _pick(key, 1, [(r[0][0], w([s for k in r for s in k])) for r in tree]))
+    region, rack_, = fresh(df, "region", "rack")
+    df = df.withColumn(region, _pick(key, 1, [(r[0][0], w([s for k in r for s in k])) for r in tree]))
     rack = leaf = F.lit(None).cast("int")
     for r in tree:
-        rack = F.when(F.col("_region") == r[0][0], _pick(key, 2, [(k[0], w(k)) for k in r])).otherwise(rack)
+        rack = F.when(F.col(region) == r[0][0], _pick(key, 2, [(k[0], w(k)) for k in r])).otherwise(rack)
         for k in r:
-            leaf = F.when(F.col("_rack") == k[0], _pick(key, 3, [(s, w([s])) for s in k])).otherwise(leaf)
-    return df.withColumn("_rack", rack).withColumn(name, leaf.cast("int")).drop("_region", "_rack")
+            leaf = F.when(F.col(rack_) == k[0], _pick(key, 3, [(s, w([s])) for s in k])).otherwise(leaf)
+    return df.withColumn(rack_, rack).withColumn(name, leaf.cast("int")).drop(region, rack_)
 
 
 def numbered(df: DataFrame, group: str, order: list, salt: Column, name: str) -> DataFrame:
     """df with a number from 0 without gaps in each group, in two levels so that a large group spreads over BUCKETS tasks."""
-    df = df.withColumn("_bucket", F.pmod(salt, F.lit(BUCKETS)).cast("int"))
-    cells = df.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(group, "_bucket").orderBy(*order)
-    out = df.withColumn("_i", F.row_number().over(inner)).join(cells, [group, "_bucket"])
-    return out.withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("bigint")).drop("_bucket", "_before", "_i")
+    bucket, earlier, i = fresh(df, "bucket", "before", "i")
+    df = df.withColumn(bucket, F.pmod(salt, F.lit(BUCKETS)).cast("int"))
+    cells = df.groupBy(group, bucket).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(group, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(earlier))
+    inner = Window.partitionBy(group, bucket).orderBy(*order)
+    out = df.withColumn(i, F.row_number().over(inner)).join(cells, [group, bucket])
+    return out.withColumn(name, (F.col(earlier) + F.col(i) - 1).cast("bigint")).drop(bucket, earlier, i)
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -66,8 +70,8 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     doc_id and the number of shards decide alone: rows of equal doc_id share a shard, a null doc_id has a fixed one.
     size is the text's UTF-8 bytes (null: none) plus 8; text_crc32 of a null text is that of no bytes. Repeated rows each
-    get a slot. Slots follow the hash bucket, then doc_id, then the text's hash. Empty input: no rows. Columns of docs
-    are kept; helper columns start with an underscore.
+    get a slot. Slots follow the hash bucket, then doc_id, then the text's hash. Very long texts count whole. Empty input: no rows.
+    Columns of docs are kept, but for those named like one that is added, which are replaced.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
     out = assign(docs, key, layout(shards), "shard")
