@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import TILE_ROWS, components, cut, in_tiles, sorted_groups, union_labels, width
 
 #: Number of lattices, neighbouring cells probed in each, and lattice units for a vector of length one.
-TABLES, PROBES, SCALE = 5, 4, 2.0
+TABLES, PROBES, SCALE = 8, 4, 2.0
 #: Vectors multiplied with the rest of their tile at once.
 ROWS = 256
 SEED = 2024
