@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, sorted_groups, union_labels, width
+from .common import components, cut, fresh, in_slices, sorted_groups, union_labels, width
 
 #: Largest number of fingerprints on a side of a tile pair.
 TILE = 8192
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "fp": fp.view(np.int64)})
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return in_slices(rows, run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _segments(fp: np.ndarray, parts: int) -> np.ndarray:
@@ -131,6 +131,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     pairs = cut(near, "tiles")  # the ids stay as they are
     left = pairs.select("pair", "same", F.lit(0).alias("side"), F.col("xhi").alias("hi"), F.col("xlo").alias("lo"), F.col("xchunk").alias("chunk"))
     right = pairs.where("not same").select("pair", "same", F.lit(1).alias("side"), "hi", "lo", "chunk")
+    keyed = keyed.repartition(2 * width(spark), "fp")  # else few tasks make all the copies
     dealt = keyed.join(sizes, ["hi", "lo"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     dealt = dealt.join(left.unionByName(right), ["hi", "lo", "chunk"]).select("pair", "side", "same", "fp")
 
@@ -280,8 +281,8 @@ def _alike(pairs: DataFrame, contents: DataFrame, similarity: float) -> DataFram
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs with the place of a row: _id (null last) and _th, the text's hash."""
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
+    """text with the place of a row: _id (null last) and _th, the text's hash."""
+    return docs.select("text", F.col("doc_id")).withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
 
 
 def _sets(docs: DataFrame, k: int, seed: int, contents: bool) -> DataFrame:
@@ -299,7 +300,7 @@ def _sets(docs: DataFrame, k: int, seed: int, contents: bool) -> DataFrame:
                 yield pd.DataFrame({"_id": b["_id"], "_th": b["_th"], "node": node, "n": [len(s) for s in own], "f": fp[:, 0], "g": fp[:, 1]})
 
     rows = docs.select("_id", "_th", "text")
-    return rows.mapInPandas(run, "node bigint, own binary, sketch binary" if contents else "_id bigint, _th bigint, node bigint, n bigint, f bigint, g bigint")
+    return in_slices(rows, run, "node bigint, own binary, sketch binary" if contents else "_id bigint, _th bigint, node bigint, n bigint, f bigint, g bigint")
 
 
 def similar_components(docs: DataFrame, k: int, similarity: float, seed: int = 42, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
@@ -333,7 +334,10 @@ def similar_components(docs: DataFrame, k: int, similarity: float, seed: int = 4
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return _placed(docs).join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
+    i, t = fresh(docs, "_id", "_th")
+    placed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn(t, F.xxhash64("text"))
+    kept = kept.select(F.col("_id").alias(i), F.col("_th").alias(t))
+    return placed.join(kept, [i, t], "left_semi").dropDuplicates([i, t]).drop(i, t)
 
 
 def keep_one_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -344,7 +348,8 @@ def keep_one_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed:
 def keep_one(docs: DataFrame, k: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id, then text hash; of equal rows any one.
 
-    A null doc_id comes last. Columns of docs are kept as they are.
+    A null doc_id comes last; null and empty texts are like texts without words. Columns of docs are kept as they are,
+    whatever their names. Empty input: no rows.
     """
     kept = simhash_components(docs, k, seed, radius).select("keeper.*").distinct()
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
