@@ -6,6 +6,7 @@ DataFrame functions only, could not meet the limits; see the README for its figu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, sorted_groups
+from .common import components, cut, fresh, in_slices, slices, sorted_groups
 
 #: Characters of a shingle and the least Jaccard similarity of two linked lines.
 SHINGLE, SIMILARITY = 8, 0.8
@@ -133,29 +134,34 @@ def line_keys(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in lines], np.uint64).view(np.int64)
 
 
+def line_checks(lines: list[str]) -> np.ndarray:
+    """Second hashes, by which unlike lines of one key are told apart."""
+    return np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in lines], np.int64)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """(node, doc, line, bands) of every line that is not blank; of equal lines that stand close, the first place alone."""
+    """(node, doc, line, check, bands) of every line that is not blank; of equal lines that stand close, the first place alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, line, texts in split_lines(b.to_pandas()):
+        for b in slices(batches):
+            for doc, line, texts in split_lines(b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)):
                 first: dict[str, int] = {}
                 for i in sorted(range(len(texts)), key=lambda i: (doc[i], line[i])):
                     first.setdefault(texts[i], i)
                 own, at = list(first), list(first.values())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(own).ravel()))
-                columns = [pa.array(line_keys(own)), pa.array([doc[i] for i in at], pa.int64()), pa.array([line[i] for i in at], pa.int32()), bands]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "doc", "line", "bands"])
+                columns = [pa.array(line_keys(own)), pa.array([doc[i] for i in at], pa.int64()), pa.array([line[i] for i in at], pa.int32()), pa.array(line_checks(own)), bands]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc", "line", "check", "bands"])
 
-    return docs.mapInArrow(run, "node bigint, doc bigint, line int, bands array<bigint>")
+    return docs.mapInArrow(run, "node bigint, doc bigint, line int, check bigint, bands array<bigint>")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, text_hash, line_no, node) of every line; node is null where it is blank."""
+    """(doc_id, doc, text_hash, line_no, node, check) of every line; node is null where it is blank."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            doc, hashes, number, node = [], [], [], []
+            doc, hashes, number, node, check = [], [], [], [], []
             for d, h, text in zip(b["doc_id"].astype("Int64").fillna(LAST).tolist(), b["text_hash"].tolist(), b["text"]):
                 if isinstance(text, str):
                     own = [t.strip(" \t\r") for t in text.split("\n")]
@@ -163,10 +169,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
                     hashes += [h] * len(own)
                     number += range(len(own))
                     node += [int(k) if t else None for t, k in zip(own, line_keys(own))]
-            yield pd.DataFrame({"doc": doc, "text_hash": hashes, "line_no": number, "node": pd.array(node, "Int64")})
+                    check += line_checks(own).tolist()
+            yield pd.DataFrame({"doc": doc, "text_hash": hashes, "line_no": number, "node": pd.array(node, "Int64"), "check": check})
 
-    out = docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, "doc bigint, text_hash bigint, line_no int, node bigint")
-    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "doc", "text_hash", "line_no", "node")
+    out = in_slices(docs.withColumn("text_hash", F.xxhash64("text")), run, "doc bigint, text_hash bigint, line_no int, node bigint, check bigint")
+    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "doc", "text_hash", "line_no", "node", "check")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -187,7 +194,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 hit = (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
                 yield pd.DataFrame({"node": node, "doc": doc, "line": line, "text": texts})[hit]
 
-    found = docs.mapInPandas(run, "node bigint, doc bigint, line int, text string")
+    found = in_slices(docs, run, "node bigint, doc bigint, line int, text string")
     place = F.struct(F.col("doc"), F.col("line"))
     found = found.select("node", place.alias("place"), "text").join(wanted, ["node", "place"])
     return found.select("node", "text").dropDuplicates(["node"])
@@ -288,8 +295,8 @@ def _open_links(open_: DataFrame, similarity: float) -> DataFrame:
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no, blank, component_doc, component_line, kept) of every line of docs.
 
-    Lines are compared without blanks at their ends. Equal lines are one class (by a 64-bit hash) with its first place,
-    the smallest (doc_id, line_no). Classes that share a band are candidates; a shared band links nothing by itself: the
+    Lines are compared without blanks at their ends. Equal lines are one class (by a 64-bit hash; an unlike line of
+    the same hash, told by a second one, stays alone and is kept) with its first place, the smallest (doc_id, line_no). Classes that share a band are candidates; a shared band links nothing by itself: the
     shingle sets are compared exactly. Of a bucket, every class is compared with the bucket's first; where that leaves
     several components in a bucket, all classes outside its largest component are compared with all that are not in
     theirs, first by sketches that rule out no similar pair, save pairs that other links have joined by then. So no link is
@@ -297,7 +304,8 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     over the links keeps the first place of each component.
 
     Blank lines are kept and stand alone (component null), null texts have no line, an empty text has one blank line.
-    A null doc_id counts as the last. Repeated rows: equal places share ``kept``. Empty input: no rows.
+    A null doc_id counts as the last. Repeated rows: equal places share ``kept``. Very long texts go line by line, so only a
+    line has to fit into memory. Ties in a component go to the first place. Empty input: no rows.
     """
     return _components(docs, similarity).drop("doc", "text_hash")
 
@@ -305,9 +313,9 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def _components(docs: DataFrame, similarity: float) -> DataFrame:
     """Those of :func:`line_components`, with doc (null: LAST) and the text's hash."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    place = F.struct(F.col("doc"), F.col("line"))
-    signed = _signed(docs).select("node", place.alias("place"), "bands")
-    classes = cut(signed.groupBy("node").agg(F.min("place").alias("place"), F.first("bands").alias("bands")), "lines")
+    signed = _signed(docs).select("node", F.struct("doc", "line", "check", "bands").alias("first"))
+    signed = signed.groupBy("node").agg(F.min("first").alias("first"))
+    classes = cut(signed.select("node", F.struct("first.doc", "first.line").alias("place"), "first.check", "first.bands"), "lines")
 
     in_band = classes.select("node", F.explode("bands").alias("band"))
     buckets = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
@@ -331,9 +339,18 @@ def _components(docs: DataFrame, similarity: float) -> DataFrame:
     comp = components(links)
     firsts = comp.join(classes.select("node", "place"), "node")
     kept = firsts.groupBy("root").agg(F.min("place").alias("keeper"))
-    keeper = classes.select("node", "place").join(firsts.select("node", "root").join(kept, "root").select("node", "keeper"), "node", "left")
-    keeper = keeper.select("node", F.coalesce("keeper", "place").alias("keeper"))
-    out = _numbered(docs).join(keeper, "node", "left").withColumn("blank", F.col("node").isNull())
+    keeper = classes.select("node", "place", "check").join(firsts.select("node", "root").join(kept, "root").select("node", "keeper"), "node", "left")
+    keeper = keeper.select("node", F.struct(F.coalesce("keeper", "place").alias("at"), "check").alias("of"))
+    numbered = cut(_numbered(docs), "numbered")
+    # lines of more than a thousandth of all places (so at most a thousand) are joined by broadcast, and spread out
+    often = numbered.groupBy("node").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(numbered.agg(F.count(F.lit(1)).alias("all"))))
+    often = keeper.join(F.broadcast(often.where("node is not null and n * 1000 > all").select("node")), "node").withColumnRenamed("of", "hot")
+    own = F.when(F.col("node").isNull() | F.col("hot").isNotNull(), F.xxhash64("doc", "line_no")).otherwise(F.col("node"))
+    out = numbered.join(F.broadcast(often), "node", "left").withColumn("own", own)
+    out = out.join(keeper.withColumnRenamed("node", "own"), "own", "left").withColumn("of", F.coalesce("hot", "of")).withColumn("blank", F.col("node").isNull())
+    alone = F.struct(F.col("doc"), F.col("line_no").alias("line"))
+    at = F.when(~F.col("blank"), F.when(F.col("of.check") == F.col("check"), F.col("of.at")).otherwise(alone))
+    out = out.withColumn("keeper", at)
     mine = (F.col("keeper.doc") == F.col("doc")) & (F.col("keeper.line") == F.col("line_no"))
     named_doc = F.when(F.col("keeper.doc") < LAST, F.col("keeper.doc"))
     return out.select("doc_id", "doc", "text_hash", "line_no", "blank", named_doc.alias("component_doc"), F.col("keeper.line").alias("component_line"), (F.col("blank") | mine).alias("kept"))
@@ -344,14 +361,16 @@ def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> Data
 
     Every row stays, as does a null text. Only the numbers of dropped lines are joined back, by doc_id and the text's hash:
     rows of one doc_id with different texts lose their own lines alone, and rows of a null doc_id, which come last, lose
-    theirs like any other. Equal lines at one place (doc_id, number) share ``kept``, so all of them stay or go.
+    theirs like any other. Equal lines at one place (doc_id, number) share ``kept``, so all of them stay or go. Other
+    columns stay as they are, whatever their names. Empty input: no rows.
     """
-    gone = _components(docs, similarity).where("not kept").groupBy(F.col("doc").alias("_id"), F.col("text_hash").alias("_th")).agg(F.collect_set("line_no").alias("_gone"))
-    own = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)) == F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    i, t, g = fresh(docs, "_id", "_th", "_gone")
+    gone = _components(docs, similarity).where("not kept").groupBy(F.col("doc").alias(i), F.col("text_hash").alias(t)).agg(F.collect_set("line_no").alias(g))
+    own = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)) == F.col(i)) & (F.xxhash64("text") == F.col(t))
     out = docs.join(gone, own, "left")
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    left = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(g, at))
+    out = out.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
