@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed
+from .common import bucketed, in_slices
 
 #: Longest n-gram, and the factor of each step back.
 ORDER, BACKOFF = 3, 0.4
@@ -84,7 +84,7 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
             yield flush()
 
     schema = "chunk string, ids array<bigint>, lengths array<bigint>, vocabulary binary, tokens binary, n bigint"
-    return bucketed(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, schema), "chunk", "chunks")
+    return bucketed(in_slices(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema), "chunk", "chunks")
 
 
 def _distinct(vocabulary: bytes, tokens: bytes, lengths, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,6 +1,8 @@
 """The other training-data operators against brute force, round trips and held-out accuracy."""
 
 import base64
+import hashlib
+import itertools
 import json
 import math
 import random
@@ -200,4 +202,149 @@ def test_toxicity_on_held_out_rows(spark):
     held = [(r.tox_score >= 0.3, r.doc_id % 5 == 0) for r in got if r.held and r.doc_id < 900]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
     empty = toxicity.train([], [])
-    assert 0 <= empty.score([], toxicity.Vocabulary()) <= 1
+    assert (empty.scores([None, "", "a b"], toxicity.Vocabulary()) < 0.3).all()
+    nothing = toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert toxicity.score(docs.limit(0), nothing).count() == 0
+    clash = spark.createDataFrame([(1, "a", 5.0, [1, None])], "doc_id bigint, text string, tox_score double, more array<int>")
+    row = toxicity.score(clash, nothing).first()
+    assert row.more == [1, None] and row.tox_score < 0.3
+
+
+def plain_pooled(m, pairs):
+    """Maxima of every filter over a text by the definition, and the output."""
+    e = [m.emb[a].astype(float) + m.emb[b] for a, b in pairs]
+    out = []
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            starts = range(max(1, len(e) - w + 1))
+            out.append(max(sum(float(e[s + j] @ m.filters[w][j, :, f]) for j in range(w) if s + j < len(e)) for s in starts))
+    return np.array(out)
+
+
+def test_convolution_and_gradients_by_the_definition(monkeypatch):
+    rng = np.random.default_rng(3)
+    m = toxicity.train([], [])
+    m.emb[:-1] = rng.normal(size=m.emb[:-1].shape)
+    m.bias[:] = rng.normal(size=len(m.bias))
+    texts = [rng.integers(0, toxicity.WORDS, (n, 2)) for n in (0, 1, 2, 3, 7, 40)]
+    best = m.pooled(texts)[0]
+    for t, own in zip(texts, best):
+        assert np.allclose(own, plain_pooled(m, t), atol=1e-3)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 5)
+    z = np.array([np.maximum(plain_pooled(m, t) + m.bias, 0) @ m.out + m.out_bias for t in texts])
+    assert np.allclose(m.raw(texts), 1 / (1 + np.exp(-z)), atol=1e-4)
+    y = np.array([1, 0, 1, 0, 1, 0], np.float32)
+
+    def loss():
+        z = np.array([np.maximum(plain_pooled(m, t) + m.bias, 0) @ m.out.astype(float) + m.out_bias for t in texts])
+        return float(np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))))
+
+    g = toxicity.gradients(m, texts, y)
+    rows, values = g["emb"]
+    for array, at, want in ((m.out, 3, g["out"][3]), (m.bias, 7, g["bias"][7]), (m.filters[2], (1, 2, 3), g["filters"][2][1, 2, 3]), (m.emb, (rows[4], 2), values[4, 2])):
+        kept, h = array[at], 1e-3
+        array[at] = kept + h
+        up = loss()
+        array[at] = kept - h
+        down = loss()
+        array[at] = kept
+        assert abs((up - down) / (2 * h) - want) < 2e-3
+
+
+def test_sharding_weights_move_keys_within_subtrees_that_change(spark):
+    docs = spark.range(6000).withColumnRenamed("id", "doc_id").withColumn("region", F.lit("x"))
+    tree, key = sharding.layout(24), F.col("doc_id").cast("string")
+    heavy = {5: 3.0}
+    out = sharding.assign(sharding.assign(docs, key, tree, "before"), key, tree, "after", heavy).collect()
+    assert out[0].region == "x"
+    subtree = {s: (r, k) for r, racks in enumerate(tree) for k, rack in enumerate(racks) for s in rack}
+    moved = [(r.before, r.after) for r in out if r.before != r.after]
+    own = subtree[5]
+    for a, b in moved:  # into the region that grew, inside it into the rack that grew, inside that into the shard itself
+        (ra, ka), (rb, kb) = subtree[a], subtree[b]
+        assert rb == own[0] if ra != rb else (rb, kb) == own if ka != kb else b == 5
+    assert moved
+    n = Counter(r.after for r in out)
+    assert 1.8 < n[5] / np.mean([n[s] for s in range(24) if subtree[s] == own and s != 5]) < 4.5
+    assert sharding.with_slots(sharding.shard(spark.createDataFrame([], DOCS))).count() == 0
+    clash = spark.createDataFrame([(1, "a", 7, 8, 9)], "doc_id bigint, text string, bucket int, i int, shard int")
+    row = sharding.with_slots(sharding.shard(clash)).first()
+    assert row.bucket == 7 and row.i == 8 and row.slot == 0
+
+
+def plain_base(text):
+    """The base kinds by the definition, one character after the other."""
+    out = []
+    kinds = (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24))
+    for rank, (kind, pattern, least) in enumerate(kinds):
+        at, p = 0, re.compile(pattern)
+        while at < len(text):
+            m = p.match(text, at)
+            if not m:
+                at += 1
+                continue
+            if len(m[1] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+            at = m.end()
+    return [s for _, _, s in sorted(out)]
+
+
+def test_secrets_equal_the_definition_and_structure(spark):
+    rng = random.Random(9)
+    bits = ["password=", "Secret: '", "api_key=\"", "apikey =", "token", "AKIA", "0af3" * 6, "0af3" * 5, "ABCD1234EFGH5678", " ", "\n", "é", ":", "=", "x_-/+", "tokentoken=abcdef"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(150)] + [None, "", "a" * 200000, "ey" * 50000]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(3, texts[3], None, None)]
+    got = secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, DOCS))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = plain_base(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex")] == want
+    assert secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
+    key = base64.b64encode(der_key() + b"").decode()
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"
+    seq = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else bytes([0x81, len(body)])) + body
+    encrypted = seq(0x30, seq(0x30, seq(0x06, bytes.fromhex("2a864886f70d01050d")) + seq(0x30, b"")) + seq(0x04, bytes(range(48))))
+    dsa = seq(0x30, seq(0x02, b"\0") + b"".join(seq(0x02, bytes(range(1, 21))) for _ in range(5)))
+    wrapped = base64.b64encode(dsa).decode()
+    wrapped = "\n".join(wrapped[i : i + 64] for i in range(0, len(wrapped), 64))
+    for text, kind in ((f"x -----BEGIN PRIVATE KEY-----\\n{key}\\n-----END PRIVATE KEY-----", "pem_key"), (f"-----BEGIN PRIVATE KEY-----\nA-B: c,d\nDEK: e\n\n{key}\n-----END PRIVATE KEY-----", "pem_key"),
+                       (base64.b64encode(encrypted).decode(), "der_key"), (wrapped, "der_key"), (f"survey_results.{token} x", "signed_token"), (f"ey_results.{token}", "signed_token")):
+        assert kind in [k for k, _, _ in secrets.scan(text)], (text, kind)
+    for text in ("-----BEGIN PRIVATE KEY-----\nAAAA\n-----END PRIVATE KEY-----", "ey" + "a" * 40 + ".bbbb.cccc", base64.b64encode(encrypted[:-3]).decode()):
+        assert not [k for k, _, _ in secrets.scan(text) if k in secrets.CONFIRMED]
+
+
+def test_search_takes_rows_of_one_id_each(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (20, [0.5, 0.0]), (7, [0.5, 1.0]), (8, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = search.neighbours(df, F.col("vec_id") % 20 == 0, 20).collect()
+    assert len(got) == 3 * 4  # each of the three rows against all but itself
+    first = [(r.vec_id, r.score) for r in got if r["rank"] == 1]
+    assert sorted(first) == [(8, 1.0), (8, 1.0), (8, 2.0)]
+
+
+def test_mixing_keeps_columns_of_any_name_and_reaches_targets(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(4, 1.5))), rng.choice("abcd"), 1, 2, 3) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, bucket int, _bucket int, cell int")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 800 and all((r.bucket, r._bucket, r.cell) == (1, 2, 3) for r in got)
+    for s in "abcd":
+        own = [r for r in got if r.source == s]
+        most = max(r["size"] for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) < 0.03 * own[0].target + most / 8
+
+
+def test_index_of_sums_equals_enumeration():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        counts = {int(n): int(rng.integers(1, 4)) for n in rng.choice(np.arange(1, 60), 9, replace=False)}
+        sums, gap = packing.Sums(counts, 64), int(rng.integers(1, 64))
+        have = [n for n, c in counts.items() for _ in range(c)]
+        found = sums.exact(gap, Counter())
+        ways = {k: any(sum(c) == gap for c in itertools.combinations(have, k)) for k in (1, 2, 3)}
+        assert (found is None) == (not any(ways.values()))
+        if found:
+            assert sum(found) == gap and len(found) == min(k for k in ways if ways[k]) and not Counter(found) - Counter(have)
