@@ -41,18 +41,37 @@ def corr(x, y) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def valid(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of the columns is null or NaN; every order-based or probability measure starts here."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        fine = F.col(c).isNotNull()
+        df = df.where(fine & ~F.isnan(c) if kinds.get(c) in ("double", "float") else fine)
+    return df
+
+
+def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the keys are kept once."""
+    renamed = b.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{i}"))
+    return a.join(renamed, on, how).drop(*[f"_r_{i}" for i in range(len(keys))])
+
+
 def _in_buckets(hist: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
     """hist with ``_b``, the bucket of value in its group, at approximate quantiles."""
     at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = hist.groupBy(*by).agg(F.percentile_approx(value, at, 1000).alias("_bounds"))
-    return hist.join(F.broadcast(bounds) if by == ["_all"] else bounds, by).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+    joined = hist.join(F.broadcast(bounds), by) if by == ["_all"] else join_on(hist, bounds, by)
+    return joined.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
 
 
 def prefix_sums(hist: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = 32) -> DataFrame:
     """Running sums (``cum_<name>``) along value in each group, without one task for a group.
 
     Values fall into buckets at approximate quantiles; sums run inside a bucket, and the totals of earlier buckets, a
-    table of at most ``buckets`` rows a group, are added.
+    table of at most ``buckets`` rows a group, are added. A null group is a group like any other.
     """
     by = by or ["_all"]
     hist = hist.withColumn("_all", F.lit(1)) if by == ["_all"] else hist
@@ -61,12 +80,33 @@ def prefix_sums(hist: DataFrame, by: list[str], value: str, sums: list[str], buc
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(totals, [*by, "_b"])
+    out = join_on(cut, totals, [*by, "_b"])
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"_o_{s}") + F.sum(s).over(inside))
     return out.drop("_all", "_bounds", "_b", *[f"_o_{s}" for s in sums])
 
 
+def quantiles(hist: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+    """(by, q): exact quantiles of each group by linear interpolation on n - 1, from a histogram (by, value, n).
+
+    Order statistics come from prefix sums, so no task holds the values of a group; only two ranks a quantile are kept.
+    """
+    sums = prefix_sums(hist.where(F.col(value).isNotNull()), by, value, ["n"])
+    total = sums.groupBy(*by).agg(F.sum("n").alias("_n"))
+    ranks = F.transform(F.array(*map(F.lit, at)), lambda q: q * (F.col("_n") - 1))
+    ranks = total.select(*by, "_n", F.explode(F.array_distinct(F.concat(F.transform(ranks, lambda k: F.floor(k)), F.transform(ranks, lambda k: F.ceil(k))))).alias("_k"))
+    near = join_on(sums, ranks, by) if by else sums.crossJoin(F.broadcast(ranks))
+    hit = near.where((F.col("_k") < F.col("cum_n")) & (F.col("_k") >= F.col("cum_n") - F.col("n")))
+    got = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", value))).alias("_v"), F.first("_n").alias("_n"))
+
+    def one(q):
+        pos = q * (F.col("_n") - 1)
+        lo, hi = F.col("_v")[F.floor(pos)], F.col("_v")[F.ceil(pos)]
+        return lo + (hi - lo) * (pos - F.floor(pos))
+
+    return got.select(*by, F.array(*[one(F.lit(float(q))) for q in at]).alias("q"))
+
+
 def suffix_min(hist: DataFrame, value: str, name: str, buckets: int = 32) -> DataFrame:
     """The least ``name`` (``min_<name>``) of this and all larger values, from minima of buckets as in prefix_sums."""
     cut = _in_buckets(hist.withColumn("_all", F.lit(1)), ["_all"], value, buckets)

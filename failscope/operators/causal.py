@@ -1,20 +1,33 @@
-"""Causal estimates from weighted sums, label noise, missing data, splits and graph reachability."""
+"""Causal estimates from weighted sums, and graph reachability."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, r6, ratio
+from ..functions.core import corr, r6, ratio, valid
 
 
 def effects(df: DataFrame, t="t", y="y", ps="ps") -> DataFrame:
-    """CS1, CS3, CS4, CS6, CS9: naive difference, plain and normalised IPW, odds-weighted ATT and overlap in one pass."""
-    T, Y, e = F.col(t), F.col(y), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(ps)))
-    w1, w0, odds = F.when(T == 1, 1 / e).otherwise(0.0), F.when(T == 0, 1 / (1 - e)).otherwise(0.0), F.when(T == 0, e / (1 - e)).otherwise(0.0)
-    out = df.agg((F.avg(F.when(T == 1, Y)) - F.avg(F.when(T == 0, Y))).alias("naive"), F.avg(T * Y / e - (1 - T) * Y / (1 - e)).alias("ipw"), (F.sum(w1 * Y) / F.sum(w1) - F.sum(w0 * Y) / F.sum(w0)).alias("ipw_normalised"),
-                 (F.avg(F.when(T == 1, Y)) - F.sum(odds * Y) / F.sum(odds)).alias("att"), F.avg((~F.col(ps).between(0.05, 0.95)).cast("double")).alias("outside"), F.min(ps).alias("ps_min"), F.max(ps).alias("ps_max"))
-    return out.select(*[r6(c).alias(c) for c in out.columns], (F.col("outside") < 0.1).alias("valid_overlap"))
+    """CS1, CS3, CS4, CS6, CS9: naive difference, plain and normalised IPW, odds-weighted ATT (the latter two with standard
+    errors and 95 % intervals) and overlap. Rows with a null or NaN treatment, outcome or propensity take no part.
+
+    Standard errors are those of weighted means: sqrt(sum(w² (y - mean)²)) / sum(w) on each side, from sums of w, w y, w²,
+    w² y and w² y², so one pass is enough.
+    """
+    df = valid(df, t, y, ps)
+    T, Y, e = F.col(t), F.col(y).cast("double"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(ps)))
+    sides = {"a": F.when(T == 1, 1 / e).otherwise(0.0), "b": F.when(T == 0, 1 / (1 - e)).otherwise(0.0), "o": F.when(T == 0, e / (1 - e)).otherwise(0.0), "t": F.when(T == 1, 1.0).otherwise(0.0)}
+    sums = [F.sum(x).alias(f"{n}{k}") for n, w in sides.items() for k, x in (("w", w), ("y", w * Y), ("v", w * w), ("u", w * w * Y), ("z", w * w * Y * Y))]
+    g = df.agg((F.avg(F.when(T == 1, Y)) - F.avg(F.when(T == 0, Y))).alias("naive"), F.avg(T * Y / e - (1 - T) * Y / (1 - e)).alias("ipw"),
+               F.avg((~F.col(ps).between(0.05, 0.95)).cast("double")).alias("outside"), F.min(ps).alias("ps_min"), F.max(ps).alias("ps_max"), *sums)
+    mean = lambda n: F.try_divide(F.col(f"{n}y"), F.col(f"{n}w"))
+    var = lambda n: F.try_divide(F.col(f"{n}z") - 2 * mean(n) * F.col(f"{n}u") + mean(n) * mean(n) * F.col(f"{n}v"), F.col(f"{n}w") * F.col(f"{n}w"))
+    out = g.select("*", (mean("a") - mean("b")).alias("ipw_normalised"), F.sqrt(var("a") + var("b")).alias("ipw_se"), (mean("t") - mean("o")).alias("att"), F.sqrt(var("t") + var("o")).alias("att_se"))
+    ends = [(F.col(c) + s * 1.959964 * F.col(f"{'ipw' if c[0] == 'i' else c}_se")).alias(f"{c}_{n}") for c in ("ipw_normalised", "att") for s, n in ((-1, "low"), (1, "high"))]
+    out = out.select("*", *ends)
+    shown = ["naive", "ipw", "ipw_normalised", "ipw_se", "ipw_normalised_low", "ipw_normalised_high", "att", "att_se", "att_low", "att_high", "outside", "ps_min", "ps_max"]
+    return out.select(*[r6(c).alias(c) for c in shown], (F.col("outside") < 0.1).alias("valid_overlap"))
 
 
 def diff_in_diff(df: DataFrame, t="t", post="post", y="y") -> DataFrame:
@@ -31,31 +44,59 @@ def two_stage(df: DataFrame, z: str, t: str, y: str) -> DataFrame:
 
 
 def simpson(df: DataFrame, t="t", y="y", stratum="stratum") -> DataFrame:
-    """CS15, CS16: effect and correlation in each stratum and over all (``stratum`` null), in one rollup."""
+    """CS15, CS16: effect and correlation in each stratum and over all (``whole``), in one rollup, with both verdicts: every
+    stratum's correlation has the sign opposite to the whole's; more than one stratum has an effect, all of one sign, and
+    the whole's is the other. A null stratum is a stratum; no sign is 0."""
     T, Y = F.col(t), F.col(y)
-    g = df.rollup(stratum).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(T == 1, Y)) - F.avg(F.when(T == 0, Y))).alias("effect"), corr(t, y).alias("r"))
-    return g.select(F.coalesce(F.col(stratum), F.lit("ALL")).alias("stratum"), "n", r6("effect").alias("effect"), r6("r").alias("r"))
+    g = df.rollup(stratum).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(T == 1, Y)) - F.avg(F.when(T == 0, Y))).alias("effect"), corr(t, y).alias("r"), (F.grouping(stratum) == 1).alias("whole"))
+    part, sign = ~F.col("whole"), lambda c: F.signum(F.col(c))
+    v = g.agg(F.max(F.when(F.col("whole"), sign("r"))).alias("_r"), F.max(F.when(F.col("whole"), sign("effect"))).alias("_e"), *[f(F.when(part, sign(c))).alias(f"{n}{c}") for c in ("r", "effect") for n, f in (("lo", F.min), ("hi", F.max))], F.count_if(part & F.col("effect").isNotNull()).alias("k"))
+    one = lambda c: (F.col(f"lo{c}") == F.col(f"hi{c}")) & (F.col(f"lo{c}") != 0)
+    v = v.select(F.coalesce(one("r") & (F.col("lor") == -F.col("_r")), F.lit(False)).alias("paradox_by_correlation"), F.coalesce(one("effect") & (F.col("k") > 1) & (F.col("loeffect") != F.col("_e")), F.lit(False)).alias("paradox_by_effect"))
+    return g.crossJoin(F.broadcast(v)).select("whole", F.col(stratum).alias("stratum"), "n", r6("effect").alias("effect"), r6("r").alias("r"), "paradox_by_correlation", "paradox_by_effect")
 
 
-def _can_checkpoint(spark) -> None:
-    import tempfile
-
+def _written(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the session's shared folder, or, where none is set, in one of the warehouse."""
+    spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/failscope-shared")
+    return df.checkpoint()
 
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """GR1: (root, node) for all that the roots of ``start`` (column root) reach. Each round joins the frontier with the
-    edges and leaves out what was met; rounds are written so the plan stays short. For graphs of lineage size."""
-    _can_checkpoint(edges.sparkSession)
-    frontier = start.join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().checkpoint()
+    edges and leaves out what was met; rounds are written so the plan stays short, each once. Null ends lead nowhere. For
+    graphs of lineage size."""
+    edges = edges.where("src is not null and dst is not null")
+    frontier = _written(start.where("root is not null").join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct())
     met = frontier
     while not frontier.isEmpty():
-        frontier = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(met, ["root", "node"], "left_anti").checkpoint()
-        met = met.unionByName(frontier).checkpoint()
+        frontier = _written(frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(met, ["root", "node"], "left_anti"))
+        met = met.unionByName(frontier)
     return met
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """GR2: nodes that reach themselves; no row in an acyclic graph."""
+    starts = edges.select(F.col("src").alias("root")).distinct()
+    return reach(edges, starts).where("root = node").select("node").distinct()
+
+
+def roles(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """GR4, GR6: (x, y, node, role, advice) of the direct neighbours of the pairs (x, y): a parent of both is a confounder
+    (adjust), a child of both a collider (do not adjust), a child of x that is a parent of y a mediator (do not adjust), any
+    other parent of x is in the parent adjustment set (adjust)."""
+    edges, pairs = edges.where("src is not null and dst is not null").distinct(), pairs.distinct()
+    parent, child = lambda c: edges.select(F.col("dst").alias(c), F.col("src").alias("node")), lambda c: edges.select(F.col("src").alias(c), F.col("dst").alias("node"))
+    near = pairs.join(parent("x"), "x").withColumn("k", F.lit("px")).unionByName(pairs.join(child("x"), "x").withColumn("k", F.lit("cx")))
+    near = near.unionByName(pairs.join(parent("y"), "y").withColumn("k", F.lit("py"))).unionByName(pairs.join(child("y"), "y").withColumn("k", F.lit("cy")))
+    has = lambda k: F.max((F.col("k") == k).cast("int")) == 1
+    g = near.where("node <> x and node <> y").groupBy("x", "y", "node").agg(*[has(k).alias(k) for k in ("px", "cx", "py", "cy")])
+    role = F.when(F.col("px") & F.col("py"), "confounder").when(F.col("cx") & F.col("cy"), "collider").when(F.col("cx") & F.col("py"), "mediator").when(F.col("px"), "parent")
+    return g.withColumn("role", role).where("role is not null").select("x", "y", "node", "role", F.when(F.col("role").isin("confounder", "parent"), "adjust").otherwise("do not adjust").alias("advice"))
+
+
 def flipped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -63,57 +104,10 @@ def flipped(edges: DataFrame) -> DataFrame:
 def relatives(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """GR3–GR5: (x, y, kind, node) for each of the pairs (x, y): confounders (common ancestors), colliders (common
     descendants), mediators (between). Frontiers start at all nodes of the pairs at once."""
-    _can_checkpoint(edges.sparkSession)
-    edges, pairs = edges.distinct().checkpoint(), pairs.distinct().checkpoint()
+    edges, pairs = _written(edges.distinct()), _written(pairs.distinct())
     xs, ys = pairs.select(F.col("x").alias("root")).distinct(), pairs.select(F.col("y").alias("root")).distinct()
     start = xs.union(ys).distinct()
     down, up = reach(edges, start), reach(flipped(edges), start)
     of = lambda d, roots, c: d.join(roots, "root", "left_semi").withColumnRenamed("root", c)
     kind = lambda a, b, k: of(a, xs, "x").join(of(b, ys, "y"), "node").join(pairs, ["x", "y"]).select("x", "y", F.lit(k).alias("kind"), "node")
     return kind(up, up, "confounder").unionByName(kind(down, down, "collider")).unionByName(kind(down, up, "mediator"))
-
-
-def noise_thresholds(df: DataFrame, label: str, probs: list[str]) -> DataFrame:
-    """LN1: mean probability of each class over the rows that bear its label."""
-    return df.agg(*[F.avg(F.when(F.col(label) == k, F.col(p))).alias(f"t{k}") for k, p in enumerate(probs)])
-
-
-def confident(df: DataFrame, label: str, probs: list[str]) -> DataFrame:
-    """LN2, LN3, LN5, LN8 for each row: confident class, error flag, margin and self-confidence."""
-    t = df.crossJoin(F.broadcast(noise_thresholds(df, label, probs)))
-    best = F.lit(None).cast("struct<p:double,k:int>")
-    over = [F.when(F.col(p) >= F.col(f"t{k}"), F.struct(F.col(p).alias("p"), F.lit(-k).alias("k"))) for k, p in enumerate(probs)]
-    best = F.greatest(*over)
-    own = F.element_at(F.array(*probs), (F.col(label) + 1).cast("int"))
-    mine = F.element_at(F.array(*[f"t{k}" for k in range(len(probs))]), (F.col(label) + 1).cast("int"))
-    other = F.array_max(F.transform(F.array(*probs), lambda p, i: F.when(i != F.col(label), p)))
-    cls = -best["k"]
-    return t.select("row_id", F.col(label).alias("label"), cls.alias("confident"), F.when(best.isNull(), own < mine).otherwise(cls != F.col(label)).alias("is_issue"), r6(own - other).alias("margin"), r6(own).alias("quality"))
-
-
-def missing_profile(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """MD1, MD5, MD7: missing rate, correlation of the indicator with the target, target gap and mechanism by gap."""
-    parts = []
-    for c in cols:
-        gone, y = F.col(c).isNull(), F.col(target).cast("double")
-        parts.append(F.struct(F.lit(c).alias("feature"), F.avg(gone.cast("double")).alias("rate"), corr(gone.cast("double"), target).alias("r"), F.abs(F.avg(F.when(gone, y)) - F.avg(F.when(~gone, y))).alias("gap")))
-    g = df.agg(*[p.alias(f"{i}") for i, p in enumerate(parts)]).select(F.explode(F.array(*[F.col(f"{i}") for i in range(len(cols))])).alias("x")).select("x.*")
-    mech = F.when(F.col("rate") == 0, "NONE").when(F.col("gap") > 0.10, "MNAR").when(F.col("gap") > 0.05, "MAR").otherwise("MCAR")
-    return g.select("feature", r6("rate").alias("missing_rate"), r6("r").alias("target_corr"), r6("gap").alias("target_gap"), mech.alias("mechanism"), (F.abs("r") >= 0.1).alias("keep_indicator"), (F.col("rate") > 0.3).alias("high_missing"))
-
-
-def missing_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """MD2: rows of each pattern of missing columns."""
-    return df.groupBy(F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols]).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def slices(df: DataFrame, features: list[str], loss: str, least: int = 20) -> DataFrame:
-    """SL1, SL2, SL7: single-feature slices with effect size against the rest and Welch t, from sums and squares."""
-    long = df.select(F.col(loss).cast("double").alias("l"), *[F.col(f).cast("string").alias(f) for f in features]).unpivot(["l"], features, "feature", "value")
-    g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("l").alias("s"), F.sum(F.col("l") * F.col("l")).alias("q"))
-    t = df.agg(F.count(F.lit(1)).cast("double").alias("all_n"), F.sum(F.col(loss).cast("double")).alias("all_s"), F.sum(F.col(loss).cast("double") * F.col(loss)).alias("all_q"))
-    g = g.where(F.col("n") >= least).crossJoin(F.broadcast(t))
-    n, m, rest = F.col("n"), F.col("s") / F.col("n"), F.col("all_n") - F.col("n")
-    M = F.try_divide(F.col("all_s") - F.col("s"), rest)
-    v, V = F.col("q") / n - m * m, F.try_divide(F.col("all_q") - F.col("q"), rest) - M * M
-    return g.select("feature", "value", n.cast("bigint").alias("n"), r6(m).alias("mean_loss"), r6(M).alias("rest_loss"), r6(F.try_divide(F.sqrt(F.lit(2.0)) * (m - M), F.sqrt(v + V))).alias("effect"))

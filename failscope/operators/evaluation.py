@@ -1,22 +1,25 @@
-"""Model evaluation: counts by group in one aggregate; order-based measures from a score histogram."""
+"""Model evaluation: counts by group in one aggregate; order-based measures from a score histogram.
+
+Rows whose label, prediction or score is null or NaN take no part; a null group is a group.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, prefix_sums, ratio, ratio0, r6
+from ..functions.core import count_if, join_on, prefix_sums, quantiles, ratio, ratio0, r6, valid
 
 
 def confusion(df: DataFrame, y_true="y_true", y_pred="y_pred", by=()) -> DataFrame:
     """EV1: long confusion matrix."""
-    return df.groupBy(*by, F.col(y_true).alias("actual"), F.col(y_pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return valid(df, y_true, y_pred).groupBy(*by, F.col(y_true).alias("actual"), F.col(y_pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def binary_counts(df: DataFrame, y_true="y_true", y_pred="y_pred", by=(), pos=1) -> DataFrame:
     """EV2: tp, fp, tn, fn by group."""
     t, p = F.col(y_true) == pos, F.col(y_pred) == pos
-    return df.groupBy(*by).agg(count_if(t & p).alias("tp"), count_if(~t & p).alias("fp"), count_if(~t & ~p).alias("tn"), count_if(t & ~p).alias("fn"))
+    return valid(df, y_true, y_pred).groupBy(*by).agg(count_if(t & p).alias("tp"), count_if(~t & p).alias("fp"), count_if(~t & ~p).alias("tn"), count_if(t & ~p).alias("fn"))
 
 
 def rates(c: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -34,7 +37,7 @@ def rates(c: DataFrame, beta: float = 1.0) -> DataFrame:
 
 def threshold_table(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFrame:
     """EV6: counts and rates at each distinct score (predicted where score >= threshold), from prefix sums."""
-    t = df.withColumn("_neg", -F.col(y_prob)).groupBy("_neg").agg(F.sum(y_true).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("n"))
+    t = valid(df, y_true, y_prob).withColumn("_neg", -F.col(y_prob)).groupBy("_neg").agg(F.sum(y_true).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("n"))
     total = t.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
     t = prefix_sums(t, [], "_neg", ["pos", "n"]).crossJoin(F.broadcast(total))
     tp, fp = F.col("cum_pos"), F.col("cum_n") - F.col("cum_pos")
@@ -62,7 +65,7 @@ def roc_points(table: DataFrame) -> DataFrame:
 def auc(df: DataFrame, y_true="y_true", y_prob="y_prob", by=()) -> DataFrame:
     """EV10: area under the ROC curve by rank sums (ties half), 0.5 where one class is missing."""
     by = list(by)
-    h = df.groupBy(*by, F.col(y_prob).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.sum(1 - F.col(y_true)).cast("double").alias("neg"))
+    h = valid(df, y_true, y_prob).groupBy(*by, F.col(y_prob).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.sum(1 - F.col(y_true)).cast("double").alias("neg"))
     h = prefix_sums(h, by, "_p", ["neg"])
     area = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
     return h.groupBy(*by).agg(r6(F.coalesce(F.try_divide(area, F.sum("pos") * F.sum("neg")), F.lit(0.5))).alias("auc"))
@@ -70,7 +73,7 @@ def auc(df: DataFrame, y_true="y_true", y_prob="y_prob", by=()) -> DataFrame:
 
 def average_precision(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFrame:
     """EV12: sum of precision times the step in recall, one step for each distinct score."""
-    h = df.groupBy((-F.col(y_prob)).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    h = valid(df, y_true, y_prob).groupBy((-F.col(y_prob)).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
     h = prefix_sums(h, [], "_p", ["pos", "n"])
     return h.agg(r6(F.try_divide(F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")), F.sum("pos"))).alias("average_precision"))
 
@@ -78,26 +81,77 @@ def average_precision(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFr
 def log_loss(df: DataFrame, y_true="y_true", y_prob="y_prob", by=()) -> DataFrame:
     """EV14: mean log loss, probabilities clipped at 1e-15."""
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(y_prob)))
-    return df.groupBy(*by).agg(r6(-F.avg(F.when(F.col(y_true) == 1, F.ln(p)).otherwise(F.ln(1 - p)))).alias("log_loss"))
+    return valid(df, y_true, y_prob).groupBy(*by).agg(r6(-F.avg(F.when(F.col(y_true) == 1, F.ln(p)).otherwise(F.ln(1 - p)))).alias("log_loss"))
 
 
 def class_report(df: DataFrame, y_true="y_true", y_pred="y_pred") -> DataFrame:
-    """EV15: precision, recall, F1 and support of each class."""
+    """EV15: precision, recall, F1 and support of each class, then their plain ("macro") and support-weighted means and the
+    accuracy (as all three rates), told apart by ``row``."""
     c = confusion(df, y_true, y_pred)
     rows = c.groupBy(F.col("actual").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hit"))
     cols = c.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("claimed"))
     j = rows.join(cols, "class", "full").na.fill(0, ["support", "hit", "claimed"])
     p, r = ratio0("hit", "claimed"), ratio0("hit", "support")
-    return j.select("class", "support", r6(p).alias("precision"), r6(r).alias("recall"), r6(ratio0(2 * p * r, p + r)).alias("f1"))
+    f = ratio0(2 * p * r, p + r)
+    rates_ = j.select("class", "support", "hit", p.alias("p"), r.alias("r"), f.alias("f"))
+    n = F.sum("support").cast("double")
+    mean = lambda c: F.sum(F.col(c) * F.col("support")) / n
+    whole = rates_.agg(F.sum("support").alias("support"), F.struct(*[F.avg(c).alias(c) for c in "prf"]).alias("macro"), F.struct(*[mean(c).alias(c) for c in "prf"]).alias("weighted"),
+                       F.struct(*[(F.sum("hit") / n).alias(c) for c in "prf"]).alias("accuracy"))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("row"), F.col(k).alias("v")) for k in ("macro", "weighted", "accuracy")]))
+    whole = whole.select("support", rows.alias("x")).select(F.col("x.row").alias("row"), "support", *[F.col(f"x.v.{c}").alias(c) for c in "prf"])
+    out = rates_.select(F.col("class").cast("string").alias("row"), "support", "p", "r", "f").unionByName(whole)
+    return out.select("row", "support", r6("p").alias("precision"), r6("r").alias("recall"), r6("f").alias("f1"))
+
+
+def kappa(df: DataFrame, y_true="y_true", y_pred="y_pred") -> DataFrame:
+    """EV5 for any classes: agreement beyond chance; 1 where chance agreement is 1."""
+    c = confusion(df, y_true, y_pred)
+    side = lambda x: c.groupBy(F.col(x).alias("class")).agg(F.sum("n").cast("double").alias(x[0]))
+    j = side("actual").join(side("predicted"), "class", "full").na.fill(0.0, ["a", "p"])
+    t = c.agg(F.sum("n").cast("double").alias("n"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hit"))
+    t = j.agg(F.sum(F.col("a") * F.col("p")).alias("chance")).crossJoin(t).select((F.col("hit") / F.col("n")).alias("o"), (F.col("chance") / (F.col("n") * F.col("n"))).alias("e"))
+    return t.select(r6("o").alias("agreement"), r6("e").alias("chance"), r6(F.when(F.col("e") == 1, 1.0).otherwise((F.col("o") - F.col("e")) / (1 - F.col("e")))).alias("kappa"))
+
+
+def pr_points(table: DataFrame) -> DataFrame:
+    """EV11: recall and precision at each threshold, with the start (0, 1)."""
+    start = table.sparkSession.createDataFrame([(0.0, 1.0)], "recall double, precision double")
+    return table.select("recall", "precision").unionByName(start).distinct()
+
+
+def pr_auc(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFrame:
+    """EV13: area under the precision-recall curve by trapezoids, ties collapsed, from (0, 1) to (1, prevalence)."""
+    h = valid(df, y_true, y_prob).groupBy((-F.col(y_prob)).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    h = prefix_sums(h, [], "_p", ["pos", "n"])
+    t = h.agg(F.sum("pos").alias("P"))
+    before = F.col("cum_n") - F.col("n")
+    now, last = F.col("cum_pos") / F.col("cum_n"), F.when(before > 0, (F.col("cum_pos") - F.col("pos")) / before).otherwise(1.0)
+    return h.crossJoin(F.broadcast(t)).agg(r6(F.sum(F.try_divide(F.col("pos"), F.col("P")) * (now + last) / 2)).alias("pr_auc"))
+
+
+def summary(df: DataFrame, y_true="y_true", y_prob="y_prob", cut: float = 0.5) -> DataFrame:
+    """EV16: one row of counts, rates, AUC, average precision, log loss, ECE and the threshold of the best F1."""
+    from . import calibration
+
+    df = valid(df, y_true, y_prob)
+    t = rates(binary_counts(df.withColumn("_hat", (F.col(y_prob) >= cut).cast("int")), y_true, "_hat"))
+    best = best_f1(threshold_table(df, y_true, y_prob)).select(F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"))
+    ece = calibration.errors(calibration.reliability(df, y_true, y_prob)).select(r6("ece").alias("ece"))
+    for part in (auc(df, y_true, y_prob), average_precision(df, y_true, y_prob), log_loss(df, y_true, y_prob), ece, best):
+        t = t.crossJoin(F.broadcast(part))  # one row each
+    return t
 
 
 def regression(df: DataFrame, y="y", yhat="yhat", by=(), features: int = 1) -> DataFrame:
     """EV17–EV19: errors, r2 (0 where y is constant), residual mean, spread and bias, explained variance, median error."""
     e, y_, p = F.col(y) - F.col(yhat), F.col(y), F.col(yhat)
+    df = valid(df, y, yhat)
     g = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(e) / F.greatest(F.abs(y_), F.lit(1e-8))).alias("mape"),
-        F.avg(2 * F.abs(e) / F.greatest(F.abs(y_) + F.abs(p), F.lit(1e-8))).alias("smape"), F.var_pop(y_).alias("vy"), F.var_pop(e).alias("ve"), F.avg(e).alias("me"), F.stddev_samp(e).alias("se"), F.max(F.abs(e)).alias("worst"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("medae"))
+        F.avg(2 * F.abs(e) / F.greatest(F.abs(y_) + F.abs(p), F.lit(1e-8))).alias("smape"), F.var_pop(y_).alias("vy"), F.var_pop(e).alias("ve"), F.avg(e).alias("me"), F.stddev_samp(e).alias("se"), F.max(F.abs(e)).alias("worst"))
+    middle = quantiles(df.groupBy(*by, F.abs(e).alias("_e")).agg(F.count(F.lit(1)).alias("n")), list(by), "_e", [0.5]).select(*by, F.col("q")[0].alias("medae"))
+    g = join_on(g, middle, list(by)) if by else g.crossJoin(F.broadcast(middle))
     r2 = F.when(F.col("vy") == 0, 0.0).otherwise(1 - ratio("mse", "vy"))
     n = F.col("n").cast("double")
     return g.select(*by, "n", F.round("mse", 2).alias("mse"), F.round(F.sqrt("mse"), 4).alias("rmse"), F.round("mae", 4).alias("mae"), r6("mape").alias("mape"), r6("smape").alias("smape"), r6(r2).alias("r2"),
@@ -126,9 +180,12 @@ def regression_check(current: DataFrame, baseline: DataFrame, key: str, metric:
 
 
 def confusion_patterns(df: DataFrame, y_true="y_true", y_pred="y_pred", top: int = 3) -> DataFrame:
-    """EV23: the most frequent wrong classes of each class with their rates."""
+    """EV23: the most frequent wrong classes of each class with their rates, and the class's recall and precision."""
     c = confusion(df, y_true, y_pred)
-    total = Window.partitionBy("actual")
-    c = c.withColumn("rate", r6(F.col("n") / F.sum("n").over(total))).where("actual <> predicted")
+    total, claimed = Window.partitionBy("actual"), Window.partitionBy("predicted")
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    c = c.withColumn("rate", r6(F.col("n") / F.sum("n").over(total))).withColumn("recall", r6(F.sum(hit).over(total) / F.sum("n").over(total)))
+    own = c.select("*", F.sum("n").over(claimed).alias("_c")).where("actual = predicted").select(F.col("actual").alias("_a"), r6(F.col("n") / F.col("_c")).alias("precision"))
+    c = c.where("actual <> predicted").join(own, F.col("actual") == F.col("_a"), "left").drop("_a").na.fill(0.0, ["precision"])
     order = Window.partitionBy("actual").orderBy(F.desc("n"), "predicted")
-    return c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("actual", "predicted", "n", "rate", "rank")
+    return c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("actual", "predicted", "n", "rate", "rank", "recall", "precision")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import r6
+from ..functions.core import r6, valid
 from .evaluation import binary_counts
 
 
@@ -39,13 +39,100 @@ def gap_severity(gap: Column) -> Column:
     return F.when(gap <= 0.05, "LOW").when(gap <= 0.10, "MEDIUM").when(gap <= 0.20, "HIGH").otherwise("CRITICAL")
 
 
+def ratio_severity(ratio: Column) -> Column:
+    return F.when(ratio >= 0.95, "LOW").when(ratio >= 0.90, "MEDIUM").when(ratio >= 0.80, "HIGH").otherwise("CRITICAL")
+
+
 def audit(df: DataFrame, axes: list[str], y_true="y_true", y_pred="y_pred", small: int = 30) -> DataFrame:
-    """FA9, FA10: every attribute in one pass over unpivoted axes: gaps, severity, worst group, small groups."""
+    """FA9, FA10: every attribute in one pass over unpivoted axes: gaps with severities, worst group (farthest from the mean
+    selection rate), small groups, and the axis of the largest gap. A null group is a group; rows without label or
+    prediction take no part."""
     long = df.select(y_true, y_pred, *[F.col(a).cast("string").alias(a) for a in axes]).unpivot([y_true, y_pred], axes, "axis", "grp")
     rates = group_rates(long, "grp", y_true, y_pred, by=["axis"])
     mean = rates.groupBy("axis").agg(F.avg("selection_rate").alias("_m"))
     far = rates.join(F.broadcast(mean), "axis").groupBy("axis").agg(F.max_by("grp", F.struct(F.round(F.abs(F.col("selection_rate") - F.col("_m")), 9), "grp")).alias("worst_group"), F.count_if(F.col("n") < small).alias("small_groups"))
-    return gaps(rates, ["axis"]).join(far, "axis").select("axis", "dp_gap", "eo_gap", "di_ratio", gap_severity(F.col("dp_gap")).alias("dp_severity"), gap_severity(F.col("eo_gap")).alias("eo_severity"), "worst_group", "small_groups")
+    t = gaps(rates, ["axis"]).join(far, "axis").select("axis", "dp_gap", "eo_gap", "di_ratio", gap_severity(F.col("dp_gap")).alias("dp_severity"), gap_severity(F.col("eo_gap")).alias("eo_severity"),
+                                                       ratio_severity(F.col("di_ratio")).alias("di_severity"), "worst_group", "small_groups")
+    worst = t.agg(F.max_by("axis", F.struct(F.greatest("dp_gap", "eo_gap"), "axis")).alias("worst_axis"))
+    return t.crossJoin(F.broadcast(worst))
+
+
+def report(df: DataFrame, group="grp", y_true="y_true", y_pred="y_pred") -> DataFrame:
+    """FA8: (criterion, value, passes) of FA2 to FA6 (the ratio of the rates of the least to the most selected group), with
+    the number of violations, the status (OK, MEDIUM, HIGH, CRITICAL for 0, 1, 2, 3 or more) and whether base rates are
+    within 0.05, so that all criteria can hold at once."""
+    r = group_rates(df, group, y_true, y_pred)
+    g = gaps(r).crossJoin(F.broadcast(r.agg((F.max("base_rate") - F.min("base_rate")).alias("_b"))))
+    rules = [("demographic_parity", "dp_gap", F.col("dp_gap") < 0.1), ("equalized_odds", "eo_gap", F.col("eo_gap") < 0.1), ("equal_opportunity", "tpr_gap", F.col("tpr_gap") < 0.1),
+             ("predictive_parity", "ppv_gap", F.col("ppv_gap") < 0.1), ("disparate_impact", "di_ratio", F.col("di_ratio") >= 0.8)]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("criterion"), F.col(c).alias("value"), ok.alias("passes")) for n, c, ok in rules]))
+    bad = sum((~ok).cast("int") for _, _, ok in rules)
+    status = F.when(bad == 0, "OK").when(bad == 1, "MEDIUM").when(bad == 2, "HIGH").otherwise("CRITICAL")
+    return g.select(rows.alias("x"), bad.alias("violations"), status.alias("status"), (F.col("_b") < 0.05).alias("base_rates_close")).select("x.*", "violations", "status", "base_rates_close")
+
+
+# The advice for each criterion.
+ADVICE = {
+    "demographic_parity": "compare selection by group and review the threshold",
+    "equalized_odds": "use thresholds by group or reweigh the training rows",
+    "equal_opportunity": "raise recall in the group of the lowest true positive rate",
+    "predictive_parity": "calibrate the score in each group",
+    "disparate_impact": "check the selection against the four-fifths rule",
+}
+
+
+def recommendations(report_: DataFrame) -> DataFrame:
+    """FA12: the criteria that fail, with advice, the worst miss first."""
+    advice = F.element_at(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv]), F.col("criterion"))
+    miss = F.when(F.col("criterion") == "disparate_impact", 0.8 - F.col("value")).otherwise(F.col("value") - 0.1)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_miss"), "criterion")  # five rows at most
+    return report_.where("not passes").withColumn("_miss", miss).select(F.row_number().over(order).alias("rank"), "criterion", "value", "status", advice.alias("advice"))
+
+
+def individual(df: DataFrame, features: list[str], y_pred: str, key: str, k: int = 5, cells: int = 8) -> DataFrame:
+    """FA7: 1 - mean absolute difference of the prediction to the k nearest other rows, passing at 0.8.
+
+    Features are scaled to [0, 1]; rows meet in cells of a random projection's quantiles, each also with the next cell, so
+    neighbours are those found there (a locality-sensitive form; cells have bounded sizes by construction of quantiles,
+    not by cutting rows).
+    """
+    ends = df.agg(*[f(c).cast("double").alias(f"_{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
+    d = valid(df, y_pred, *features).crossJoin(F.broadcast(ends))
+    scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")), F.lit(0.0)) for c in features]
+    weights = [((i * 7919 + 104729) % 1000) / 1000 + 0.5 for i in range(len(features))]
+    d = d.select(F.col(key).alias("k"), F.col(y_pred).cast("double").alias("y"), F.array(*scaled).alias("x"), sum(w * s for w, s in zip(weights, scaled)).alias("h"))
+    n = d.count()
+    parts = max(1, n // (cells * 64))
+    bounds = d.agg(F.percentile_approx("h", F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), 10000).alias("_b"))
+    d = d.crossJoin(F.broadcast(bounds)).withColumn("c", F.size(F.filter("_b", lambda b: b < F.col("h")))).drop("_b", "h")
+    a = d.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    b = d.select(F.col("k").alias("k2"), F.col("y").alias("y2"), F.col("x").alias("x2"), "c")
+    dist = F.aggregate(F.zip_with("x", "x2", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    near = Window.partitionBy("k").orderBy("d", "k2")
+    m = a.join(b, "c").where("k <> k2").withColumn("d", dist).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
+    score = 1 - F.avg(F.abs(F.col("y") - F.col("y2")))
+    return m.agg(r6(score).alias("consistency"), (score >= 0.8).alias("passes"))
+
+
+def fair_threshold(df: DataFrame, group="grp", y_true="y_true", y_prob="y_prob", criterion: str = "demographic_parity", steps: int = 50) -> DataFrame:
+    """FA14: of ``steps`` thresholds from 0.01 to 0.99 the one of the smallest gap between groups (selection rates, or true
+    positive rates for equal_opportunity, or the larger of both rates' gaps for equalized_odds); ties go to the better F1,
+    then the lower threshold. One pass counts rows by group and the last threshold they reach; the rest is suffix sums."""
+    at = F.floor((F.col(y_prob) - 0.01) / (0.98 / (steps - 1)) + 1e-9)
+    c = valid(df, y_true, y_prob).groupBy(F.col(group).alias("g"), F.least(F.greatest(at, F.lit(-1)), F.lit(steps - 1)).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum(y_true).alias("pos"))
+    spine = c.select("g").distinct().select("g", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))).alias("i"))
+    c = spine.join(c, F.expr("true") & spine["g"].eqNullSafe(c["g"]) & (spine["i"] == c["i"]), "left").select(spine["g"], spine["i"], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    down = Window.partitionBy("g").orderBy(F.desc("i"))  # steps + 1 rows a group
+    whole = Window.partitionBy("g")
+    c = c.select("g", "i", F.sum("n").over(down).alias("sel"), F.sum("pos").over(down).alias("tp"), F.sum("n").over(whole).alias("n"), F.sum("pos").over(whole).alias("pos")).where("i >= 0")
+    over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    c = c.select("*", over("sel", "n").alias("sr"), over("tp", "pos").alias("tpr"), ((F.col("sel") - F.col("tp")) / F.greatest(F.col("n") - F.col("pos"), F.lit(1))).alias("fpr"))
+    gap = lambda x: F.max(x) - F.min(x)
+    of = {"demographic_parity": gap("sr"), "equal_opportunity": gap("tpr"), "equalized_odds": F.greatest(gap("tpr"), gap("fpr"))}[criterion]
+    f1 = F.coalesce(F.try_divide(2.0 * F.sum("tp"), (F.sum("sel") + F.sum("pos")).cast("double")), F.lit(0.0))
+    t = c.groupBy("i").agg(r6(of).alias("gap"), r6(f1).alias("f1"))
+    best = t.agg(F.min(F.struct("gap", (-F.col("f1")).alias("f"), "i")).alias("x"))
+    return best.select(F.round(0.01 + F.col("x.i") * (0.98 / (steps - 1)), 6).alias("threshold"), F.col("x.gap").alias("gap"), (-F.col("x.f")).alias("f1"))
 
 
 def intersectional(df: DataFrame, axes: list[str], y_true="y_true", y_pred="y_pred", least: int = 20) -> DataFrame:

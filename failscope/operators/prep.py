@@ -5,13 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, r6, ratio0
+from ..functions import dist
+from ..functions.core import corr, prefix_sums, quantiles, r6, ratio0, valid
 
 
 def label_codes(df: DataFrame, c: str, key: str = "row_id") -> DataFrame:
-    """PR7: dense code of a category by sorted value, null kept."""
-    codes = df.select(c).where(F.col(c).isNotNull()).distinct().select(F.col(c), (F.dense_rank().over(Window.orderBy(c)) - 1).alias("code"))
-    return df.select(key, c).join(F.broadcast(codes), c, "left").select(key, "code")
+    """PR7: dense code of a category by sorted value, null kept. Codes are running counts, so no task orders all values."""
+    codes = _codes(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1).alias("one")), c)
+    return df.select(key, c).join(codes, c, "left").select(key, F.col("code").cast("int").alias("code"))
+
+
+def _codes(values: DataFrame, order: str) -> DataFrame:
+    """values (distinct in order, with a column one of 1s) with their rank from 0 in two levels: by range, then inside it."""
+    ranged = values.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    sizes = ranged.groupBy("_p").agg(F.sum("one").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_p").orderBy(order)
+    return ranged.withColumn("_i", F.row_number().over(inside) - 1).join(F.broadcast(sizes), "_p").withColumn("code", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o", "one")
+
+
+def first_codes(df: DataFrame, c: str, order: str, key: str = "row_id") -> DataFrame:
+    """PR6: dense code of a category by first appearance along ``order``, null kept."""
+    firsts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.struct(F.min(order).alias("at"), F.col(c).alias("of")).alias("first"), F.lit(1).alias("one"))
+    codes = _codes(firsts, "first").select(c, F.col("code").cast("int").alias("code"))
+    return df.select(key, c).join(codes, c, "left").select(key, "code")
+
+
+def binarise(df: DataFrame, c: str, key: str = "row_id", most: int = 10) -> DataFrame:
+    """PR4: a 0/1 target. A number of more than ``most`` values is 1 above its median; of other targets of more than two
+    classes the code by sorted value is compared with the median code; two classes are coded 0, 1 in order. Null stays."""
+    values = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    number = df.schema[c].dataType.typeName() in ("double", "float", "integer", "long", "short", "byte") or df.schema[c].dataType.typeName().startswith("decimal")
+    codes = _codes(values.withColumn("one", F.lit(1)), c)
+    k = codes.agg(F.count(F.lit(1)).alias("_k"))
+    by_code = quantiles(codes.select(F.col("code").cast("double").alias("code"), "n"), [], "code", [0.5]).select(F.col("q")[0].alias("_mid"))
+    rows = df.select(key, c).join(codes.select(c, "code"), c, "left").crossJoin(F.broadcast(k)).crossJoin(F.broadcast(by_code))
+    coded = F.when(F.col("_k") > 2, (F.col("code") > F.col("_mid")).cast("int")).otherwise(F.col("code").cast("int"))
+    if number:
+        middle = quantiles(values.select(F.col(c).cast("double").alias("v"), "n"), [], "v", [0.5]).select(F.col("q")[0].alias("_median"))
+        rows = rows.crossJoin(F.broadcast(middle))
+        coded = F.when(F.col("_k") > most, (F.col(c).cast("double") > F.col("_median")).cast("int")).otherwise(coded)
+    return rows.select(key, F.when(F.col(c).isNotNull(), coded).alias("target"))
+
+
+def to_probability(df: DataFrame, c: str, key: str = "row_id") -> DataFrame:
+    """PR5: [1 - p, p] of a score; only one with values outside [0, 1] is min-max normalised first. Nulls stay."""
+    ends = valid(df, c).agg(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"))
+    p = F.when((F.col("lo") >= 0) & (F.col("hi") <= 1), F.col(c).cast("double")).otherwise((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9))
+    return df.crossJoin(F.broadcast(ends)).select(key, F.when(p.isNotNull(), F.array(r6(1 - p), r6(p))).alias("probs"))
+
+
+def fill(df: DataFrame, numbers: list[str], texts: list[str], key: str = "row_id") -> DataFrame:
+    """PR8: nulls become the mean of a number, the most frequent value of a text (ties: the smallest) or MISSING where there
+    is none. Each text column is counted by value first, so no buffer holds them all."""
+    out = df.crossJoin(F.broadcast(df.agg(*[F.avg(c).alias(f"_m_{c}") for c in numbers], F.lit(1).alias("_one"))))
+    for c in texts:
+        top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).agg(F.max_by(c, F.struct("_n", F.lit(0))).alias("_x"), F.max("_n").alias("_n"))
+        tied = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_c")).crossJoin(F.broadcast(top.select("_n"))).where("_c = _n").agg(F.min(c).alias(f"_m_{c}"))
+        out = out.crossJoin(F.broadcast(tied))
+    return out.select(key, *[r6(F.coalesce(c, f"_m_{c}")).alias(c) for c in numbers], *[F.coalesce(c, f"_m_{c}", F.lit("MISSING")).alias(c) for c in texts])
+
+
+def cohorts(reference: DataFrame, current: DataFrame, label: str = "domain") -> DataFrame:
+    """PR11: both tables as one, with label 0 for the reference and 1 for the current rows."""
+    return reference.withColumn(label, F.lit(0)).unionByName(current.withColumn(label, F.lit(1)), allowMissingColumns=True)
+
+
+def inject_noise(df: DataFrame, label: str, transitions: list[list[float]], key: str = "row_id", salt: str = "noise") -> DataFrame:
+    """PR14: each label i becomes the first j whose running sum of row i of the transitions is over a hash draw of the key."""
+    u = draw_of(key, salt)
+    ends = F.array(*[F.array(*[F.lit(float(sum(row[: j + 1]))) for j in range(len(row))]) for row in transitions])
+    own = F.element_at(ends, (F.col(label) + 1).cast("int"))
+    new = F.least(F.size(F.filter(own, lambda e: e <= u)), F.size(own) - 1)
+    return df.withColumn("noisy", F.when(F.col(label).isNotNull(), new))
+
+
+def draw_of(key: str, salt: str):
+    """A hash draw in [0, 1): 4 hex digits of an md5, the same on any partitioning."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{salt}"))), 1, 4), 16, 10).cast("int") / 65536.0
 
 
 def mean_fill(df: DataFrame, cols: list[str], key: str = "row_id") -> DataFrame:
@@ -28,7 +100,8 @@ def standardise(df: DataFrame, cols: list[str], train, key: str = "row_id") -> D
 
 
 def indicators(df: DataFrame, cols: list[str], key: str = "row_id") -> DataFrame:
-    """PR13: an is_missing column for each column that has nulls; one aggregate decides which."""
+    """PR13: an is_missing column for each column that has nulls; one aggregate over the table decides which before the
+    plan is returned, since the result's columns depend on it."""
     has = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in cols]).first()
     return df.select(key, *[F.col(c).isNull().cast("int").alias(f"is_missing_{c}") for c in cols if has[c]])
 
@@ -49,11 +122,9 @@ def ranked_correlation(df: DataFrame, cols: list[str], target: str) -> DataFrame
 def prediction_sets(df: DataFrame, probs: list[str], label: str, level: float = 0.9) -> DataFrame:
     """UQ1, UQ2: conformal quantile of 1 - p[true] by exact order statistic, then coverage and mean size of the sets."""
     own = F.element_at(F.array(*probs), (F.col(label) + 1).cast("int"))
-    scored = df.select(label, *probs, (1 - own).alias("score"))
-    q = scored.agg(F.percentile("score", F.lit(1.0)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    scored = valid(df, label, *probs).select(label, *probs, (1 - own).alias("score"))
+    q = scored.agg(F.count(F.lit(1)).alias("_n"))
     h = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    from ..functions.core import prefix_sums
-
     h = prefix_sums(h, [], "score", ["n"]).crossJoin(F.broadcast(q))
     cut = h.where(F.col("cum_n") > F.least(F.floor(F.lit(level) * F.col("_n")), F.col("_n") - 1)).agg(F.min("score").alias("q"))
     inside = lambda p: (F.col(p) >= 1 - F.col("q") - 1e-12).cast("int")
@@ -93,19 +164,23 @@ def co_missing(df: DataFrame, cols: list[str], least: float = 0.5) -> DataFrame:
     return g.select(rows.alias("x")).select("x.a", "x.b", r6("x.r").alias("r"), (F.col("x.r") > least).alias("together"))
 
 
-def one_sample(df: DataFrame, c: str, mu: float, by: str, z: float = 1.959964) -> DataFrame:
-    """HT1, HT3: one-sample t statistic and a normal interval of the mean by group."""
-    g = df.groupBy(by).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
+def one_sample(df: DataFrame, c: str, mu: float, by: str, level: float = 0.95) -> DataFrame:
+    """HT3: one-sample t statistic with p and the t interval of the mean by group."""
+    g = valid(df, c).groupBy(by).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
     se = F.col("s") / F.sqrt("n")
-    return g.select(by, "n", r6("m").alias("mean"), r6(F.try_divide(F.col("m") - mu, se)).alias("t"), (F.col("n") - 1).alias("df"), r6(F.col("m") - z * se).alias("low"), r6(F.col("m") + z * se).alias("high"))
+    g = g.withColumn("df", F.col("n") - 1).withColumn("_t", F.try_divide(F.col("m") - mu, se)).withColumn("_h", dist.t_critical(F.col("df").cast("double"), level) * se)
+    g = g.withColumn("p", dist.t_p(F.col("_t"), F.col("df").cast("double")))
+    return g.select(by, "n", r6("m").alias("mean"), r6("_t").alias("t"), "df", r6(F.col("m") - F.col("_h")).alias("low"), r6(F.col("m") + F.col("_h")).alias("high"), "p")
 
 
 def filters(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """Rows that meet every {column, op, value} rule; > and < compare as numbers, rules on unknown columns are ignored."""
+    """PR1: rows that meet every {column, op, value} rule; > and < compare as numbers (what is none meets no rule), rules on
+    unknown columns are ignored."""
     for rule in rules:
         c, op, value = rule["column"], rule["op"], rule["value"]
         if c in df.columns:
-            df = df.where(F.col(c) > float(value) if op == ">" else F.col(c) < float(value) if op == "<" else F.col(c) == F.lit(value))
+            number = F.col(c).cast("string").try_cast("double")
+            df = df.where(number > float(value) if op == ">" else number < float(value) if op == "<" else F.col(c).cast("string") == str(value))
     return df
 
 

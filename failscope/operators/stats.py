@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, prefix_sums, r6, ratio, ratio0, suffix_min
+from ..functions import dist
+from ..functions.core import corr, prefix_sums, quantiles, r6, ratio, ratio0, suffix_min, valid
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """DS1, DS2, DS6, DS7: moments, quartiles and skewness (third moment over n, sample deviation cubed) by feature."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "v").where("v is not null")
-    g = long.groupBy("feature").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.skewness("v").alias("sk"))
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "v").where("v is not null and not isnan(v)")
+    g = long.groupBy("feature").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.skewness("v").alias("sk"))
+    g = g.join(quantiles(long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")), ["feature"], "v", [0.25, 0.5, 0.75]), "feature")
     skew = F.col("sk") * F.pow((F.col("n") - 1) / F.col("n"), F.lit(1.5))
     q = lambda i: F.round(F.col("q")[i], 4)
     return g.select("feature", "n", F.round("m", 4).alias("mean"), F.round("s", 4).alias("std"), "lo", q(0).alias("p25"), q(1).alias("median"), q(2).alias("p75"), "hi", F.round(F.col("q")[2] - F.col("q")[0], 4).alias("iqr"), F.round(skew, 4).alias("skewness"))
@@ -39,7 +41,7 @@ def impurity(df: DataFrame, label: str, by: str) -> DataFrame:
 
 
 def two_sample(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """HT2–HT4, HT13: Welch and pooled t with their degrees of freedom, Cohen's d and its band."""
+    """HT4, HT13: Welch and pooled t with their degrees of freedom, Cohen's d and its band."""
     g = lambda x: F.when(F.col(group) == x, F.col(value).cast("double"))
     s = df.agg(F.count(g(a)).alias("na"), F.avg(g(a)).alias("ma"), F.var_samp(g(a)).alias("va"), F.count(g(b)).alias("nb"), F.avg(g(b)).alias("mb"), F.var_samp(g(b)).alias("vb"))
     na, nb, va, vb = F.col("na").cast("double"), F.col("nb").cast("double"), F.col("va"), F.col("vb")
@@ -50,6 +52,138 @@ def two_sample(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
                     r6(cohen).alias("cohens_d"), F.when(F.abs(cohen) < 0.2, "negligible").when(F.abs(cohen) < 0.5, "small").when(F.abs(cohen) < 0.8, "medium").otherwise("large").alias("magnitude"))
 
 
+def with_p(result: DataFrame, kind: str, statistic: str, *df: str) -> DataFrame:
+    """result (a row a test) with its p-value: kind is normal, t, chi2 or f."""
+    f = {"normal": dist.normal_p, "t": dist.t_p, "chi2": dist.chi2_p, "f": dist.f_p}[kind]
+    return result.withColumn("p", f(F.col(statistic), *[F.col(d).cast("double") for d in df]))
+
+
+def one_sample_z(df: DataFrame, c: str, mu: float, sigma: float, by: str, alternative: str = "two-sided") -> DataFrame:
+    """HT1: z of the mean against mu with known sigma, by group, with p."""
+    g = valid(df, c).groupBy(by).agg(F.count(c).alias("n"), F.avg(c).alias("m"))
+    z = (F.col("m") - mu) / (sigma / F.sqrt("n"))
+    g = g.select(by, "n", r6("m").alias("mean"), z.alias("_z"))
+    return g.withColumn("p", dist.normal_p(F.col("_z"), alternative)).withColumn("z", r6("_z")).drop("_z")
+
+
+def two_sample_z(df: DataFrame, value: str, group: str, a, b, sigma_a: float, sigma_b: float) -> DataFrame:
+    """HT2: z of the difference of two means with known sigmas, with p."""
+    g = lambda x: F.when(F.col(group) == x, F.col(value).cast("double"))
+    s = valid(df, value).agg(F.count(g(a)).alias("na"), F.avg(g(a)).alias("ma"), F.count(g(b)).alias("nb"), F.avg(g(b)).alias("mb"))
+    z = (F.col("ma") - F.col("mb")) / F.sqrt(sigma_a**2 / F.col("na") + sigma_b**2 / F.col("nb"))
+    s = s.select(r6(F.col("ma") - F.col("mb")).alias("diff"), z.alias("_z"))
+    return s.withColumn("p", dist.normal_p(F.col("_z"))).withColumn("z", r6("_z")).drop("_z")
+
+
+def paired(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """HT5: t of after - before over rows of equal key, with p."""
+    d = before.select(key, F.col(value).alias("_b")).join(after.select(key, F.col(value).alias("_a")), key).select((F.col("_a") - F.col("_b")).cast("double").alias("d"))
+    s = valid(d, "d").agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
+    t = F.try_divide(F.col("m"), F.col("s") / F.sqrt("n"))
+    out = s.select("n", r6("m").alias("mean_diff"), r6("s").alias("sd_diff"), (F.col("n") - 1).alias("df"), t.alias("_t"))
+    return out.withColumn("p", dist.t_p(F.col("_t"), F.col("df").cast("double"))).withColumn("t", r6("_t")).drop("_t")
+
+
+def goodness_of_fit(df: DataFrame, category: str, expected: dict) -> DataFrame:
+    """HT6: chi-square against expected weights, rescaled to the observed total; ``low_expected`` where one is under 5.
+    Categories without a weight are left out, those without rows count 0."""
+    want = df.sparkSession.createDataFrame([(str(k), float(w)) for k, w in expected.items()], "category string, w double")
+    c = df.groupBy(F.col(category).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    j = want.join(c, "category", "left").na.fill(0, ["n"])
+    j = j.crossJoin(F.broadcast(j.agg(F.sum("n").alias("all"), F.sum("w").alias("weight")))).withColumn("e", F.col("w") / F.col("weight") * F.col("all"))
+    s = j.agg(F.sum((F.col("n") - F.col("e")) * (F.col("n") - F.col("e")) / F.col("e")).alias("x"), (F.count(F.lit(1)) - 1).alias("df"), (F.min("e") < 5).alias("low_expected"))
+    return s.withColumn("p", dist.chi2_p(F.col("x"), F.col("df").cast("double"))).withColumn("chi2", F.round("x", 4)).drop("x")
+
+
+def _poisson(replicate, key: str, salt: str):
+    """A Poisson(1) weight of a row in a replicate, from a hash draw."""
+    u = draw(F.concat(F.col(key).cast("string"), F.lit("/"), replicate.cast("string")), salt)
+    edges, total, term = [], 0.0, 0.36787944117144233
+    for k in range(8):
+        total += term
+        edges.append(total)
+        term /= k + 1
+    return sum((u >= e).cast("int") for e in edges)
+
+
+def draw(key, salt: str):
+    """A draw in [0, 1) from key and salt: 13 hex digits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(":" + salt))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def bootstrap(df: DataFrame, value: str, key: str, group: str | None = None, a=None, b=None, replicates: int = 200, level: float = 0.95) -> DataFrame:
+    """HT9: percentile interval of a mean by a Poisson bootstrap; HT10 with group: of the difference of the means of a and
+    b, significant where 0 is outside. Each row has a weight in each replicate by a hash of its key, so a run can be
+    repeated; a replicate is one weighted aggregate, summed map-side."""
+    rows = valid(df, value)
+    side = F.lit(True) if group is None else F.col(group) == a
+    if group is not None:
+        rows = rows.where(F.col(group).isin(a, b))
+    long = rows.select(F.col(value).cast("double").alias("v"), side.alias("s"), F.col(key), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
+    w = _poisson(F.col("r"), key, "boot")
+    mean = lambda s: F.try_divide(F.sum(F.when(s, F.col("w") * F.col("v"))), F.sum(F.when(s, F.col("w"))))
+    each = long.withColumn("w", w).groupBy("r").agg((mean(F.col("s")) if group is None else mean(F.col("s")) - mean(~F.col("s"))).alias("m"))
+    plain = F.avg(F.when(side, F.col(value))) - (F.lit(0.0) if group is None else F.avg(F.when(~side, F.col(value))))
+    tail = (1 - level) / 2
+    q = quantiles(each.groupBy("m").agg(F.count(F.lit(1)).alias("n")), [], "m", [tail, 1 - tail])
+    out = rows.agg(plain.alias("estimate")).crossJoin(F.broadcast(q))
+    low, high = F.col("q")[0], F.col("q")[1]
+    return out.select(r6("estimate").alias("estimate"), r6(low).alias("low"), r6(high).alias("high"), ((low > 0) | (high < 0)).alias("significant"))
+
+
+def mean_interval(df: DataFrame, c: str, by: str, level: float = 0.95) -> DataFrame:
+    """HT16: interval of a mean by group, with the t quantile."""
+    g = valid(df, c).groupBy(by).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
+    half = dist.t_critical((F.col("n") - 1).cast("double"), level) * F.col("s") / F.sqrt("n")
+    return g.withColumn("h", half).select(by, "n", r6("m").alias("mean"), r6(F.col("m") - F.col("h")).alias("low"), r6(F.col("m") + F.col("h")).alias("high"))
+
+
+def bayes(prior: DataFrame, likelihood: DataFrame, evidence: DataFrame) -> DataFrame:
+    """HT17: class posteriors of each row (naive Bayes) and the likeliest class.
+
+    prior (class, p); likelihood (class, feature, value, p); evidence (row_id, feature, value). A pair that is missing
+    counts 1e-6, and no probability less than 1e-10. One evidence row a row is a plain Bayes update.
+    """
+    floor = lambda c: F.ln(F.greatest(c, F.lit(1e-10)))
+    cells = evidence.join(F.broadcast(prior.select("class")), how="cross")  # a few classes
+    part = cells.join(likelihood.withColumnRenamed("p", "_l"), ["class", "feature", "value"], "left").groupBy("row_id", "class").agg(F.sum(floor(F.coalesce("_l", F.lit(1e-6)))).alias("s"))
+    part = part.join(F.broadcast(prior), "class").withColumn("s", F.col("s") + floor(F.col("p")))
+    own = Window.partitionBy("row_id")
+    part = part.withColumn("e", F.exp(F.col("s") - F.max("s").over(own)))
+    part = part.withColumn("posterior", F.col("e") / F.sum("e").over(own))
+    first = F.row_number().over(own.orderBy(F.desc("posterior"), "class")) == 1
+    return part.select("row_id", "class", r6("posterior").alias("posterior"), first.alias("chosen"))
+
+
+def split_gain(df: DataFrame, feature: str, threshold: float, label: str) -> DataFrame:
+    """DS10: information gain and weighted Gini reduction of the split feature <= threshold; 0 where a side is empty."""
+    rows = valid(df, feature, label)
+    c = rows.groupBy((F.col(feature) <= threshold).alias("left"), F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sides = c.select(F.when(F.col("left"), "L").otherwise("R").alias("side"), "c", "n").unionByName(c.groupBy("c").agg(F.sum("n").alias("n")).select(F.lit("A").alias("side"), "c", "n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("side"))
+    g = sides.withColumn("p", p).groupBy("side").agg(F.sum("n").alias("n"), (1 - F.sum(F.col("p") * F.col("p"))).alias("gini"), (-F.sum(F.col("p") * F.log2("p"))).alias("h"))
+    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    t = g.agg(*[of(s, c).alias(f"{c}{s}") for s in "ALR" for c in ("n", "gini", "h")])
+    drop = lambda c: F.coalesce(F.col(f"{c}A") - (F.col("nL") * F.col(f"{c}L") + F.col("nR") * F.col(f"{c}R")) / F.col("nA"), F.lit(0.0))
+    return t.select(r6(drop("h")).alias("information_gain"), r6(drop("gini")).alias("gini_reduction"))
+
+
+def vector_norms(df: DataFrame, vector: str, key: str) -> DataFrame:
+    """DS11: L1 and L2 norm of each vector and its unit vector (null where it is zero)."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    total = lambda f: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + f(x))
+    l2 = F.sqrt(total(lambda x: x * x))
+    return df.select(key, total(F.abs).alias("l1"), l2.alias("l2"), F.when(l2 > 0, F.transform(v, lambda x: x / l2)).alias("unit"))
+
+
+def vector_pairs(a: DataFrame, b: DataFrame, on: str, vector: str) -> DataFrame:
+    """DS11: dot product and cosine of the vectors of equal key."""
+    j = a.select(on, F.col(vector).alias("_x")).join(b.select(on, F.col(vector).alias("_y")), on)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, t: acc + t)
+    d = dot("_x", "_y")
+    return j.select(on, d.alias("dot"), F.try_divide(d, F.sqrt(dot("_x", "_x") * dot("_y", "_y"))).alias("cosine"))
+
+
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """HT7: chi-square of independence with Cramér's V, zero cells included."""
     c = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))

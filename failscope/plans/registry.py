@@ -9,26 +9,38 @@ from ..operators import causal as cs
 from ..operators import drift as dr
 from ..operators import evaluation as ev
 from ..operators import fairness as fa
+from ..operators import governance as gv
 from ..operators import prep as pr
 from ..operators import stats as st
-from ..sources.views import draw, load, table, text
+from ..sources.views import KNOWN, draw, load, text
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
 
 def _add(name: str, view: str, f, sql: str | None = None) -> None:
-    """A query over one view; {v} in the SQL is the view's text."""
+    """A query over one view. In the SQL {raw} is the view's text, {v} that of the rows that are known (see KNOWN)."""
     _QUERIES[name] = lambda spark, sf_dir: f(load(spark, sf_dir, view))
     if sql:
-        _SQL[name] = sql.replace("{v}", f"({text(view)})")
+        known = f"(select * from ({text(view)}) where {KNOWN[view]})" if view in KNOWN else f"({text(view)})"
+        _SQL[name] = sql.replace("{raw}", f"({text(view)})").replace("{v}", known)
+
+
+def _put(name: str, f, sql: str | None = None) -> None:
+    """A query over whole tables: f takes (spark, sf_dir)."""
+    _QUERIES[name] = f
+    if sql:
+        _SQL[name] = sql
 
 
 def queries() -> dict:
+    from . import audits  # noqa: F401  the rest of the queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -51,29 +63,19 @@ _add("ev5_kappa", "scored2", lambda d: ev.rates(ev.binary_counts(d, by=["grp"]))
      f"select grp, round((po-pe)/(1-pe),6) kappa from (select grp, (tp+tn)/{D('tp+fp+tn+fn')} po, ({D('tp+fp')}*(tp+fn)+{D('fn+tn')}*(fp+tn))/({D('tp+fp+tn+fn')}*(tp+fp+tn+fn)) pe from (select grp, {CONF} from {{v}} group by 1))")
 CUMS = "select y_prob threshold, sum(sum(y_true)) over (order by y_prob desc) tp, sum(count(*)-sum(y_true)) over (order by y_prob desc) fp, sum(sum(y_true)) over () ap, sum(count(*)-sum(y_true)) over () an from {v} group by y_prob"
 TABLE = f"select threshold, cast(tp as bigint) tp, cast(fp as bigint) fp, cast(an-fp as bigint) tn, cast(ap-tp as bigint) fn from ({CUMS})"
-_add("ev6_threshold_table", "scored", lambda d: ev.threshold_table(d).drop("specificity"), f"select *, round(coalesce(tp/nullif({D('tp+fp')},0),0),6) as precision, round(coalesce(tp/nullif({D('tp+fn')},0),0),6) recall, round(coalesce(2e0*tp/nullif({D('2*tp+fp+fn')},0),0),6) f1, round((tp+tn)/{D('tp+fp+tn+fn')},6) accuracy from ({TABLE})")
-_add("ev7_best_f1", "scored", lambda d: ev.best_f1(ev.threshold_table(d)), f"select threshold, round(round(2e0*tp/{D('2*tp+fp+fn')},6),4) f1 from ({TABLE}) order by f1 desc, threshold desc limit 1")
-_add("ev8_best_gmean", "scored", lambda d: ev.best_gmean(ev.threshold_table(d)), f"select threshold, round(sqrt(round(tp/{D('tp+fn')},6)*round(tn/{D('tn+fp')},6)),6) gmean from ({TABLE}) order by gmean desc, threshold desc limit 1")
-_add("ev9_roc_points", "scored", lambda d: ev.roc_points(ev.threshold_table(d)), f"select round(fp/{D('fp+tn')},6) fpr, round(tp/{D('tp+fn')},6) tpr from ({TABLE}) union select 0e0, 0e0 union select 1e0, 1e0")
+_add("ev6_threshold_table", "gappy", lambda d: ev.threshold_table(d).drop("specificity"), f"select *, round(coalesce(tp/nullif({D('tp+fp')},0),0),6) as precision, round(coalesce(tp/nullif({D('tp+fn')},0),0),6) recall, round(coalesce(2e0*tp/nullif({D('2*tp+fp+fn')},0),0),6) f1, round((tp+tn)/{D('tp+fp+tn+fn')},6) accuracy from ({TABLE})")
+_add("ev7_best_f1", "gappy", lambda d: ev.best_f1(ev.threshold_table(d)), f"select threshold, round(round(2e0*tp/{D('2*tp+fp+fn')},6),4) f1 from ({TABLE}) order by f1 desc, threshold desc limit 1")
+_add("ev8_best_gmean", "gappy", lambda d: ev.best_gmean(ev.threshold_table(d)), f"select threshold, round(sqrt(round(tp/{D('tp+fn')},6)*round(tn/{D('tn+fp')},6)),6) gmean from ({TABLE}) order by gmean desc, threshold desc limit 1")
+_add("ev9_roc_points", "gappy", lambda d: ev.roc_points(ev.threshold_table(d)), f"select round(fp/{D('fp+tn')},6) fpr, round(tp/{D('tp+fn')},6) tpr from ({TABLE}) union select 0e0, 0e0 union select 1e0, 1e0")
 AUC = "select {g} round(sum(pos*(cn-neg/2e0))/nullif(sum(pos)*sum(neg),0),6) auc from (select {g} pos, neg, sum(neg) over ({p} order by y_prob) cn from (select {g} y_prob, cast(sum(y_true) as double) pos, cast(count(*)-sum(y_true) as double) neg from {v} group by {g} y_prob)) {h}"
-_add("ev10_roc_auc", "scored", lambda d: ev.auc(d, by=["grp"]), AUC.replace("{g}", "grp,").replace("{p}", "partition by grp").replace("{h}", "group by grp"))
-_add("ev11_pr_points", "scored", lambda d: ev.threshold_table(d).select("recall", "precision").distinct(), f"select distinct round(tp/{D('tp+fn')},6) recall, round(tp/{D('tp+fp')},6) as precision from ({TABLE})")
-_add("ev12_average_precision", "scored", ev.average_precision, f"select round(sum((tp-lag_tp)/{D('ap')}*tp/{D('tp+fp')}),6) average_precision from (select *, coalesce(lag(tp) over (order by threshold desc),0) lag_tp from ({CUMS}))")
-_add("ev14_log_loss", "scored", lambda d: ev.log_loss(d, by=["grp"]), "select grp, round(-avg(case when y_true=1 then ln(greatest(1e-15,least(1-1e-15,y_prob))) else ln(1-greatest(1e-15,least(1-1e-15,y_prob))) end),6) log_loss from {v} group by 1")
-_add("ev15_class_report", "multi", lambda d: ev.class_report(d.withColumn("y_pred", _argmax())), f"""with c as (select y_true, case when p0>=p1 and p0>=p2 then 0 when p1>=p2 then 1 else 2 end y_pred from {{v}}), r as (select y_true class, count(*) support, sum(case when y_true=y_pred then 1 else 0 end) hit from c group by 1), k as (select y_pred class, count(*) claimed from c group by 1)
-    select r.class, support, round({D('hit')}/claimed,6) as precision, round({D('hit')}/support,6) recall, round(2e0*hit/(claimed+support),6) f1 from r join k on r.class=k.class""")
-_add("ev17_regression", "regress", lambda d: ev.regression(d, by=["grp"]).select("grp", "n", "mae", "mape", "smape", "r2", "adjusted_r2", "biased", "explained_variance"),
-     """select grp, n, round(mae,4) mae, round(mape,6) mape, round(smape,6) smape, round(1-mse/vy,6) r2, round(1-(mse/vy)*(n-1e0)/(n-2e0),6) adjusted_r2, abs(me) > 2*se/sqrt(n) biased, round(1-ve/vy,6) explained_variance from (select grp, count(*) n, avg((y-yhat)*(y-yhat)) mse, avg(abs(y-yhat)) mae, avg(abs(y-yhat)/greatest(abs(y),1e-8)) mape,
-     avg(2*abs(y-yhat)/greatest(abs(y)+abs(yhat),1e-8)) smape, var_pop(y) vy, var_pop(y-yhat) ve, avg(y-yhat) me, stddev_samp(y-yhat) se from {v} group by 1)""")
+_add("ev10_roc_auc", "gappy", lambda d: ev.auc(d, by=["grp"]), AUC.replace("{g}", "grp,").replace("{p}", "partition by grp").replace("{h}", "group by grp"))
+_add("ev12_average_precision", "gappy", ev.average_precision, f"select round(sum((tp-lag_tp)/{D('ap')}*tp/{D('tp+fp')}),6) average_precision from (select *, coalesce(lag(tp) over (order by threshold desc),0) lag_tp from ({CUMS}))")
+_add("ev14_log_loss", "gappy", lambda d: ev.log_loss(d, by=["grp"]), "select grp, round(-avg(case when y_true=1 then ln(greatest(1e-15,least(1-1e-15,y_prob))) else ln(1-greatest(1e-15,least(1-1e-15,y_prob))) end),6) log_loss from {v} group by 1")
 _add("ev18_residuals", "regress", lambda d: ev.regression(d).select("mean_residual", "std_residual", "max_abs_error"), "select round(avg(y-yhat),3) mean_residual, round(stddev_samp(y-yhat),3) std_residual, round(max(abs(y-yhat)),4) max_abs_error from {v}")
 _add("ev19_median_error", "regress", lambda d: ev.regression(d).select("median_abs_error"), "select round(quantile_cont(abs(y-yhat),0.5),4) median_abs_error from {v}")
-_add("ev20_grade", "scored", lambda d: ev.auc(d, by=["grp"]).select("grp", ev.grade(F.col("auc")).alias("grade")), "select grp, case when auc>=0.9 then 'A' when auc>=0.8 then 'B' when auc>=0.7 then 'C' when auc>=0.6 then 'D' else 'F' end grade from (" + AUC.replace("{g}", "grp,").replace("{p}", "partition by grp").replace("{h}", "group by grp") + ")")
-_add("ev21_compare_models", "scored2", lambda d: ev.compare_models(d, ["y_pred", "y_pred2"]).select("model", "accuracy", "f1", "best"),
-     f"""with l as (select 'y_pred' model, y_true, y_pred from {{v}} union all select 'y_pred2', y_true, y_pred2 from {{v}}), t as (select model, {_rates()} from (select model, {CONF} from l group by 1)) select model, accuracy, f1, f1 = (select max(f1) from t) best from t""")
+_add("ev20_grade", "gappy", lambda d: ev.auc(d, by=["grp"]).select("grp", ev.grade(F.col("auc")).alias("grade")), "select grp, case when auc>=0.9 then 'A' when auc>=0.8 then 'B' when auc>=0.7 then 'C' when auc>=0.6 then 'D' else 'F' end grade from (" + AUC.replace("{g}", "grp,").replace("{p}", "partition by grp").replace("{h}", "group by grp") + ")")
 _add("ev22_regression_check", "scored2", lambda d: ev.regression_check(*[ev.rates(ev.binary_counts(d, "y_true", p, by=["segment"])) for p in ("y_pred2", "y_pred")], "segment", "accuracy"),
      "select segment, round(a2,6) now, round(a1,6) base, round(round(a2,6)-round(a1,6),6) delta, case when round(a2,6)-round(a1,6) < -0.02 then 'REGRESSION' when round(a2,6)-round(a1,6) < -0.01 then 'WARNING' else 'OK' end status from (select segment, avg(case when y_true=y_pred then 1e0 else 0e0 end) a1, avg(case when y_true=y_pred2 then 1e0 else 0e0 end) a2 from {v} group by 1)")
-_add("ev23_confusion_patterns", "multi", lambda d: ev.confusion_patterns(d.withColumn("y_pred", _argmax())), """with c as (select y_true actual, case when p0>=p1 and p0>=p2 then 0 when p1>=p2 then 1 else 2 end predicted, count(*) n from {v} group by 1,2), t as (select *, round(n/sum(n) over (partition by actual),6) rate from c)
-    select actual, predicted, n, rate, rank from (select *, cast(row_number() over (partition by actual order by n desc, predicted) as integer) as rank from t where actual<>predicted) where rank<=3""")
 
 
 def _argmax():
@@ -82,14 +84,11 @@ def _argmax():
 
 BINS = "select {g} cast(least(floor(y_prob*10),9) as integer) bin, count(*) n, avg(y_prob) mp, avg(cast(y_true as double)) fp from {v} group by {g} 2"
 _B = lambda g: BINS.replace("{g}", g).replace("group by grp, 2", "group by 1, 2").replace("group by  2", "group by 1")
-_add("ca1_reliability", "scored", lambda d: ca.reliability(d).select("bin", "n", F.round("mean_prob", 6).alias("mean_prob"), F.round("frac_pos", 6).alias("frac_pos")), f"select bin, n, round(mp,6) mean_prob, round(fp,6) frac_pos from ({_B('')})")
-_add("ca2_half_open_reliability", "scored", lambda d: ca.reliability(d, bins=5, half_open=True).select("bin", "n", F.round("frac_pos", 6).alias("frac_pos")), "select cast(floor(y_prob*5) as integer) bin, count(*) n, round(avg(cast(y_true as double)),6) frac_pos from {v} where y_prob<1 group by 1")
-_add("ca3_ece_mce", "scored", lambda d: ca.errors(ca.reliability(d)).select(F.round("ece", 6).alias("ece"), F.round("mce", 6).alias("mce")), f"select round(sum(n*abs(fp-mp))/sum(n),6) ece, round(max(abs(fp-mp)),6) mce from ({_B('')})")
-_add("ca5_brier", "scored", lambda d: ca.brier(d, by=["grp"]), "select grp, round(avg((y_prob-y_true)*(y_prob-y_true)),6) brier, round(1-avg((y_prob-y_true)*(y_prob-y_true))/var_pop(cast(y_true as double)),6) skill from {v} group by 1")
-_add("ca9_compare", "scored", lambda d: ca.compare(d.withColumn("squared", F.col("y_prob") * F.col("y_prob")), "y_prob", "squared").select("score", "ece", "brier"),
-     """with l as (select 'y_prob' score, y_true, y_prob p from {v} union all select 'squared', y_true, y_prob*y_prob from {v}), b as (select score, least(floor(p*10),9) bin, count(*) n, avg(p) mp, avg(cast(y_true as double)) fp from l group by 1,2) select a.score, round(ece,6) ece, round(brier,6) brier from (select score, sum(n*abs(fp-mp))/sum(n) ece from b group by 1) a join (select score, avg((p-y_true)*(p-y_true)) brier from l group by 1) c on a.score=c.score""")
-_add("ca10_by_group", "scored", lambda d: ca.by_group(d, "grp").select("grp", "n", "ece", "ece_gap"), f"with e as (select grp, cast(sum(n) as bigint) n, sum(n*abs(fp-mp))/sum(n) ece from ({_B('grp,')}) group by 1) select grp, n, round(ece,6) ece, round((select max(ece)-min(ece) from e),6) ece_gap from e")
-_add("ca11_rating", "scored", lambda d: ca.errors(ca.reliability(d, by=["grp"]), ["grp"]).select("grp", ca.rating(F.col("ece")).alias("rating"), ca.severity(F.col("ece")).alias("severity")),
+_add("ca1_reliability", "gappy", lambda d: ca.reliability(d).select("bin", "n", F.round("mean_prob", 6).alias("mean_prob"), F.round("frac_pos", 6).alias("frac_pos")), f"select bin, n, round(mp,6) mean_prob, round(fp,6) frac_pos from ({_B('')})")
+_add("ca2_half_open_reliability", "gappy", lambda d: ca.reliability(d, bins=5, half_open=True).select("bin", "n", F.round("frac_pos", 6).alias("frac_pos")), "select cast(floor(y_prob*5) as integer) bin, count(*) n, round(avg(cast(y_true as double)),6) frac_pos from {v} where y_prob<1 group by 1")
+_add("ca3_ece_mce", "gappy", lambda d: ca.errors(ca.reliability(d)).select(F.round("ece", 6).alias("ece"), F.round("mce", 6).alias("mce")), f"select round(sum(n*abs(fp-mp))/sum(n),6) ece, round(max(abs(fp-mp)),6) mce from ({_B('')})")
+_add("ca5_brier", "gappy", lambda d: ca.brier(d, by=["grp"]), "select grp, round(avg((y_prob-y_true)*(y_prob-y_true)),6) brier, round(1-avg((y_prob-y_true)*(y_prob-y_true))/var_pop(cast(y_true as double)),6) skill from {v} group by 1")
+_add("ca11_rating", "gappy", lambda d: ca.errors(ca.reliability(d, by=["grp"]), ["grp"]).select("grp", ca.rating(F.col("ece")).alias("rating"), ca.severity(F.col("ece")).alias("severity")),
      f"select grp, case when ece<0.02 then 'EXCELLENT' when ece<0.05 then 'GOOD' when ece<0.1 then 'MODERATE' else 'POOR' end rating, case when ece<0.02 then 'NONE' when ece<0.05 then 'LOW' when ece<0.1 then 'MEDIUM' else 'HIGH' end severity from (select grp, sum(n*abs(fp-mp))/sum(n) ece from ({_B('grp,')}) group by 1)")
 
 RATES = f"select grp, {D('tp+fp+tn+fn')} n, tp,fp,tn,fn, tp/greatest({D('tp+fn')},1) tpr, fp/greatest({D('fp+tn')},1) fpr, tp/greatest({D('tp+fp')},1) ppv, {D('tp+fp')}/(tp+fp+tn+fn) sr from (select {{g}} grp, {CONF} from {{v}} group by 1)"
@@ -97,9 +96,6 @@ _R = lambda g: RATES.replace("{g}", g)
 _add("fa1_group_rates", "scored2", lambda d: fa.group_rates(d).select("grp", "n", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"), F.round("ppv", 6).alias("ppv"), F.round("selection_rate", 6).alias("selection_rate")), f"select grp, cast(n as bigint) n, round(tpr,6) tpr, round(fpr,6) fpr, round(ppv,6) ppv, round(sr,6) selection_rate from ({_R('grp')})")
 _add("fa2_gaps", "scored2", lambda d: fa.gaps(fa.group_rates(d)), f"select round(max(sr)-min(sr),6) dp_gap, max(sr)-min(sr)<0.1 parity, round(max(tpr)-min(tpr),6) tpr_gap, round(max(fpr)-min(fpr),6) fpr_gap, round(greatest(max(tpr)-min(tpr),max(fpr)-min(fpr)),6) eo_gap, greatest(max(tpr)-min(tpr),max(fpr)-min(fpr))<0.1 equalized, round(max(ppv)-min(ppv),6) ppv_gap, round(min(sr)/max(sr),6) di_ratio from ({_R('grp')})")
 _add("fa6_disparate_impact", "scored2", lambda d: fa.disparate_impact(fa.group_rates(d, "segment"), "BUILDING", "MACHINERY"), f"select round(p,6) priv_rate, round(u,6) unpriv_rate, round(u/p,6) ratio, u/p between 0.8 and 1.25 passes from (select max(case when grp='BUILDING' then sr end) p, max(case when grp='MACHINERY' then sr end) u from ({_R('segment')}))")
-_add("fa10_audit", "scored2", lambda d: fa.audit(d, ["grp", "segment"]).select("axis", "dp_gap", "eo_gap", "di_ratio", "dp_severity", "small_groups"),
-     f"""with r as (select 'grp' axis, * from ({_R('grp')}) union all select 'segment', * from ({_R('segment')})) select axis, dp_gap, round(eo,6) eo_gap, round(di,6) di_ratio, case when dp_gap<=0.05 then 'LOW' when dp_gap<=0.1 then 'MEDIUM' when dp_gap<=0.2 then 'HIGH' else 'CRITICAL' end dp_severity, small_groups
-     from (select axis, round(max(sr)-min(sr),6) dp_gap, greatest(max(tpr)-min(tpr),max(fpr)-min(fpr)) eo, min(sr)/max(sr) di, cast(sum(case when n<30 then 1 else 0 end) as bigint) small_groups from r group by 1)""")
 _add("fa11_intersectional", "scored2", lambda d: fa.intersectional(d, ["grp", "segment"]), f"with r as (select * from ({_R('concat(grp, chr(124), segment)')}) where n>=20) select grp, cast(n as bigint) n, round(sr,6) selection_rate, round(abs(sr-(select avg(sr) from r)),6) distance from r")
 _add("fa13_default_groups", "scored2", lambda d: fa.default_groups(d, "segment"), "with c as (select segment g, count(*) n from {v} group by 1) select (select g from c order by n desc, g desc limit 1) privileged, (select g from c order by n, g limit 1) unprivileged")
 
@@ -111,93 +107,43 @@ PSI = f"""select feature, sum((q-p)*ln(q/p)) psi from (select e.feature, e.bin,
  join (select feature, sum(case when cohort='reference' then 1 else 0 end) nr, sum(case when cohort='reference' then 0 else 1 end) nc from {{v}} group by 1) n on e.feature=n.feature) group by 1"""
 BOUNDS = "select feature, value from (select feature, value, row_number() over (partition by feature order by value)-1 as i, count(*) over (partition by feature) n from {v} where cohort='reference') where i in (n*1//10,n*2//10,n*3//10,n*4//10,n*5//10,n*6//10,n*7//10,n*8//10,n*9//10)"
 PSI = PSI.replace("__B__", BOUNDS)
-_add("dr1_ks", "cohorts", lambda d: dr.ks(d).select("feature", "ks", "level"), f"select feature, round(d,6) ks, case when d>0.2 then 'HIGH' when d>0.1 then 'MEDIUM' when d>0.05 then 'LOW' else 'NONE' end level from ({KS})")
 _add("dr2_psi", "cohorts", dr.psi, f"select feature, round(psi,6) psi, case when psi>=0.25 then 'HIGH' when psi>=0.1 then 'MEDIUM' else 'LOW' end level from ({PSI})")
 _add("dr3_psi_equal_width", "cohorts", dr.psi_equal_width, """with e as (select feature, min(value) lo, max(value) hi from {v} group by 1), h as (select v.feature, cast(least(floor((value-lo)*10/(hi-lo)),9) as integer) bin, sum(case when cohort='reference' then 1e0 else 0e0 end) r, sum(case when cohort='reference' then 0e0 else 1e0 end) c from {v} v join e on v.feature=e.feature group by 1,2),
  g as (select e.feature, b.bin, coalesce(r,0) r, coalesce(c,0) c from e cross join (select unnest(range(0,10)) bin) b left join h on e.feature=h.feature and b.bin=h.bin), s as (select feature, greatest(r/sum(r) over (partition by feature),1e-4) p, greatest(c/sum(c) over (partition by feature),1e-4) q from g) select feature, round(sum((q-p)*ln(q/p)),6) psi from s group by 1""")
 CAT = "with c as (select category, sum(case when cohort='reference' then 1 else 0 end) r, sum(case when cohort='reference' then 0 else 1 end) c from {v} group by 1), t as (select *, sum(r) over () nr, sum(c) over () nc from c)"
-_add("dr4_categorical", "cat_cohorts", dr.categorical, f"{CAT} select category, cast(r as bigint) as ref, cast(c as bigint) cur, round({D('r')}/nr,6) ref_share, round({D('c')}/nc,6) cur_share, round(coalesce((c-{D('r')}/nr*nc)*(c-{D('r')}/nr*nc)/nullif({D('r')}/nr*nc,0),0),4) chi2_part from t")
 _add("dr5_label_shift", "cat_cohorts", dr.label_shift, f"{CAT}, e as (select *, {D('r+c')}*nr/(nr+nc) er, {D('r+c')}*nc/(nr+nc) ec from t) select round(sum((r-er)*(r-er)/er+(c-ec)*(c-ec)/ec),3) chi2, count(*)-1 df, round(sum(abs({D('r')}/nr-{D('c')}/nc)),6) share_change from e")
-_add("dr11_report", "cohorts", dr.report, f"select a.feature, round(d,6) ks, round(psi,6) psi, round(0.5*round(d,6)+0.5*round(psi,6),6) score, case when round(psi,6)>=0.25 or round(d,6)>=0.2 then 'DRIFT' when round(psi,6)>=0.1 or round(d,6)>=0.1 then 'WARN' else 'STABLE' end status from ({KS}) a join ({PSI}) b on a.feature=b.feature")
-_add("rc1_root_causes", "cohorts", lambda d: dr.root_causes(d).select("feature", "missing_current", "mean_shift", "shift_level", "fence", "outliers"),
-     """with g as (select feature, avg(case when cohort='reference' then value end) ar, avg(case when cohort='current' then value end) ac, quantile_cont(case when cohort='reference' then value end,0.25) q1, quantile_cont(case when cohort='reference' then value end,0.75) q3 from {v} group by 1) select g.feature, 0e0 missing_current, round(abs(ac-ar)/(abs(ar)+1e-9),6) mean_shift,
-     case when abs(ac-ar)/(abs(ar)+1e-9)>0.25 then 'HIGH' when abs(ac-ar)/(abs(ar)+1e-9)>0.1 then 'MEDIUM' else 'NONE' end shift_level, round(q3+1.5*(q3-q1),6) fence, (select count(*) from {v} v where v.feature=g.feature and cohort='current' and value>q3+1.5*(q3-q1)) outliers from g""")
 _add("rc3_new_categories", "cat_cohorts", dr.new_categories, "select category, count(*) n from {v} where cohort='current' and category not in (select category from {v} where cohort='reference') group by 1")
 
-_add("ds6_describe", "gaps", lambda d: st.describe(d, ["acctbal", "nation"]).drop("skewness"), "select feature, count(*) n, round(avg(v),4) mean, round(stddev_samp(v),4) std, min(v) lo, round(quantile_cont(v,0.25),4) p25, round(quantile_cont(v,0.5),4) median, round(quantile_cont(v,0.75),4) p75, max(v) hi, round(quantile_cont(v,0.75)-quantile_cont(v,0.25),4) iqr from (select 'acctbal' feature, acctbal v from {v} union all select 'nation', nation from {v}) where v is not null group by 1")
 _add("ds3_modes", "gaps", lambda d: st.modes(d, "seg"), "with c as (select seg as value, count(*) n from {v} group by 1) select * from c where n=(select max(n) from c)")
-_add("ds4_correlations", "treat", lambda d: st.correlations(d, ["y", "x1", "t"]).select("a", "b", "r"), "select 'y' a,'y' b, round(corr(y,y),6) r from {v} union all select 'y','x1',round(corr(y,x1),6) from {v} union all select 'y','t',round(corr(y,t),6) from {v} union all select 'x1','x1',round(corr(x1,x1),6) from {v} union all select 'x1','t',round(corr(x1,t),6) from {v} union all select 't','t',round(corr(t,t),6) from {v}")
 _add("ds9_impurity", "scored2", lambda d: st.impurity(d, "y_true", "segment"), "select segment, round(1-sum(p*p),6) gini, round(-sum(p*log2(p)),6) entropy from (select segment, count(*)/cast(sum(count(*)) over (partition by segment) as double) p from {v} group by segment, y_true) group by 1")
 TWO = "select count(*) filter (t=1) na, avg(y) filter (t=1) ma, var_samp(y) filter (t=1) va, count(*) filter (t=0) nb, avg(y) filter (t=0) mb, var_samp(y) filter (t=0) vb from {v}"
-_add("ht4_two_sample", "treat", lambda d: st.two_sample(d, "y", "t", 1, 0).select("diff", "welch_t", "pooled_t", "pooled_df", "cohens_d", "magnitude"), f"select round(ma-mb,6) diff, round((ma-mb)/sqrt(va/na+vb/nb),6) welch_t, round((ma-mb)/sqrt(sp*(1e0/na+1e0/nb)),6) pooled_t, na+nb-2 pooled_df, round((ma-mb)/sqrt(sp),6) cohens_d, case when abs((ma-mb)/sqrt(sp))<0.2 then 'negligible' when abs((ma-mb)/sqrt(sp))<0.5 then 'small' when abs((ma-mb)/sqrt(sp))<0.8 then 'medium' else 'large' end magnitude from (select *, ((na-1)*va+(nb-1)*vb)/(na+nb-2) sp from ({TWO}))")
 _add("ht7_chi_square", "scored2", lambda d: st.chi_square(d, "segment", "y_pred"), "with c as (select segment a, y_pred b, cast(count(*) as double) n from {v} group by 1,2), x as (select *, sum(n) over (partition by a) na, sum(n) over (partition by b) nb, sum(n) over () t from c), s as (select sum((n-na*nb/t)*(n-na*nb/t)/(na*nb/t)) x, max(t) t, count(distinct a) ka, count(distinct b) kb from x) select round(x,4) chi2, (ka-1)*(kb-1) df, round(sqrt(x/(t*least(ka-1,kb-1))),6) cramers_v from s")
 _add("ht8_mann_whitney", "scored", lambda d: st.mann_whitney(d, "y_prob", "y_true", 1, 0), "with h as (select y_prob v, cast(sum(y_true) as double) na, cast(count(*)-sum(y_true) as double) nb from {v} group by 1), p as (select *, sum(nb) over (order by v) c from h), s as (select sum(na*(c-nb/2)) u, sum(na) n, sum(nb) m from p) select round(u,1) u1, round(n*m-u,1) u2, round((u-n*m/2)/sqrt(n*m*(n+m+1)/12),6) z, round(2*u/(n*m)-1,6) rank_biserial from s")
 _add("ht12_corrections", "tests", st.corrections, "with r as (select *, row_number() over (order by p_value, test_id) k, count(*) over () m from {v}), a as (select *, min(least(1e0,p_value*m/k)) over (order by k desc rows between unbounded preceding and current row) adj from r) select test_id, round(p_value,6) p_value, round(least(1e0,p_value*m),6) bonferroni, p_value<0.05/m bonferroni_reject, round(adj,6) bh, adj<=0.05 bh_reject from a")
 _add("ht15_mcnemar", "scored2", lambda d: st.mcnemar(d, "y_true", "y_pred", "y_pred2"), "with s as (select cast(sum(case when y_true=y_pred and y_true=y_pred2 then 1 else 0 end) as bigint) a, cast(sum(case when y_true=y_pred and y_true<>y_pred2 then 1 else 0 end) as bigint) b, cast(sum(case when y_true<>y_pred and y_true=y_pred2 then 1 else 0 end) as bigint) c, cast(sum(case when y_true<>y_pred and y_true<>y_pred2 then 1 else 0 end) as bigint) d from {v}) select a as both, b first_only, c second_only, d neither, round((abs(b-c)-1)*(abs(b-c)-1)/cast(b+c as double),6) statistic, round((a+b)/cast(a+b+c+d as double),6) accuracy1, round((a+c)/cast(a+b+c+d as double),6) accuracy2, b+c=0 no_discordant from s")
 _add("ht16_wilson", "scored2", lambda d: st.proportion_interval(d, "y_pred", "segment"), "with g as (select segment, cast(count(*) as double) n, avg(cast(y_pred as double)) p, 1.959964e0 z from {v} group by 1) select segment, cast(n as bigint) n, round(p,6) p, round((p+z*z/(2*n))/(1+z*z/n)-z/(1+z*z/n)*sqrt(p*(1-p)/n+z*z/(4*n*n)),6) low, round((p+z*z/(2*n))/(1+z*z/n)+z/(1+z*z/n)*sqrt(p*(1-p)/n+z*z/(4*n*n)),6) high from g")
 
-_add("cs3_effects", "treat", cs.effects, """select round(avg(case when t=1 then y end)-avg(case when t=0 then y end),6) naive, round(avg(t*y/ps-(1-t)*y/(1-ps)),6) ipw, round(sum(case when t=1 then y/ps else 0 end)/sum(case when t=1 then 1/ps else 0 end)-sum(case when t=0 then y/(1-ps) else 0 end)/sum(case when t=0 then 1/(1-ps) else 0 end),6) ipw_normalised,
-    round(avg(case when t=1 then y end)-sum(case when t=0 then ps/(1-ps)*y else 0 end)/sum(case when t=0 then ps/(1-ps) else 0 end),6) att, round(avg(case when ps between 0.05 and 0.95 then 0e0 else 1e0 end),6) outside, min(ps) ps_min, max(ps) ps_max, avg(case when ps between 0.05 and 0.95 then 0e0 else 1e0 end)<0.1 valid_overlap from {v}""")
 _add("cs10_diff_in_diff", "treat", cs.diff_in_diff, "select round(a,6) treated_post, round(b,6) treated_pre, round(c,6) control_post, round(d,6) control_pre, round(a-b-c+d,6) did from (select avg(y) filter (t=1 and post=1) a, avg(y) filter (t=1 and post=0) b, avg(y) filter (t=0 and post=1) c, avg(y) filter (t=0 and post=0) d from {v})")
 _add("cs14_two_stage", "treat", lambda d: cs.two_stage(d, "x1", "t", "y"), "select round(covar_samp(x1,y)/covar_samp(x1,t),6) effect, round(r*r/(1-r*r)*(n-2),2) first_stage_f from (select covar_samp(x1,y) q, corr(x1,t) r, count(*) n from {v}) s, {v} group by r, n")
-_add("cs16_simpson", "treat", cs.simpson, "select coalesce(stratum,'ALL') stratum, count(*) n, round(avg(y) filter (t=1)-avg(y) filter (t=0),6) effect, round(corr(t,y),6) r from {v} group by rollup(stratum)")
 _QUERIES["gr3_relatives"] = lambda spark, sf: cs.relatives(load(spark, sf, "trade"), load(spark, sf, "node_pairs"))
 _SQL["gr3_relatives"] = f"""with recursive e as (select distinct * from ({text('trade')})), p as (select * from ({text('node_pairs')})), s as (select x root from p union select y from p),
     d(root,node) as (select src,dst from e where src in (select root from s) union select root,dst from d join e on node=src), u(root,node) as (select dst,src from e where dst in (select root from s) union select root,src from u join e on node=dst)
     select x, y, 'confounder' kind, a.node from p join u a on a.root=x join u b on b.root=y and b.node=a.node union all select x, y, 'collider', a.node from p join d a on a.root=x join d b on b.root=y and b.node=a.node
     union all select x, y, 'mediator', a.node from p join d a on a.root=x join u b on b.root=y and b.node=a.node"""
-_QUERIES["gr1_descendants"] = lambda spark, sf: cs.reach(load(spark, sf, "edges"), load(spark, sf, "edges").where("src like 'R%'").select(F.col("src").alias("root")).distinct())
-_SQL["gr1_descendants"] = f"with recursive e as (select * from ({text('edges')})), d(root,node) as (select src,dst from e where src like 'R%' union select root,dst from d join e on node=src) select root, node from d"
 P3 = ["p0", "p1", "p2"]
 THR = "with t as (select avg(p0) filter (y_noisy=0) t0, avg(p1) filter (y_noisy=1) t1, avg(p2) filter (y_noisy=2) t2 from {v}), a as (select row_id, y_noisy as label, p0,p1,p2,t0,t1,t2, case when p0>=t0 then p0 end c0, case when p1>=t1 then p1 end c1, case when p2>=t2 then p2 end c2 from {v}, t), b as (select *, greatest(c0,c1,c2) m, case y_noisy_ when 0 then p0 when 1 then p1 else p2 end own from (select *, label y_noisy_ from a)), k as (select *, case when m is null then null when m=c0 then 0 when m=c1 then 1 else 2 end confident from b)"
-_add("ln1_thresholds", "noisy", lambda d: cs.noise_thresholds(d, "y_noisy", P3).select(*[F.round(f"t{k}", 6).alias(f"t{k}") for k in range(3)]), "select round(avg(p0) filter (y_noisy=0),6) t0, round(avg(p1) filter (y_noisy=1),6) t1, round(avg(p2) filter (y_noisy=2),6) t2 from {v}")
-_add("ln3_label_errors", "noisy", lambda d: cs.confident(d, "y_noisy", P3), THR + " select row_id, label, confident, case when m is null then own < (case label when 0 then t0 when 1 then t1 else t2 end) else confident<>label end is_issue, round(own-greatest(case when label<>0 then p0 else -1 end,case when label<>1 then p1 else -1 end,case when label<>2 then p2 else -1 end),6) margin, round(own,6) quality from k")
-_add("ln2_joint", "noisy", lambda d: cs.confident(d, "y_noisy", P3).where("confident is not null").groupBy("label", "confident").agg(F.count(F.lit(1)).alias("n")), THR + " select label, confident, count(*) n from k where confident is not null group by 1,2")
-_add("ln14_noise_matrix", "noisy", lambda d: d.groupBy("y_true").agg(*[F.round(F.avg((F.col("y_noisy") == k).cast("double")), 6).alias(f"to{k}") for k in range(3)]), "select y_true, round(avg(case when y_noisy=0 then 1e0 else 0e0 end),6) to0, round(avg(case when y_noisy=1 then 1e0 else 0e0 end),6) to1, round(avg(case when y_noisy=2 then 1e0 else 0e0 end),6) to2 from {v} group by 1")
 GAPS = ["acctbal", "nation", "balance"]
 _M = lambda c: f"select '{c}' feature, avg(case when {c} is null then 1e0 else 0e0 end) rate, corr(case when {c} is null then 1e0 else 0e0 end, y) r, abs(avg(y) filter ({c} is null)-avg(y) filter ({c} is not null)) gap from {{v}}"
-_add("md1_missing_profile", "gaps", lambda d: cs.missing_profile(d, GAPS, "y"), "select feature, round(rate,6) missing_rate, round(r,6) target_corr, round(gap,6) target_gap, case when rate=0 then 'NONE' when gap>0.1 then 'MNAR' when gap>0.05 then 'MAR' else 'MCAR' end mechanism, abs(r)>=0.1 keep_indicator, rate>0.3 high_missing from (" + " union all ".join(_M(c) for c in GAPS) + ")")
-_add("md2_patterns", "gaps", lambda d: cs.missing_patterns(d, GAPS), "select concat(case when acctbal is null then '1' else '0' end, case when nation is null then '1' else '0' end, case when balance is null then '1' else '0' end) pattern, count(*) n from {v} group by 1")
-_add("sl7_slices", "scored2", lambda d: cs.slices(d.withColumn("loss", (F.col("y_true") != F.col("y_pred")).cast("double")), ["grp", "segment"], "loss"),
-     """with l as (select 'grp' feature, grp as value, case when y_true<>y_pred then 1e0 else 0e0 end l from {v} union all select 'segment', segment, case when y_true<>y_pred then 1e0 else 0e0 end from {v}), t as (select feature, count(*) a, sum(l) s, sum(l*l) q from l group by 1), g as (select feature, value, count(*) n, sum(l) gs, sum(l*l) gq from l group by 1,2 having count(*)>=20)
-     select feature, value, n, round(m,6) mean_loss, round(k,6) rest_loss, round(sqrt(2e0)*(m-k)/sqrt(v+w),6) effect from (select g.feature, value, n, gs/n m, (s-gs)/(a-n) k, gq/n-(gs/n)*(gs/n) v, (q-gq)/(a-n)-((s-gs)/(a-n))*((s-gs)/(a-n)) w from g join t on g.feature=t.feature)""")
-_add("pr5_minmax", "regress", lambda d: d.crossJoin(F.broadcast(d.agg(F.min("yhat").alias("lo"), F.max("yhat").alias("hi")))).select("row_id", F.round((F.col("yhat") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9), 6).alias("p")), "select row_id, round((yhat-(select min(yhat) from {v}))/((select max(yhat) from {v})-(select min(yhat) from {v})+1e-9),6) p from {v}")
-_add("ch2_mean_by_category", "treat", lambda d: d.groupBy("stratum").agg(F.round(F.avg("y"), 6).alias("mean_y")), "select stratum, round(avg(y),6) mean_y from {v} group by 1")
-_add("ch3_histogram", "cohorts", lambda d: d.where("feature='value'").crossJoin(F.broadcast(d.where("feature='value'").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))).groupBy("cohort", F.least(F.floor((F.col("value") - F.col("lo")) * 30 / (F.col("hi") - F.col("lo"))), F.lit(29)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")),
-     "select cohort, cast(least(floor((value-lo)*30/(hi-lo)),29) as integer) bin, count(*) n from {v}, (select min(value) lo, max(value) hi from {v} where feature='value') where feature='value' group by 1,2")
-_add("ch4_box", "treat", lambda d: d.groupBy("stratum").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("y").alias("lo"), F.max("y").alias("hi")).select("stratum", F.round(F.col("q")[0], 6).alias("p25"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("p75"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi")), "select stratum, round(quantile_cont(y,0.25),6) p25, round(quantile_cont(y,0.5),6) median, round(quantile_cont(y,0.75),6) p75, round(min(y),6) lo, round(max(y),6) hi from {v} group by 1")
-
 
-def _daily(spark, sf):
-    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"))
-    last = e.agg(F.max("day").alias("last"))
-    spine = last.select(F.explode(F.sequence(F.date_sub("last", 6), F.col("last"))).alias("day"))
-    return spine.join(e.groupBy("day").agg(F.count(F.lit(1)).alias("n")), "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-_QUERIES["wk1_daily_counts"] = _daily
-_SQL["wk1_daily_counts"] = "with l as (select max(cast(ts as date)) d from events) select strftime(s.day, '%Y-%m-%d') as day, count(e.ts) n from (select unnest(range(0,7)) k) r cross join l cross join lateral (select l.d - cast(r.k as integer) as day) s left join events e on cast(e.ts as date)=s.day group by 1"
-_QUERIES["wk2_active_users"] = lambda spark, sf: table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
-_SQL["wk2_active_users"] = "select event_type, count(distinct user_id) users, count(*) n from events group by 1"
-_add("vs3_stratified_folds", "scored", lambda d: _folds(d), None)
 
 
-def _folds(d):
-    """VS3: round-robin inside each class, in hash order, numbered in two levels."""
-    from pyspark.sql import Window
 
-    d = d.select("row_id", "y_true", F.md5(F.concat(F.col("row_id").cast("string"), F.lit(":f"))).alias("h")).withColumn("b", F.substring("h", 1, 2))
-    n = d.groupBy("y_true", "b").agg(F.count(F.lit(1)).alias("n"))
-    n = n.select("y_true", "b", F.coalesce(F.sum("n").over(Window.partitionBy("y_true").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    k = F.col("before") + F.row_number().over(Window.partitionBy("y_true", "b").orderBy("h", "row_id")) - 1
-    return d.join(n, ["y_true", "b"]).select("row_id", (k % 5).cast("int").alias("fold"))
 
 
-_SQL["vs3_stratified_folds"] = f"select row_id, cast((row_number() over (partition by y_true order by h, row_id)-1) % 5 as integer) fold from (select row_id, y_true, md5(concat(cast(row_id as string), ':f')) h from ({text('scored')}))"
 
 
-_add("pr7_label_codes", "treat", lambda d: pr.label_codes(d, "stratum"), "select row_id, cast(dense_rank() over (order by stratum)-1 as integer) code from {v}")
-_add("pr8_mean_fill", "gaps", lambda d: pr.mean_fill(d, ["acctbal", "nation"]), "select row_id, round(coalesce(acctbal,(select avg(acctbal) from {v})),6) acctbal, round(coalesce(nation,(select avg(nation) from {v})),6) nation from {v}")
 _add("pr9_standardise", "treat", lambda d: pr.standardise(d, ["x1"], F.col("post") == 0), "select row_id, round((x1-(select avg(x1) from {v} where post=0))/(select stddev_samp(x1) from {v} where post=0),6) x1 from {v}")
 _add("pr13_indicators", "gaps", lambda d: pr.indicators(d, ["acctbal", "y", "balance"]), "select row_id, case when acctbal is null then 1 else 0 end is_missing_acctbal, case when balance is null then 1 else 0 end is_missing_balance from {v}")
 _add("vs13_label_check", "multi", lambda d: pr.label_check(d, "y_true", [0, 1]), "select y_true as label, count(*) n, round(count(*)/cast(sum(count(*)) over () as double),6) share, y_true in (0,1) expected, count(*)/cast(sum(count(*)) over () as double)<0.05 minority from {v} group by 1")
@@ -211,21 +157,19 @@ _add("gv3_input_checks", "scored", lambda d: pr.input_checks(d, "y_true", "y_pro
 _add("vs2_folds", "scored", lambda d: d.select("row_id", pr.fold_of("row_id", 5).alias("fold")), f"select row_id, cast(floor({draw('row_id', 'v')} * 5) as integer) fold from {{v}}")
 _add("ds5_z_scores", "gaps", lambda d: pr.z_scores(d, "acctbal"), "select row_id, round((acctbal-(select avg(acctbal) from {v}))/(select stddev_samp(acctbal) from {v}),6) z from {v}")
 _add("md10_co_missing", "gaps", lambda d: pr.co_missing(d, GAPS), "select a, b, round(r,6) r, r>0.5 together from (" + " union all ".join(f"select '{a}' a, '{b}' b, corr(case when {a} is null then 1e0 else 0e0 end, case when {b} is null then 1e0 else 0e0 end) r from {{v}}" for a, b in (("acctbal", "nation"), ("acctbal", "balance"), ("nation", "balance"))) + ")")
-_add("ht3_one_sample", "treat", lambda d: pr.one_sample(d, "y", 5.0, "stratum"), "select stratum, n, round(m,6) mean, round((m-5)/(s/sqrt(n)),6) t, n-1 df, round(m-1.959964e0*s/sqrt(n),6) low, round(m+1.959964e0*s/sqrt(n),6) high from (select stratum, count(y) n, avg(y) m, stddev_samp(y) s from {v} group by 1)")
-_add("ln4_error_fraction", "noisy", lambda d: cs.confident(d, "y_noisy", P3).agg(F.round(F.avg(F.col("is_issue").cast("double")), 6).alias("fraction"), F.count_if("is_issue").alias("issues")), THR + " select round(avg(case when i then 1e0 else 0e0 end),6) fraction, count(*) filter (i) issues from (select case when m is null then own < (case label when 0 then t0 when 1 then t1 else t2 end) else confident<>label end i from k)")
 
 
 _add("pr1_filters", "scored2", lambda d: pr.filters(d, [{"column": "y_prob", "op": ">", "value": "0.4"}, {"column": "segment", "op": "==", "value": "BUILDING"}, {"column": "absent", "op": "<", "value": 1}]).select("row_id", "segment", "y_prob"), "select row_id, segment, y_prob from {v} where y_prob>0.4e0 and segment='BUILDING'")
 _add("ch1_binned_mean", "treat", lambda d: pr.binned_mean(d, "x1", "y"), "select cast(greatest(0, least(ceil((x1-lo)*12/(hi-lo))-1, 11)) as integer) bin, count(*) n, round(avg(y),6) mean from {v}, (select min(x1) lo, max(x1) hi from {v}) group by 1")
-_add("ch7_calibration_residuals", "scored", lambda d: ca.reliability(d).select("bin", F.round(F.col("frac_pos") - F.col("mean_prob"), 6).alias("residual")), f"select bin, round(fp-mp,6) residual from ({_B('')})")
 
 
 def flagship(spark, sf_dir):
-    """Findings of the full audit: module, feature, metric, value, severity."""
-    s, s2 = load(spark, sf_dir, "scored"), load(spark, sf_dir, "scored2")
-    row = lambda d, module, feature, metric, value, sev: d.select(F.lit(module).alias("module"), feature.alias("feature"), F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value"), sev.alias("severity"))
-    auc = row(ev.auc(s), "evaluation", F.lit("all"), "auc", "auc", F.when(F.col("auc") < 0.6, "HIGH").otherwise("NONE"))
-    cal = row(ca.errors(ca.reliability(s)), "calibration", F.lit("all"), "ece", "ece", ca.severity(F.col("ece")))
-    fair = row(fa.audit(s2, ["grp", "segment"]), "fairness", F.col("axis"), "dp_gap", "dp_gap", F.col("dp_severity"))
-    drift = row(dr.report(load(spark, sf_dir, "cohorts")), "drift", F.col("feature"), "psi", "psi", F.when(F.col("status") == "DRIFT", "HIGH").when(F.col("status") == "WARN", "MEDIUM").otherwise("NONE"))
-    return auc.unionByName(cal).unionByName(fair).unionByName(drift)
+    """Findings of the full audit: module, feature, metric, value, severity; a module that fails is a finding of its own."""
+    s, s2 = load(spark, sf_dir, "gappy"), load(spark, sf_dir, "scored2")
+    status = lambda c: F.when(F.col(c) == "DRIFT", "HIGH").when(F.col(c) == "WARN", "MEDIUM").otherwise("NONE")
+    return gv.run_all(spark, {
+        "evaluation": lambda: gv.findings(ev.auc(s), "evaluation", "auc", "auc", F.when(F.col("auc") < 0.6, "HIGH").otherwise("NONE")),
+        "calibration": lambda: gv.findings(ca.errors(ca.reliability(s)), "calibration", "ece", "ece", ca.severity(F.col("ece"))),
+        "fairness": lambda: gv.findings(fa.audit(s2, ["grp", "segment"]), "fairness", "dp_gap", "dp_gap", F.col("dp_severity"), F.col("axis")),
+        "drift": lambda: gv.findings(dr.per_feature(load(spark, sf_dir, "cohorts")), "drift", "psi", "psi", status("status"), F.col("feature")),
+    })

@@ -25,10 +25,13 @@ VIEWS = {
         select vec_id, label, {draw('vec_id', 'm0')} + (case when label % 3 = 0 then 1e0 else 0e0 end) + 0.001e0 as w0, {draw('vec_id', 'm1')} + (case when label % 3 = 1 then 1e0 else 0e0 end) + 0.001e0 as w1,
         {draw('vec_id', 'm2')} + (case when label % 3 = 2 then 1e0 else 0e0 end) + 0.001e0 as w2 from {{embeddings}}) m""",
     "noisy": f"select m.*, case when {draw('row_id', 'n')} < 0.15e0 then (y_true + 1) % 3 else y_true end as y_noisy from ({{multi}}) m",
-    "cohorts": """select event_id as row_id, case when ts < timestamp '2024-01-16' then 'reference' else 'current' end as cohort, 'value' as feature,
-        cast(value as double) * (case when ts < timestamp '2024-01-16' then 1e0 else 1.3e0 end) as value from {events}
-        union all select event_id, case when ts < timestamp '2024-01-16' then 'reference' else 'current' end, 'hour', cast(extract(hour from ts) as double) from {events}
-        union all select event_id, case when ts < timestamp '2024-01-16' then 'reference' else 'current' end, 'user_id', cast(user_id as double) from {events}""",
+    "gappy": f"""select row_id, custkey, case when {draw('row_id', 'g')} < 0.02e0 then null else y_true end as y_true, case when {draw('row_id', 'h')} < 0.02e0 then null when {draw('row_id', 'h')} < 0.03e0 then cast('nan' as double) else y_prob end as y_prob,
+        case when {draw('row_id', 'i')} < 0.02e0 then null else grp end as grp, ts from ({{scored}}) s""",
+    "cohorts": f"""select event_id as row_id, case when ts < timestamp '2024-01-16' then 'reference' else 'current' end as cohort, feature, case when {draw('event_id', 'q')} < (case when ts < timestamp '2024-01-16' then 0.01e0 else 0.09e0 end) then null
+        when feature = 'value' then cast(value as double) * (case when ts < timestamp '2024-01-16' then 1e0 else 1.3e0 end) when feature = 'hour' then cast(extract(hour from ts) as double) else cast(user_id as double) end as value
+        from {{events}} cross join (select 'value' as feature union all select 'hour' union all select 'user_id') f""",
+    "study": f"""select row_id, t, y, x1, x2, stratum, ps, post, case when {draw('row_id', 's')} < 0.25e0 then 'test' else 'train' end as role, o_orderdate as ts from ({{treat}}) s join {{orders}} on row_id = o_orderkey""",
+    "wide": """select event_id as row_id, case when ts < timestamp '2024-01-16' then 'reference' else 'current' end as cohort, cast(value as double) * (case when ts < timestamp '2024-01-16' then 1e0 else 1.3e0 end) as v, cast(extract(hour from ts) as double) as h, cast(user_id as double) as u from {events}""",
     "cat_cohorts": f"""select event_id as row_id, case when ts < timestamp '2024-01-16' then 'reference' else 'current' end as cohort,
         case when event_type = 'view' and ts >= timestamp '2024-01-16' and {draw('event_id', 'k')} < 0.3e0 then 'refund' else event_type end as category from {{events}}""",
     "gaps": f"""select c_custkey as row_id, case when {draw('c_custkey', 'm')} < 0.1e0 then null else cast(c_acctbal as double) end as acctbal,
@@ -49,6 +52,13 @@ VIEWS = {
 }
 
 
+#: Rows that are known, for measures that leave out nulls and NaN.
+KNOWN = {
+    "gappy": "y_true is not null and y_prob is not null and not isnan(y_prob)",
+    "cohorts": "value is not null",
+}
+
+
 def text(name: str) -> str:
     """The SQL of a view over the tables alone, for the oracle."""
     own = {v: f"({text(v)})" for v in VIEWS if f"({{{v}}})" in VIEWS[name]}
@@ -67,7 +77,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame."""
     sql = VIEWS[name]
-    for v in VIEWS:
-        sql = sql.replace(f"({{{v}}})", f"({VIEWS[v]})")
+    while any(f"({{{v}}})" in sql for v in VIEWS):
+        for v in VIEWS:
+            sql = sql.replace(f"({{{v}}})", f"({VIEWS[v]})")
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)

@@ -1 +1 @@
-"""See the package README."""
+"""Streaming monitors."""
