@@ -446,9 +446,9 @@ _put("st1_drift_windows", _windows_of_drift, f"""
     p as (select sp.feature, sp.bin, coalesce(n,0)/{D('sum(coalesce(n,0)) over (partition by sp.feature)')}+1e-6 p from sp left join rf on rf.feature=sp.feature and rf.bin=sp.bin), ws as (select distinct w, feature from k), q as (select w, feature, bin, count(*) n from k group by 1,2,3),
     j as (select ws.w, ws.feature, p.p, coalesce(q.n,0) n, coalesce(q.n,0)/{D('sum(coalesce(q.n,0)) over (partition by ws.w, ws.feature)')}+1e-6 q from ws join p on p.feature=ws.feature left join q on q.w=ws.w and q.feature=ws.feature and q.bin=p.bin)
     select strftime(w,'%Y-%m-%d') as start, feature, cast(sum(n) as bigint) n, {r('sum((q-p)*ln(q/p))')} psi, case when sum((q-p)*ln(q/p))>=0.25 then 'DRIFT' when sum((q-p)*ln(q/p))>=0.1 then 'WARN' else 'STABLE' end status from j group by w, feature""")
-_add("st2_performance_windows", "gappy", lambda d: mon.performance(d, "60 days", "30 days").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", "accuracy", "recall", F.round("ece", 5).alias("ece")), f"""
+_add("st2_performance_windows", "gappy", lambda d: mon.performance(d, "60 days", "30 days").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", "accuracy", "recall", "gap"), f"""
     with k as (select *, time_bucket(interval 30 days, cast(ts as timestamp), timestamp '1970-01-01') b from {{v}}), w as (select b as start, * from k union all select b - interval 30 days, * from k), x as (select start, y_true, y_prob, least(floor(y_prob*10),9) bin from w), g as (select start, bin, count(*) n, abs(sum(y_true-y_prob)) gap from x group by 1,2)
-    select strftime(x.start,'%Y-%m-%d') as start, count(*) n, {r('avg(case when (y_prob>=0.5)=(y_true=1) then 1e0 else 0e0 end)')} accuracy, {r(f"count(*) filter (y_true=1 and y_prob>=0.5)/greatest({D('count(*) filter (y_true=1)')},1)")} recall, round(round((select sum(gap)/sum(n) from g where g.start=x.start),6),5) ece from x group by x.start""")
+    select strftime(x.start,'%Y-%m-%d') as start, count(*) n, {r('avg(case when (y_prob>=0.5)=(y_true=1) then 1e0 else 0e0 end)')} accuracy, {r(f"count(*) filter (y_true=1 and y_prob>=0.5)/greatest({D('count(*) filter (y_true=1)')},1)")} recall, round((select sum(gap) from g where g.start=x.start),4) gap from x group by x.start""")
 _put("st3_sessions", lambda s, d: mon.sessions(table(s, d, "events"), gap="6 hours").select("user", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), """
     with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end f from events where user_id is not null and ts is not null), g as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) k from o)
     select user_id as user, strftime(min(ts),'%Y-%m-%d %H:%M:%S') as start, count(*) n from g group by user_id, k""")

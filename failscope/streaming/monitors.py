@@ -40,7 +40,7 @@ def watch_drift(rows: DataFrame, bounds: DataFrame, reference: DataFrame, path:
 
 
 def performance(rows: DataFrame, window: str = "14 days", slide: str = "7 days", late: str = "1 day", bins: int = 10, baseline: float | None = None, tol: float = 0.01) -> DataFrame:
-    """ST2: rates and ECE of each sliding window, from (ts, y_true, y_prob), with EV22's status of the accuracy against a
+    """ST2: rates, ECE and its numerator (gap) of each sliding window, from (ts, y_true, y_prob), with EV22's status of the accuracy against a
     baseline. All sums of a window are in one aggregate, so it runs in append mode."""
     d = valid(rows, "y_true", "y_prob", "ts")
     d = d.withWatermark("ts", late) if d.isStreaming else d
@@ -52,7 +52,7 @@ def performance(rows: DataFrame, window: str = "14 days", slide: str = "7 days",
     t = rates(g).withColumn("ece", r6(sum(F.col(f"_g{i}") for i in range(bins)) / F.col("n")))
     change = F.col("accuracy") - F.lit(baseline).cast("double")
     status = F.when(change < -2 * tol, "REGRESSION").when(change < -tol, "WARNING").otherwise("OK")
-    return t.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "accuracy", "precision", "recall", "f1", "mcc", "kappa", "ece", status.alias("status"))
+    return t.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "accuracy", "precision", "recall", "f1", "mcc", "kappa", "ece", F.round(sum(F.col(f"_g{i}") for i in range(bins)), 4).alias("gap"), status.alias("status"))
 
 
 def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
