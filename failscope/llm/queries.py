@@ -76,5 +76,14 @@ def queries() -> dict:
         op7_block_matrix_search, op8_stupid_backoff, op9_hash_tree_sharding, op10_toxicity_cnn)}
 
 
+#: Links by brute force over all pairs of a label, components by reachability.
+_OP1 = """with recursive e as (select vec_id, label, cast(embedding as double[]) v from embeddings where embedding is not null and label is not null),
+ok as (select * from e where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(root, node) as (select vec_id, vec_id from embeddings union select root, b from reach join links on a = node)
+select vec_id, (select count(*) from links where a = vec_id) n_links, c component_id, vec_id = c kept from embeddings join (select node, min(root) c from reach group by node) on node = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash, tokenize, learn or sample in ways that SQL has no words for; tests hold them against brute force."""
+    return {"op1_lattice_near_dedup": _OP1}
