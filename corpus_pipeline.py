@@ -1,7 +1,12 @@
 """A corpus pipeline: toxicity, line dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents; columns beside those are left out, whatever their names.
+
+Odd rows: a null or empty text is a document without words. It is not toxic, has no line to lose, is one with all other
+documents without words in the near-duplicate stage (one of them stays), takes no words in the mix and packs as one token.
+Rows of one doc_id are documents each; a null doc_id comes last in every order, and stays null. Very long texts go whole
+through every stage. Ties are broken by doc_id, then the text's hash. An empty table gives an empty result of each stage.
 """
 
 from __future__ import annotations
