@@ -1,6 +1,7 @@
 """Stages of the pipeline against brute force."""
 
 import random
+import tempfile
 
 import numpy as np
 
@@ -77,3 +78,27 @@ def test_lines_stage_drops_each_rows_own_lines(spark):
         want.append((str(i), own, len(own)))
     got = corpus_pipeline.lines_stage(spark, df, "").collect()
     assert sorted((str(r.doc_id), r.text, r.n_chars) for r in got) == sorted(want)
+
+
+def test_all_stages_on_odd_rows_and_on_none(spark):
+    rng = random.Random(21)
+    good = [text(rng, 40, 4000) for _ in range(30)]
+    rows = [(i, t, "en", "ab"[i % 2], len(t), "x", 7) for i, t in enumerate(good)]
+    rows += [(100, None, "en", "a", None, "x", 7), (101, "", None, None, 0, "x", 7), (102, " \n\t", "en", "a", 3, "x", 7), (5, good[5], "en", "b", 9, "x", 7), (5, text(rng, 50, 4000), "en", "b", 9, "x", 7),
+             (None, text(rng, 50, 4000), None, None, None, "x", 7), (103, "word " * 40000, "en", "a", 1, "x", 7), (104, "z" * 100000, "en", "a", 1, "x", 7)]
+    docs = spark.createDataFrame(rows, PIPE + ", _id string, tox_score int")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(i, 0, 0) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for start in (docs, docs.limit(0)):
+        now, counts = start, []
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, folder).cache()
+            counts.append(now.count())
+            if name != "packing":
+                assert now.columns == corpus_pipeline.COLUMNS
+        assert counts == [0] * 5 or counts[0] == counts[1] == len(rows)
+        if counts[0]:
+            # copies of document 5 lost all but one text, the documents without words are one
+            assert counts[2] < len(rows) and now.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
+            ids = {r.doc_id for r in now.select("doc_id").distinct().collect()}
+            assert len(ids & {100, 101, 102}) <= 1
