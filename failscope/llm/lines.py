@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +29,9 @@ SKETCH_BITS, SIDE_ROWS, SIDE_CHARS = 4096, 4096, 1 << 22
 #: Bits of the filter by which texts are left out before they are shuffled (a fixed size; full, it lets all pass).
 FILTER_BITS = 1 << 26
 LAST = (1 << 63) - 1
+#: Characters of the lines whose shingle sets a worker keeps ready.
+HELD_CHARS = 1 << 18
+_READY: dict[tuple[str, int], frozenset] = {}
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -209,9 +211,15 @@ def similar(a: str, b: str, similarity: float, k: int = SHINGLE) -> bool:
     return common >= similarity * (len(x) + len(y) - common)
 
 
-@lru_cache(maxsize=256)
 def _shingles(text: str, k: int) -> frozenset:
-    return frozenset(text[i : i + k] for i in range(len(text) - k + 1)) or frozenset((text,))
+    """The shingle set of a line. Lines met lately are kept ready, of HELD_CHARS characters together at most."""
+    got = _READY.get((text, k))
+    if got is None:
+        got = frozenset(text[i : i + k] for i in range(len(text) - k + 1)) or frozenset((text,))
+        if sum(len(t) for t, _ in _READY) + len(text) > HELD_CHARS:
+            _READY.clear()
+        _READY[text, k] = got
+    return got
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

@@ -24,8 +24,12 @@ BASE = (
 #: Kinds that structural confirmation adds, in order after the base kinds.
 CONFIRMED = ("der_key", "ssh_key", "pem_key", "signed_token")
 
+#: Most characters of a signed token's header.
+HEADER = 1 << 14
+
 # No pattern looks at a character of a long run from more than a few starts, so all are linear in the text.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+", re.ASCII)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+)", re.ASCII)
+_BRACE = re.compile(r'\{(?=[\s"}])')
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}", re.ASCII)
 _HEX = re.compile(r"[0-9A-Fa-f]{64,}", re.ASCII)
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+(?:\r?\n|\\n)[\x20\t]*+)++[A-Za-z0-9+/_-]*+={0,2}", re.ASCII)
@@ -112,16 +116,35 @@ def is_ssh_private_key(data: bytes) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
 
 
-def is_signed_token(token: str) -> bool:
-    """Three parts whose first decodes to a JSON object that names an algorithm and whose second decodes to JSON."""
-    parts = token.split(".")
-    head, body = _decoded(parts[0]), _decoded(parts[1])
+def token_start(head: str, body: str, signature: str) -> int | None:
+    """Where in the first of three parts the header of a signed token begins, if the second is JSON and the first ends with a
+    JSON object that names an algorithm; the earliest such place.
+
+    A header is at most HEADER characters. Each of the four alignments of these is decoded once, and an object is read
+    forward from every brace at which a character of base64 can begin, which ends at the first fault.
+    """
     try:
-        header = json.loads(head)
-        json.loads(body)
-    except (ValueError, TypeError, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and (header["alg"] == "none" or bool(parts[2]))
+        json.loads(_decoded(body))
+    except (ValueError, RecursionError):
+        return None
+    read, best, least = json.JSONDecoder().raw_decode, None, max(0, len(head) - HEADER)
+    for first in range(least, min(least + 4, len(head))):
+        raw = _decoded(head[first:])
+        text = raw.decode("latin-1")  # a character a byte
+        stop = len(text.rstrip(" \t\r\n"))
+        for m in _BRACE.finditer(text) if text[stop - 1 : stop] == "}" else ():
+            at = first + m.start() // 3 * 4
+            if m.start() % 3 or best is not None and at >= best:
+                continue
+            try:
+                header, end = read(text, m.start())
+                raw[m.start() :].decode() if end >= stop else None
+            except (ValueError, RecursionError):
+                continue
+            if end >= stop and isinstance(header.get("alg"), str) and (header["alg"] == "none" or signature):
+                best = at
+                break
+    return best
 
 
 def _decoded(text: str) -> bytes:
@@ -132,15 +155,6 @@ def _decoded(text: str) -> bytes:
         return b""
 
 
-def _heads(part: str) -> Iterator[int]:
-    """Where a JSON object may begin in base64."""
-    at = part.find("ey")
-    while at >= 0:
-        if _decoded(part[at : at + 4])[:2] in (b'{"', b"{}", b"{ ", b"{\n", b"{\t", b"{\r"):
-            yield at
-        at = part.find("ey", at + 1)
-
-
 def _base64_key(run: str) -> str | None:
     """The kind of private key that a run of base64 holds. Only one that begins like a sequence or like the magic is
     decoded, so prose in long words costs little."""
@@ -170,8 +184,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
             add("pem_key", m.start(), m.end())
     at = 0
     while m := _TOKEN.search(text, at) if "." in text else None:
-        # the head may begin inside the first part; what is no token may hold the head of one after its first point
-        start = next((p for p in _heads(m[1]) if is_signed_token(m[0][p:])), None)
+        # what is no token may hold the head of one after its first point
+        start = token_start(m[1], m[2], m[3])
         if start is not None:
             add("signed_token", m.start() + start, m.end())
         at = m.end() if start is not None else m.end(1)

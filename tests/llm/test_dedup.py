@@ -203,3 +203,11 @@ def test_joining_links_are_few_and_join_all_that_similar_pairs_join():
     groups = len({frozenset(np.flatnonzero(label == k)) for k in label})
     assert len(links) == len(texts) - groups and all(lines.similar(texts[i], texts[j], 0.8) for i, j in links)
     assert all(label[i] == label[j] for i, x in enumerate(texts) for j, y in enumerate(texts) if lines.similar(x, y, 0.8))
+
+
+def test_shingle_sets_that_are_kept_ready_are_bounded():
+    lines._READY.clear()
+    for i in range(20):
+        t = " ".join(str(7 * n + i) for n in range(5000))
+        assert lines.similar(t, t + "x", 0.8)
+        assert sum(len(t) for t, _ in lines._READY) <= lines.HELD_CHARS

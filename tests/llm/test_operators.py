@@ -7,6 +7,8 @@ import json
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -117,6 +119,30 @@ def test_secrets(spark):
     assert got[1].n_hex == 2 and got[2].spans == "" and got[2].base_sha256.startswith("e3b0c442")
 
 
+def test_tokens_inside_longer_runs_and_long_runs_of_heads():
+    part = lambda x, **k: base64.urlsafe_b64encode(json.dumps(x, **k).encode()).decode().rstrip("=")
+    plain, nested = part({"alg": "HS256"}), part({"jwk": {"alg": "x", "k": [1, {}]}, "typ": "é", "alg": "RS256"}, ensure_ascii=False)
+    body = part({"sub": "1"})
+    for head in (plain, nested, part({"alg": "ES256"}, indent=1)):
+        for before in ("", "A", "eyJ", "xyz9", "A" * 20000, "eyJ" * 5000):
+            assert [k for k in secrets.scan(f"{before}{head}.{body}.sig") if k[0] == "signed_token"] == [("signed_token", len(before), len(before + head + body) + 5)]
+    for head in (part({"typ": "JWT"}), part(["alg"]), plain[:-2], part({"alg": 5})):
+        assert not [k for k in secrets.scan(f"{head}.{body}.sig") if k[0] == "signed_token"]
+    for text in ("eyJ" * 350_000 + ".aa.bb", ("eyJ" * 700 + ".aa.bb ") * 500, ("eyJ" * 3 + "." + body + ".") * 40_000):
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 2
+
+
+def test_search_of_equal_vectors_keeps_memory_bounded():
+    x = np.ones((3000, 64))
+    tracemalloc.start()
+    found = search.nearest(x[:1200], np.arange(1200), x, np.arange(3000), np.arange(3000), 20)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert sorted(i for q, i, _ in found if q == 5) == [i for i in range(21) if i != 5]
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 12)).astype(np.float32).astype(float)
@@ -210,6 +236,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert row.more == [1, None] and row.tox_score < 0.3
 
 
+def test_each_language_has_a_threshold_of_its_own():
+    rng = np.random.default_rng(0)
+    scored = []
+    for lang, middle, n in ((0, 0.7, 400), (1, 0.3, 60), (2, 0.5, 9)):
+        for _ in range(n):
+            toxic = rng.random() < 0.4
+            scored.append((lang, float(np.clip(middle + (0.1 if toxic else -0.1) + rng.normal(0, 0.02), 0, 1)), float(toxic)))
+    t = toxicity.thresholds(scored)
+    common = toxicity.thresholds([(9, p, y) for _, p, y in scored])[0]
+    assert t[3] == common and len({round(x, 3) for x in t[1:]}) == 3
+    assert abs(t[0] - 0.7) < 0.1 and abs(t[1] - 0.3) < abs(common - 0.3) and abs(t[2] - 0.5) < abs(common - 0.5)
+    assert toxicity.thresholds([(0, 0.4, 0.0)]) == [0.98] * 4
+
+
+def test_the_sample_is_bounded_in_words_and_whole_documents(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, "a", None) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    seen = []
+    toxicity_calibrated = toxicity.calibrated
+    toxicity.calibrated = lambda ids, *rest: (seen.append([len(x) for x in ids]), toxicity_calibrated(ids, *rest))[1]
+    try:
+        toxicity.fit(docs, labels, rows=20, most=260)
+        toxicity.fit(docs, labels, rows=7)
+    finally:
+        toxicity.calibrated = toxicity_calibrated
+    assert seen == [[50] * 5, [50] * 7]
+
+
 def plain_pooled(m, pairs):
     """Maxima of every filter over a text by the definition, and the output."""
     e = [m.emb[a].astype(float) + m.emb[b] for a, b in pairs]
