@@ -240,7 +240,7 @@ def near_pairs(sets: DataFrame, similarity: float, joining: bool, radius: int =
     left = near.select("pair", "same", F.lit(0).alias("side"), F.col("xc").alias("c"), F.col("xchunk").alias("chunk"))
     right = near.where("not same").select("pair", "same", F.lit(1).alias("side"), "c", "chunk")
     dealt = keyed.join(F.broadcast(sizes), "c").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = dealt.join(F.broadcast(left.unionByName(right)), ["c", "chunk"]).select("pair", "side", "same", "node", "n", "f", "g", "label", *[c for c in sets.columns if c == "sketch"])
+    dealt = dealt.join(left.unionByName(right), ["c", "chunk"]).select("pair", "side", "same", "node", "n", "f", "g", "label", *[c for c in sets.columns if c == "sketch"])
 
     def drawn(side: pd.DataFrame) -> np.ndarray | None:
         return np.frombuffer(b"".join(side["sketch"]), np.uint64).reshape(len(side), -1) if "sketch" in side and len(side) else None
