@@ -1,10 +1,18 @@
-"""Column helpers and the bucketed prefix sum."""
+"""Column helpers, written tables and the multi-level prefix sum."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a histogram that one task puts in order; a larger one is dealt into ranges of about so many.
+RANGE_ROWS = 1 << 18
+#: Ranges whose totals one task puts in order; more are summed in blocks of so many, and so on.
+LEVEL = 1 << 12
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -59,59 +67,111 @@ def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
     return a.join(renamed, on, how).drop(*[f"_r_{i}" for i in range(len(keys))])
 
 
-def _in_buckets(hist: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
-    """hist with ``_b``, the bucket of value in its group, at approximate quantiles."""
-    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = hist.groupBy(*by).agg(F.percentile_approx(value, at, 1000).alias("_bounds"))
-    joined = hist.join(F.broadcast(bounds), by) if by == ["_all"] else join_on(hist, bounds, by)
-    return joined.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset. On a cluster
+    a warehouse in the machine's own files is refused, as other machines would not see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/failscope-shared"
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return f"{base.rstrip('/')}/failscope-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once whatever reads it, and safe from lost executors. A table
+    that this has written is taken as it is."""
+    if getattr(df, "_failscope_written", False):
+        return df
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._failscope_written = True
+    return out
+
+
+def _ranged(table: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int]:
+    """table, written, with ``_r``, the number of the range its keys fall into, and how many ranges there are; a range has
+    about so many rows. Small tables are one range, so nothing is shuffled for them."""
+    table = written(table)
+    ranges = math.ceil(table.count() / rows)  # from the footers
+    if ranges <= 1:
+        return table.withColumn("_r", F.lit(0)), 1
+    return written(table.repartitionByRange(ranges, *keys).withColumn("_r", F.spark_partition_id())), ranges
+
+
+def _earlier(totals: DataFrame, by: list[str], names: list[str], f, ranges: int, level: int, back: bool) -> DataFrame:
+    """totals (by, _r, names) with each name's ``f`` over the earlier ranges of the group (later ones, if back), null where
+    there are none: over the ranges of a block, and the same over blocks, until one task can hold a level."""
+    span = (1, Window.unboundedFollowing) if back else (Window.unboundedPreceding, -1)
+    if ranges <= level:
+        own = Window.partitionBy(*by).orderBy("_r").rowsBetween(*span)
+        return totals.select(*by, "_r", *[f(n).over(own).alias(n) for n in names])
+    block = F.floor(F.col("_r") / level).cast("int")
+    own = Window.partitionBy(*by, block).orderBy("_r").rowsBetween(*span)
+    near = totals.select(*by, "_r", block.alias("_block"), *[f(n).over(own).alias(n) for n in names])
+    blocks = totals.groupBy(*by, block.alias("_r")).agg(*[f(n).alias(n) for n in names])
+    far = _earlier(blocks, by, names, f, math.ceil(ranges / level), level, back)
+    far = far.select(*by, F.col("_r").alias("_block"), F.struct(*names).alias("_far"))
+    both = join_on(near, far, [*by, "_block"])
+    return both.select(*by, "_r", *[F.when(F.col(n).isNull(), F.col(f"_far.{n}")).when(F.col(f"_far.{n}").isNull(), F.col(n)).otherwise(_pair(f, n)).alias(n) for n in names])
+
+
+def _pair(f, name: str) -> Column:
+    return F.col(name) + F.col(f"_far.{name}") if f is F.sum else F.least(F.col(name), F.col(f"_far.{name}"))
+
+
+def _scan(table: DataFrame, by: list[str], value: str, names: list[str], prefix: str, f, back: bool, rows: int, level: int) -> DataFrame:
+    """table with ``<prefix>_<name>``: f (sum or min) over the rows of the group up to this value, or from it on if back.
+
+    Rows are dealt into ranges of (by, value). What earlier ranges of a group add up to comes as one row more in each range,
+    before the others, so a window inside ranges gives the whole result and nothing is joined.
+    """
+    ranged, ranges = _ranged(table, [*by, value], rows)
+    order = [F.col("_carry").desc(), F.col(value).desc() if back else F.col(value).asc()]
+    own = Window.partitionBy("_r", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if ranges > 1:
+        totals = ranged.groupBy(*by, "_r").agg(*[f(n).alias(n) for n in names])
+        carry = _earlier(totals, by, names, f, ranges, level, back).where(F.coalesce(*names).isNotNull())
+        ranged = ranged.withColumn("_carry", F.lit(False)).unionByName(carry.withColumn("_carry", F.lit(True)), allowMissingColumns=True)
+    else:
+        ranged = ranged.withColumn("_carry", F.lit(False))
+    out = ranged.withColumns({f"{prefix}_{n}": f(n).over(own) for n in names})
+    return out.where("not _carry").drop("_carry", "_r")
+
+
+def prefix_sums(hist: DataFrame, by: list[str], value: str, sums: list[str], rows: int = RANGE_ROWS, level: int = LEVEL) -> DataFrame:
+    """Running sums (``cum_<name>``) along value in each group; a null group is a group like any other.
+
+    The histogram is written once. The number of its ranges, which run side by side, grows with its rows; a group may hold
+    all of them. Sums must not be null.
+    """
+    return _scan(hist, by, value, sums, "cum", F.sum, False, rows, level)
+
 
+def suffix_min(hist: DataFrame, value: str, name: str, rows: int = RANGE_ROWS, level: int = LEVEL) -> DataFrame:
+    """The least ``name`` (``min_<name>``) of this and all larger values, in ranges as in prefix_sums."""
+    return _scan(hist, [], value, [name], "min", F.min, True, rows, level)
 
-def prefix_sums(hist: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = 32) -> DataFrame:
-    """Running sums (``cum_<name>``) along value in each group, without one task for a group.
 
-    Values fall into buckets at approximate quantiles; sums run inside a bucket, and the totals of earlier buckets, a
-    table of at most ``buckets`` rows a group, are added. A null group is a group like any other.
-    """
-    by = by or ["_all"]
-    hist = hist.withColumn("_all", F.lit(1)) if by == ["_all"] else hist
-    cut = _in_buckets(hist, by, value, buckets)
-    totals = cut.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = join_on(cut, totals, [*by, "_b"])
-    for s in sums:
-        out = out.withColumn(f"cum_{s}", F.col(f"_o_{s}") + F.sum(s).over(inside))
-    return out.drop("_all", "_bounds", "_b", *[f"_o_{s}" for s in sums])
-
-
-def quantiles(hist: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+def quantiles(hist: DataFrame, by: list[str], value: str, at: list[float], rows: int = RANGE_ROWS) -> DataFrame:
     """(by, q): exact quantiles of each group by linear interpolation on n - 1, from a histogram (by, value, n).
 
-    Order statistics come from prefix sums, so no task holds the values of a group; only two ranks a quantile are kept.
+    Order statistics come from prefix sums, so no task holds the values of a group; only the values at the two ranks of each
+    quantile are kept.
     """
-    sums = prefix_sums(hist.where(F.col(value).isNotNull()), by, value, ["n"])
-    total = sums.groupBy(*by).agg(F.sum("n").alias("_n"))
-    ranks = F.transform(F.array(*map(F.lit, at)), lambda q: q * (F.col("_n") - 1))
-    ranks = total.select(*by, "_n", F.explode(F.array_distinct(F.concat(F.transform(ranks, lambda k: F.floor(k)), F.transform(ranks, lambda k: F.ceil(k))))).alias("_k"))
-    near = join_on(sums, ranks, by) if by else sums.crossJoin(F.broadcast(ranks))
-    hit = near.where((F.col("_k") < F.col("cum_n")) & (F.col("_k") >= F.col("cum_n") - F.col("n")))
-    got = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", value))).alias("_v"), F.first("_n").alias("_n"))
-
-    def one(q):
-        pos = q * (F.col("_n") - 1)
-        lo, hi = F.col("_v")[F.floor(pos)], F.col("_v")[F.ceil(pos)]
-        return lo + (hi - lo) * (pos - F.floor(pos))
-
-    return got.select(*by, F.array(*[one(F.lit(float(q))) for q in at]).alias("q"))
-
-
-def suffix_min(hist: DataFrame, value: str, name: str, buckets: int = 32) -> DataFrame:
-    """The least ``name`` (``min_<name>``) of this and all larger values, from minima of buckets as in prefix_sums."""
-    cut = _in_buckets(hist.withColumn("_all", F.lit(1)), ["_all"], value, buckets)
-    after = Window.partitionBy("_all").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    later = cut.groupBy("_all", "_b").agg(F.min(name).alias("_t")).select("_all", "_b", F.min("_t").over(after).alias("_o"))
-    inside = Window.partitionBy("_all", "_b").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(later, ["_all", "_b"]).withColumn(f"min_{name}", F.least("_o", F.min(name).over(inside)))
-    return out.drop("_all", "_bounds", "_b", "_o")
+    hist = written(hist.where(F.col(value).isNotNull()))
+    total = hist.groupBy(*by).agg(F.sum("n").alias("_n"))
+    sums = prefix_sums(hist, by, value, ["n"], rows)
+    sums = join_on(sums, total, by) if by else sums.crossJoin(F.broadcast(total))  # a row a group
+    place = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    holds = lambda k: (k < F.col("cum_n")) & (k >= F.col("cum_n") - F.col("n"))
+    ends = [F.max(F.when(holds(k), F.col(value))) for q in at for k in (F.floor(place(q)), F.ceil(place(q)))]
+    got = sums.groupBy(*by).agg(F.first("_n").alias("_n"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)])
+
+    def one(i, q):
+        lo, hi = F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}")
+        return lo + (hi - lo) * (place(q) - F.floor(place(q)))
+
+    return got.select(*by, F.array(*[one(i, q) for i, q in enumerate(at)]).alias("q"))

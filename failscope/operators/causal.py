@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, r6, ratio, valid
+from ..functions.core import corr, r6, ratio, valid, written
 
 
 def effects(df: DataFrame, t="t", y="y", ps="ps") -> DataFrame:
@@ -56,23 +56,15 @@ def simpson(df: DataFrame, t="t", y="y", stratum="stratum") -> DataFrame:
     return g.crossJoin(F.broadcast(v)).select("whole", F.col(stratum).alias("stratum"), "n", r6("effect").alias("effect"), r6("r").alias("r"), "paradox_by_correlation", "paradox_by_effect")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the session's shared folder, or, where none is set, in one of the warehouse."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/failscope-shared")
-    return df.checkpoint()
-
-
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """GR1: (root, node) for all that the roots of ``start`` (column root) reach. Each round joins the frontier with the
     edges and leaves out what was met; rounds are written so the plan stays short, each once. Null ends lead nowhere. For
     graphs of lineage size."""
     edges = edges.where("src is not null and dst is not null")
-    frontier = _written(start.where("root is not null").join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct())
+    frontier = written(start.where("root is not null").join(edges, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct())
     met = frontier
     while not frontier.isEmpty():
-        frontier = _written(frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(met, ["root", "node"], "left_anti"))
+        frontier = written(frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(met, ["root", "node"], "left_anti"))
         met = met.unionByName(frontier)
     return met
 
@@ -104,7 +96,7 @@ def flipped(edges: DataFrame) -> DataFrame:
 def relatives(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """GR3–GR5: (x, y, kind, node) for each of the pairs (x, y): confounders (common ancestors), colliders (common
     descendants), mediators (between). Frontiers start at all nodes of the pairs at once."""
-    edges, pairs = _written(edges.distinct()), _written(pairs.distinct())
+    edges, pairs = written(edges.distinct()), written(pairs.distinct())
     xs, ys = pairs.select(F.col("x").alias("root")).distinct(), pairs.select(F.col("y").alias("root")).distinct()
     start = xs.union(ys).distinct()
     down, up = reach(edges, start), reach(flipped(edges), start)

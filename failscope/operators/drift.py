@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, prefix_sums, quantiles, r6, ratio0, valid
+from ..functions.core import clean, corr, prefix_sums, quantiles, r6, ratio0, valid, written
 
 
 def histogram(df: DataFrame, by=("feature",)) -> DataFrame:
-    """Rows of each cohort at each value; null and NaN values are left out, as are rows of no cohort."""
+    """Rows of each cohort at each value, written once; null and NaN values are left out, as are rows of no cohort."""
     is_ref = F.col("cohort") == "reference"
-    return valid(df, "value", "cohort").groupBy(*by, "value").agg(F.count_if(is_ref).alias("ref"), F.count_if(~is_ref).alias("cur"))
+    return written(valid(df, "value", "cohort").groupBy(*by, "value").agg(F.count_if(is_ref).alias("ref"), F.count_if(~is_ref).alias("cur")))
 
 
 def ks(df: DataFrame) -> DataFrame:
@@ -43,12 +43,15 @@ def quantile_bounds(df: DataFrame, bins: int = 10) -> DataFrame:
     return bounds_of(valid(df, "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), bins)
 
 
-def bounds_of(hist: DataFrame, bins: int = 10) -> DataFrame:
-    h = prefix_sums(hist, ["feature"], "value", ["n"])
-    total = hist.groupBy("feature").agg(F.sum("n").alias("total"))
-    ranks = total.select("feature", F.explode(F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.floor(i * F.col("total") / bins))).alias("k"))
-    hit = h.join(ranks, "feature").where((F.col("k") < F.col("cum_n")) & (F.col("k") >= F.col("cum_n") - F.col("n")))
-    return hit.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("bounds"))
+def bounds_of(hist: DataFrame, bins: int = 10, n: str = "n") -> DataFrame:
+    """The boundaries of rows that a histogram counts in its column ``n``."""
+    hist = written(hist)
+    total = hist.groupBy("feature").agg(F.sum(n).alias("_total")).where("_total > 0")
+    h = prefix_sums(hist, ["feature"], "value", [n]).join(total, "feature")
+    rank = lambda i: F.floor(i * F.col("_total") / bins)
+    holds = lambda k: (k < F.col(f"cum_{n}")) & (k >= F.col(f"cum_{n}") - F.col(n))
+    at = h.groupBy("feature").agg(*[F.max(F.when(holds(rank(i)), F.col("value"))).alias(f"_b{i}") for i in range(1, bins)])
+    return at.select("feature", F.array_sort(F.array_distinct(F.array(*[f"_b{i}" for i in range(1, bins)]))).alias("bounds"))
 
 
 def bin_labels(df: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -67,7 +70,8 @@ def psi(df: DataFrame, bins: int = 10, eps: float = 1e-6) -> DataFrame:
 
 def psi_bins(hist: DataFrame, bins: int = 10) -> DataFrame:
     """DR2's bin details: rows of both cohorts in every bin, empty bins kept."""
-    bounds = bounds_of(hist.where("ref > 0").select("feature", "value", F.col("ref").alias("n")), bins)
+    hist = written(hist)
+    bounds = bounds_of(hist, bins, "ref")
     b = hist.join(bounds, "feature").withColumn("bin", F.size(F.filter("bounds", lambda x: x <= F.col("value"))))
     c = b.groupBy("feature", "bin").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
     every = bounds.select("feature", F.explode(F.sequence(F.lit(0), F.size("bounds"))).alias("bin"))
@@ -177,13 +181,16 @@ def by_method(df: DataFrame, method: str = "psi", least: float = 0.10) -> DataFr
 def root_causes(df: DataFrame) -> DataFrame:
     """RC1, RC2, RC4 for each feature: missing rates with their rule (a rise of over 5 points; HIGH where over 20 % are
     missing now), relative mean shift, values over the reference's upper fence and the largest value."""
-    is_ref, none = F.col("cohort") == "reference", F.col("value").isNull() | F.isnan("value")
-    v = F.when(~none, F.col("value"))
-    gone = lambda side: F.avg(F.when(side, none.cast("double")))
-    g = df.groupBy("feature").agg(gone(is_ref).alias("mr"), gone(~is_ref).alias("mc"), F.avg(F.when(is_ref, v)).alias("ar"), F.avg(F.when(~is_ref, v)).alias("ac"))
-    q = quantiles(df.where(is_ref & ~none).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), ["feature"], "value", [0.25, 0.75])
+    is_ref, number = F.col("cohort") == "reference", clean("value")
+    h = written(df.groupBy("feature", number.alias("value")).agg(F.count_if(is_ref).alias("ref"), F.count_if(~is_ref).alias("cur")))
+    none = F.col("value").isNull()
+    gone = lambda side: F.try_divide(F.sum(F.when(none, F.col(side)).otherwise(0)).cast("double"), F.sum(side))
+    mean = lambda side: F.try_divide(F.sum(F.col("value") * F.col(side)), F.sum(F.when(~none, F.col(side))))
+    g = h.groupBy("feature").agg(gone("ref").alias("mr"), gone("cur").alias("mc"), mean("ref").alias("ar"), mean("cur").alias("ac"))
+    q = quantiles(h.where("ref > 0").select("feature", "value", F.col("ref").alias("n")), ["feature"], "value", [0.25, 0.75])
     fence = q.select("feature", (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
-    over = df.where(~is_ref & ~none).join(fence, "feature").groupBy("feature").agg(F.count_if(F.col("value") > F.col("fence")).alias("outliers"), F.max("value").alias("worst"))
+    beyond = F.coalesce(F.sum(F.when(F.col("value") > F.col("fence"), F.col("cur"))), F.lit(0))
+    over = h.where("value is not null and cur > 0").join(fence, "feature").groupBy("feature").agg(beyond.alias("outliers"), F.max("value").alias("worst"))
     shift = F.abs(F.col("ac") - F.col("ar")) / (F.abs("ar") + 1e-9)
     rise = F.col("mc") - F.col("mr") > 0.05
     t = g.join(fence, "feature", "left").join(over, "feature", "left")

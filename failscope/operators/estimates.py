@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.core import corr, r6, valid
-from .causal import _written, effects, simpson
+from ..functions.core import corr, r6, valid, written
+from .causal import effects, simpson
 from .prep import draw_of
 
 
@@ -95,7 +95,7 @@ def nearest_scores(a: DataFrame, b: DataFrame, score: str, y: str, key: str) ->
     both = a.select(F.col(score).alias("s"), F.col(key).alias("k"), F.col(y).cast("double").alias("y"), F.lit(0).alias("b"))
     both = both.unionByName(b.groupBy(F.col(score).alias("s")).agg(F.min(F.struct(F.col(key).alias("k"), F.col(y).cast("double").alias("y"))).alias("f")).select("s", "f.k", "f.y", F.lit(1).alias("b")))
     d = both.repartitionByRange("s").withColumn("_p", F.spark_partition_id())
-    d = _written(d)
+    d = written(d)
     own = F.when(F.col("b") == 1, F.struct("s", "y"))
     edges = d.groupBy("_p").agg(F.max(own).alias("hi"), F.min(own).alias("lo"))
     w = Window.orderBy("_p")  # a row a partition

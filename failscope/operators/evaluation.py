@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, join_on, prefix_sums, quantiles, ratio, ratio0, r6, valid
+from ..functions.core import count_if, join_on, prefix_sums, quantiles, ratio, ratio0, r6, valid, written
 
 
 def confusion(df: DataFrame, y_true="y_true", y_pred="y_pred", by=()) -> DataFrame:
@@ -35,13 +35,23 @@ def rates(c: DataFrame, beta: float = 1.0) -> DataFrame:
         r6(F.when(chance == 1, 1.0).otherwise(ratio0(ratio0(tp + tn, n) - chance, 1 - chance))).alias("kappa"))
 
 
+def score_histogram(df: DataFrame, y_true="y_true", y_prob="y_prob", by=()) -> DataFrame:
+    """(by, neg_score, pos, n): rows and positives at each distinct score, negated so that the highest comes first; written
+    once. Every measure of an order of scores reads this table and not the rows."""
+    h = valid(df, y_true, y_prob).groupBy(*by, (-F.col(y_prob)).alias("neg_score"))
+    return written(h.agg(F.sum(y_true).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("n")))
+
+
 def threshold_table(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFrame:
     """EV6: counts and rates at each distinct score (predicted where score >= threshold), from prefix sums."""
-    t = valid(df, y_true, y_prob).withColumn("_neg", -F.col(y_prob)).groupBy("_neg").agg(F.sum(y_true).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("n"))
-    total = t.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
-    t = prefix_sums(t, [], "_neg", ["pos", "n"]).crossJoin(F.broadcast(total))
+    return threshold_table_of(score_histogram(df, y_true, y_prob))
+
+
+def threshold_table_of(h: DataFrame) -> DataFrame:
+    total = h.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    t = prefix_sums(h, [], "neg_score", ["pos", "n"]).crossJoin(F.broadcast(total))
     tp, fp = F.col("cum_pos"), F.col("cum_n") - F.col("cum_pos")
-    t = t.select((-F.col("_neg")).alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.col("all_n") - F.col("all_pos") - fp).alias("tn"), (F.col("all_pos") - tp).alias("fn"))
+    t = t.select((-F.col("neg_score")).alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.col("all_n") - F.col("all_pos") - fp).alias("tn"), (F.col("all_pos") - tp).alias("fn"))
     return rates(t).select("threshold", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "accuracy", "specificity")
 
 
@@ -64,17 +74,26 @@ def roc_points(table: DataFrame) -> DataFrame:
 
 def auc(df: DataFrame, y_true="y_true", y_prob="y_prob", by=()) -> DataFrame:
     """EV10: area under the ROC curve by rank sums (ties half), 0.5 where one class is missing."""
-    by = list(by)
-    h = valid(df, y_true, y_prob).groupBy(*by, F.col(y_prob).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.sum(1 - F.col(y_true)).cast("double").alias("neg"))
-    h = prefix_sums(h, by, "_p", ["neg"])
-    area = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
-    return h.groupBy(*by).agg(r6(F.coalesce(F.try_divide(area, F.sum("pos") * F.sum("neg")), F.lit(0.5))).alias("auc"))
+    return auc_of(score_histogram(df, y_true, y_prob, list(by)), list(by))
+
+
+def auc_of(h: DataFrame, by=()) -> DataFrame:
+    """A positive beats the negatives that come after it, and half of those at its score."""
+    h = prefix_sums(h, list(by), "neg_score", ["n", "pos"])
+    neg, pos = (F.col("n") - F.col("pos")).cast("double"), F.col("pos").cast("double")
+    tied_or_before = (F.col("cum_n") - F.col("cum_pos")).cast("double")
+    lost = F.sum(pos * (tied_or_before - neg / 2))
+    share = F.try_divide(lost, F.sum(pos) * F.sum(neg))
+    return h.groupBy(*by).agg(r6(F.coalesce(1 - share, F.lit(0.5))).alias("auc"))
 
 
 def average_precision(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFrame:
     """EV12: sum of precision times the step in recall, one step for each distinct score."""
-    h = valid(df, y_true, y_prob).groupBy((-F.col(y_prob)).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    h = prefix_sums(h, [], "_p", ["pos", "n"])
+    return average_precision_of(score_histogram(df, y_true, y_prob))
+
+
+def average_precision_of(h: DataFrame) -> DataFrame:
+    h = prefix_sums(h, [], "neg_score", ["pos", "n"])
     return h.agg(r6(F.try_divide(F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")), F.sum("pos"))).alias("average_precision"))
 
 
@@ -122,9 +141,9 @@ def pr_points(table: DataFrame) -> DataFrame:
 
 def pr_auc(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFrame:
     """EV13: area under the precision-recall curve by trapezoids, ties collapsed, from (0, 1) to (1, prevalence)."""
-    h = valid(df, y_true, y_prob).groupBy((-F.col(y_prob)).alias("_p")).agg(F.sum(y_true).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    h = prefix_sums(h, [], "_p", ["pos", "n"])
+    h = score_histogram(df, y_true, y_prob)
     t = h.agg(F.sum("pos").alias("P"))
+    h = prefix_sums(h, [], "neg_score", ["pos", "n"])
     before = F.col("cum_n") - F.col("n")
     now, last = F.col("cum_pos") / F.col("cum_n"), F.when(before > 0, (F.col("cum_pos") - F.col("pos")) / before).otherwise(1.0)
     return h.crossJoin(F.broadcast(t)).agg(r6(F.sum(F.try_divide(F.col("pos"), F.col("P")) * (now + last) / 2)).alias("pr_auc"))
@@ -132,13 +151,19 @@ def pr_auc(df: DataFrame, y_true="y_true", y_prob="y_prob") -> DataFrame:
 
 def summary(df: DataFrame, y_true="y_true", y_prob="y_prob", cut: float = 0.5) -> DataFrame:
     """EV16: one row of counts, rates, AUC, average precision, log loss, ECE and the threshold of the best F1."""
-    from . import calibration
-
-    df = valid(df, y_true, y_prob)
-    t = rates(binary_counts(df.withColumn("_hat", (F.col(y_prob) >= cut).cast("int")), y_true, "_hat"))
-    best = best_f1(threshold_table(df, y_true, y_prob)).select(F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"))
-    ece = calibration.errors(calibration.reliability(df, y_true, y_prob)).select(r6("ece").alias("ece"))
-    for part in (auc(df, y_true, y_prob), average_precision(df, y_true, y_prob), log_loss(df, y_true, y_prob), ece, best):
+    h = score_histogram(df, y_true, y_prob)
+    p, pos, n = -F.col("neg_score"), F.col("pos"), F.col("n")
+    above = lambda c: F.coalesce(F.sum(F.when(p >= cut, c)), F.lit(0))
+    below = lambda c: F.coalesce(F.sum(F.when(p < cut, c)), F.lit(0))
+    clipped = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+    loss = F.sum(pos * F.ln(clipped) + (n - pos) * F.ln(1 - clipped))
+    t = h.agg(above(pos).alias("tp"), above(n - pos).alias("fp"), below(n - pos).alias("tn"), below(pos).alias("fn"), r6(F.try_divide(-loss, F.sum("n"))).alias("log_loss"))
+    unit = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    bins = h.groupBy(F.least(F.floor(unit * 10), F.lit(9)).alias("bin")).agg(F.abs(F.sum(pos) - F.sum(unit * n)).alias("gap"), F.sum("n").alias("n"))
+    ece = bins.agg(r6(F.try_divide(F.sum("gap"), F.sum("n"))).alias("ece"))
+    best = best_f1(threshold_table_of(h)).select(F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"))
+    t = rates(t)
+    for part in (auc_of(h), average_precision_of(h), ece, best):
         t = t.crossJoin(F.broadcast(part))  # one row each
     return t
 

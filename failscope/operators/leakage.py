@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, r6, valid
-from .drift import quantile_bounds
+from ..functions.core import corr, r6, valid, written
+from .drift import bounds_of
 from .prep import first_codes
 from .splits import ordered_split, temporal_order
 
@@ -22,25 +22,52 @@ def coded(df: DataFrame, features: list[str], order: str, key: str = "row_id") -
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10, classes: int = 20) -> DataFrame:
     """LK1: mutual information (natural log) of each feature's quantile bin with the target's class, or its bin where it has
     more than ``classes`` values. One pass counts (feature, bin, class); the marginals are sums over that small table."""
-    rows = valid(df, target)
-    ids = rows.select(F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
-    many = ids.groupBy("_y").agg(F.lit(1).alias("k")).agg((F.count(F.lit(1)) > classes).alias("_many"))
-    cuts = quantile_bounds(ids.select(F.lit("y").alias("feature"), F.col("_y").alias("value")), bins).select(F.col("bounds").alias("_cuts"))
-    ids = ids.crossJoin(F.broadcast(many)).crossJoin(F.broadcast(cuts))
-    cls = F.when(F.col("_many"), F.size(F.filter("_cuts", lambda x: x <= F.col("_y"))).cast("double")).otherwise(F.col("_y"))
-    long = ids.withColumn("_c", cls).select("_c", *features).unpivot(["_c"], features, "feature", "value").where("value is not null and not isnan(value)")
-    bounds = quantile_bounds(long.select("feature", "value"), bins)
-    b = long.join(F.broadcast(bounds), "feature").groupBy("feature", F.size(F.filter("bounds", lambda x: x <= F.col("value"))).alias("bin"), "_c").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return _information(_long(df, features, target), bins, classes).select("feature", r6("mi").alias("mi"))
+
+
+def _long(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, value, y, n), written once: how often each value of a feature and of the target come together, and the
+    target itself as the feature null. Rows without a target are left out, and values that are null or NaN."""
+    y = F.col(target).cast("double")
+    both = [F.struct(F.lit(None).cast("string").alias("feature"), y.alias("value"))] + [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
+    long = valid(df, target).select(y.alias("y"), F.explode(F.array(*both)).alias("x")).select("x.feature", "x.value", "y").where("value is not null and not isnan(value)")
+    return written(long.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _information(long: DataFrame, bins: int, classes: int) -> DataFrame:
+    """(feature, mi) from the counts of _long: bounds of all features and of the target come from one prefix scan."""
+    is_y = F.col("feature").isNull()
+    named = long.withColumn("feature", F.coalesce(F.concat(F.lit("x"), "feature"), F.lit("y")))  # no name is like the target's
+    bounds = written(bounds_of(named.groupBy("feature", "value").agg(F.sum("n").alias("n")), bins))
+    many = long.where(is_y).agg((F.count(F.lit(1)) > classes).alias("_many"))
+    cuts = bounds.where("feature = 'y'").select(F.col("bounds").alias("_cuts"))
+    below = lambda cuts_, v: F.size(F.filter(cuts_, lambda x: x <= F.col(v)))
+    rows = long.where(~is_y).join(F.broadcast(bounds.select(F.expr("substr(feature, 2)").alias("feature"), "bounds").where("feature <> ''")), "feature")  # a row a feature
+    rows = rows.crossJoin(F.broadcast(many)).crossJoin(F.broadcast(cuts))
+    cls = F.when(F.col("_many"), below("_cuts", "y").cast("double")).otherwise(F.col("y"))
+    b = rows.groupBy("feature", below("bounds", "value").alias("bin"), cls.alias("_c")).agg(F.sum("n").cast("double").alias("n"))
     over = lambda *c: F.sum("n").over(Window.partitionBy("feature", *c))
     part = F.col("n") / over() * F.ln(F.col("n") * over() / (over("bin") * over("_c")))
-    return b.select("feature", part.alias("p")).groupBy("feature").agg(r6(F.sum("p")).alias("mi"))
+    return b.select("feature", part.alias("p")).groupBy("feature").agg(F.sum("p").alias("mi"))
 
 
-def scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
+def _correlation(long: DataFrame) -> DataFrame:
+    """(feature, r): absolute correlation with the target from the same counts, about the means; null for a constant."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"_m{c}")
+    rows = long.where("feature is not null")
+    rows = rows.join(F.broadcast(rows.groupBy("feature").agg(mean("value"), mean("y"))), "feature")  # a row a feature
+    dx, dy = F.col("value") - F.col("_mvalue"), F.col("y") - F.col("_my")
+    of = lambda a, b: F.sum(a * b * F.col("n"))
+    return rows.groupBy("feature").agg(F.abs(F.try_divide(of(dx, dy), F.sqrt(of(dx, dx)) * F.sqrt(of(dy, dy)))).alias("r"))
+
+
+def scores(df: DataFrame, features: list[str], target: str, bins: int = 10, classes: int = 20) -> DataFrame:
     """LK3, LK4: |r|, mutual information, score 0.7 |r| + 0.3 min(1, MI), and the suspects: MI over 0.95 of the largest or
-    |r| over 0.9; CRITICAL where both, HIGH where one."""
-    r = df.agg(*[F.abs(corr(c, target)).alias(c) for c in features]).unpivot([], features, "feature", "r")
-    t = mutual_information(df, features, target).join(r, "feature", "full").select("feature", r6(F.coalesce("r", F.lit(0.0))).alias("r"), F.coalesce("mi", F.lit(0.0)).alias("mi"))
+    |r| over 0.9; CRITICAL where both, HIGH where one. The rows are read once."""
+    long = _long(df, features, target)
+    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    t = every.join(_information(long, bins, classes), "feature", "left").join(_correlation(long), "feature", "left")
+    t = written(t.select("feature", r6(F.coalesce("r", F.lit(0.0))).alias("r"), r6(F.coalesce("mi", F.lit(0.0))).alias("mi")))
     top = t.agg(F.max("mi").alias("_top"))
     by_mi, by_r = (F.col("mi") > 0.95 * F.col("_top")) & (F.col("_top") > 0), F.col("r") > 0.9
     risk = F.when(by_mi & by_r, "CRITICAL").when(by_mi | by_r, "HIGH").otherwise("LOW")

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.core import corr, r6
-from .causal import _written
+from ..functions.core import corr, r6, written
 from .prep import draw_of
 
 
@@ -138,7 +137,7 @@ def impute(df: DataFrame, cols: list[str], key: str = "row_id", cycles: int = 3,
             u, v = draw_of(key, f"{salt}{n}{c}a"), draw_of(key, f"{salt}{n}{c}b")
             z = F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-9)))) * F.cos(2 * np.pi * v)
             d = model.transform(x).withColumn(c, F.when(F.col(f"_g_{c}"), F.col("_p") + z * (noise * model.summary.rootMeanSquaredError)).otherwise(F.col(c))).drop("_x", "_p")
-        d = _written(d)
+        d = written(d)
     return d.select(key, *cols)
 
 

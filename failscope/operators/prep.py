@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.core import corr, prefix_sums, quantiles, r6, ratio0, valid
+from ..functions.core import corr, prefix_sums, quantiles, r6, ratio0, valid, written
 
 
 def label_codes(df: DataFrame, c: str, key: str = "row_id") -> DataFrame:
@@ -17,7 +17,7 @@ def label_codes(df: DataFrame, c: str, key: str = "row_id") -> DataFrame:
 
 def _codes(values: DataFrame, order: str) -> DataFrame:
     """values (distinct in order, with a column one of 1s) with their rank from 0 in two levels: by range, then inside it."""
-    ranged = values.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    ranged = written(written(values).repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.sum("one").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -123,8 +123,8 @@ def prediction_sets(df: DataFrame, probs: list[str], label: str, level: float =
     """UQ1, UQ2: conformal quantile of 1 - p[true] by exact order statistic, then coverage and mean size of the sets."""
     own = F.element_at(F.array(*probs), (F.col(label) + 1).cast("int"))
     scored = valid(df, label, *probs).select(label, *probs, (1 - own).alias("score"))
-    q = scored.agg(F.count(F.lit(1)).alias("_n"))
-    h = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    h = written(scored.groupBy("score").agg(F.count(F.lit(1)).alias("n")))
+    q = h.agg(F.sum("n").alias("_n"))
     h = prefix_sums(h, [], "score", ["n"]).crossJoin(F.broadcast(q))
     cut = h.where(F.col("cum_n") > F.least(F.floor(F.lit(level) * F.col("_n")), F.col("_n") - 1)).agg(F.min("score").alias("q"))
     inside = lambda p: (F.col(p) >= 1 - F.col("q") - 1e-12).cast("int")

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.core import r6, valid
-from .causal import _written
+from ..functions.core import r6, valid, written
 
 
 def losses(df: DataFrame, kind: str, y="y_true", p="y_prob") -> DataFrame:
@@ -86,12 +85,12 @@ def search(df: DataFrame, features: list[str], loss: str, literals: int = 3, eff
     rows = base.select("l", "items", F.explode("items").alias("one")).select("l", "items", F.col("one.f").alias("last"), F.array("one.x").alias("slice"))
     for level in range(1, literals + 1):
         g = rows.groupBy("slice", "last").agg(*_sums("l")).where(F.col("n") >= least)
-        m = _written(_measured(g, totals, ["slice", "last"]))  # each level once
+        m = written(_measured(g, totals, ["slice", "last"]))  # each level once
         able = m.where(F.col("effect") >= effect)
         tried = able.agg(F.count(F.lit(1)).alias("_c"))
         p = able.withColumn("p", dist.t_p_greater(F.col("_t"), F.col("_d"))).crossJoin(F.broadcast(tried))
         hit = p.where(F.col("p") * F.col("_c") < alpha).select(F.lit(level).alias("literals"), "slice", "n", "mean_loss", "rest_loss", "effect")
-        hit = _written(hit)
+        hit = written(hit)
         found = hit if found is None else found.unionByName(hit)
         if level < literals:
             rest = m.select("slice").join(hit.select("slice"), "slice", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, prefix_sums, r6, ratio0, valid
+from ..functions.core import corr, prefix_sums, r6, ratio0, valid, written
 from . import drift
 from .prep import draw_of
 
@@ -28,9 +28,10 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, salt: str
 
 def _cut(df: DataFrame, order: str, at: Column) -> DataFrame:
     """The value of ``order`` at the position ``at`` (a column over n, the number of rows), by order statistic."""
-    h = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias("n"))
-    h = prefix_sums(h.withColumn("_v", F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")), [], "_v", ["n"])
+    v = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
+    h = written(df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias("n")).withColumn("_v", v))
     total = h.agg(F.sum("n").alias("_all")).select(at.alias("_k"))
+    h = prefix_sums(h, [], "_v", ["n"])
     return h.crossJoin(F.broadcast(total)).where((F.col("_k") < F.col("cum_n")) & (F.col("_k") >= F.col("cum_n") - F.col("n"))).select(F.col(order).alias("cut"))
 
 
@@ -45,7 +46,7 @@ def time_series_splits(df: DataFrame, order: str, key: str, splits: int = 3, gap
     """VS4: (split, role, key): of n rows along ``order`` (ties by key) each split tests on the next n / (splits + 1) and
     trains on all before, less ``gap`` rows. Positions are numbered in two levels; a row is in at most ``splits`` splits."""
     d = df.where(F.col(order).isNotNull()).select(key, F.struct(F.col(order).alias("at"), F.col(key).alias("of")).alias("_o"))
-    d = d.repartitionByRange("_o").withColumn("_p", F.spark_partition_id())
+    d = written(d.repartitionByRange("_o").withColumn("_p", F.spark_partition_id()))
     sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"), F.sum("_n").over(Window.partitionBy()).alias("_all"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.core import corr, prefix_sums, quantiles, r6, ratio, ratio0, suffix_min, valid
+from ..functions.core import corr, prefix_sums, quantiles, r6, ratio, ratio0, suffix_min, valid, written
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -210,8 +210,9 @@ def corrections(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     Equal p-values have one adjusted p, that of the last of their ranks, so ranks are running counts of a histogram. A
     null p-value counts as a test and comes last (adjusted p 1).
     """
-    m = tests.agg(F.count(F.lit(1)).alias("m"))
-    ranks = prefix_sums(tests.where("p_value is not null").groupBy("p_value").agg(F.count(F.lit(1)).alias("n")), [], "p_value", ["n"])
+    hist = written(tests.groupBy("p_value").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.col("p_value").isNotNull()))
+    m = hist.agg(F.sum("n").alias("m"))
+    ranks = prefix_sums(hist, ["known"], "p_value", ["n"]).where("known")
     ranks = ranks.crossJoin(F.broadcast(m)).withColumn("adj", F.least(F.lit(1.0), F.col("p_value") * F.col("m") / F.col("cum_n")))
     adjusted = suffix_min(ranks, "p_value", "adj").select("p_value", F.col("min_adj").alias("adj"))
     t = tests.join(adjusted, "p_value", "left").withColumn("adj", F.coalesce("adj", F.lit(1.0))).crossJoin(F.broadcast(m))
