@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import r6, valid
+from ..functions.core import r6, valid, written
 from .evaluation import binary_counts
+from .neighbours import nearest
 
 
 def group_rates(df: DataFrame, group="grp", y_true="y_true", y_pred="y_pred", by=()) -> DataFrame:
@@ -89,29 +90,20 @@ def recommendations(report_: DataFrame) -> DataFrame:
     return report_.where("not passes").withColumn("_miss", miss).select(F.row_number().over(order).alias("rank"), "criterion", "value", "status", advice.alias("advice"))
 
 
-def individual(df: DataFrame, features: list[str], y_pred: str, key: str, k: int = 5, cells: int = 8) -> DataFrame:
-    """FA7: 1 - mean absolute difference of the prediction to the k nearest other rows, passing at 0.8.
-
-    Features are scaled to [0, 1]; rows meet in cells of a random projection's quantiles, each also with the next cell, so
-    neighbours are those found there (a locality-sensitive form; cells have bounded sizes by construction of quantiles,
-    not by cutting rows).
-    """
-    ends = df.agg(*[f(c).cast("double").alias(f"_{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
-    d = valid(df, y_pred, *features).crossJoin(F.broadcast(ends))
+def individual(df: DataFrame, features: list[str], y_pred: str, key: str, k: int = 5) -> DataFrame:
+    """FA7: 1 - mean absolute difference of the prediction to the k nearest other rows (Euclidean, on features scaled to
+    [0, 1]; ties to the smaller key), passing at 0.8. Neighbours are exact, see :mod:`neighbours`. Rows whose prediction or a
+    feature is null or NaN take no part; a row has fewer neighbours where there are not k others. Keys are whole numbers."""
+    d = valid(df, y_pred, *features)
+    ends = d.agg(*[f(c).cast("double").alias(f"_{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
     scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")), F.lit(0.0)) for c in features]
-    weights = [((i * 7919 + 104729) % 1000) / 1000 + 0.5 for i in range(len(features))]
-    d = d.select(F.col(key).alias("k"), F.col(y_pred).cast("double").alias("y"), F.array(*scaled).alias("x"), sum(w * s for w, s in zip(weights, scaled)).alias("h"))
-    n = d.count()
-    parts = max(1, n // (cells * 64))
-    bounds = d.agg(F.percentile_approx("h", F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), 10000).alias("_b"))
-    d = d.crossJoin(F.broadcast(bounds)).withColumn("c", F.size(F.filter("_b", lambda b: b < F.col("h")))).drop("_b", "h")
-    a = d.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-    b = d.select(F.col("k").alias("k2"), F.col("y").alias("y2"), F.col("x").alias("x2"), "c")
-    dist = F.aggregate(F.zip_with("x", "x2", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    near = Window.partitionBy("k").orderBy("d", "k2")
-    m = a.join(b, "c").where("k <> k2").withColumn("d", dist).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
-    score = 1 - F.avg(F.abs(F.col("y") - F.col("y2")))
-    return m.agg(r6(score).alias("consistency"), (score >= 0.8).alias("passes"))
+    names = [f"x{i}" for i in range(len(features))]
+    d = written(d.crossJoin(F.broadcast(ends)).select(F.col(key).alias("k"), F.col(y_pred).cast("double").alias("y"), *[x.alias(n) for x, n in zip(scaled, names)]))
+    near = nearest(d, names, "k", k)
+    pairs = near.join(d.select("k", "y"), "k").join(d.select(F.col("k").alias("neighbour"), F.col("y").alias("y2")), "neighbour")
+    each = pairs.groupBy("k").agg(F.avg(F.abs(F.col("y") - F.col("y2"))).alias("gap"))
+    score = 1 - F.avg("gap")
+    return each.agg(r6(score).alias("consistency"), (score >= 0.8).alias("passes"))
 
 
 def fair_threshold(df: DataFrame, group="grp", y_true="y_true", y_prob="y_prob", criterion: str = "demographic_parity", steps: int = 50) -> DataFrame:

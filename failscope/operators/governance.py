@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Columns of a finding.
+from ..functions.core import shared_dir
+
+#: Columns of a finding, and of the manifest of a run.
 FINDING = "module string, feature string, metric string, value double, severity string"
+MANIFEST = "module string, status string, error string"
 # The levels of severity in order.
 LEVELS = ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 
@@ -81,19 +88,51 @@ def notes(summary: DataFrame) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(order))
 
 
-def run_all(spark: SparkSession, modules: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """GV6: findings of every module, the worst first; a module that fails is one HIGH finding that names its error."""
-    out = spark.createDataFrame([], FINDING)
-    for name, f in modules.items():
+def run_all(spark: SparkSession, modules: dict[str, Callable[[], DataFrame]], folder: str | None = None, at_once: int = 4) -> DataFrame:
+    """GV6: findings of every module, the worst first; a module that fails is one HIGH finding that names its error.
+
+    Each module runs and is written in a job of its own, ``at_once`` side by side, so what fails while it runs loses only its
+    own findings. Beside them a row of the manifest (:func:`manifest`) is written, after the findings. With a ``folder`` that
+    an earlier run has left, modules that the manifest calls done are read and not run again; failed and missing ones are.
+    Without one each call has a new folder among those that executors share.
+    """
+    folder = folder or f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
+    done = {r["module"] for r in manifest(spark, folder, list(modules)).where("status = 'done'").collect()}
+
+    def one(name: str) -> None:
+        path, error = _module_path(folder, name), None
         try:
-            part = f().select("module", "feature", "metric", "value", "severity")
-            part.schema  # noqa: B018  analysed here, so that a bad plan is this module's finding
+            modules[name]().select("module", "feature", "metric", "value", "severity").write.mode("overwrite").parquet(path)
         except Exception as e:  # a failing part must not take the report with it
-            part = spark.createDataFrame([(name, "all", f"error: {type(e).__name__}", None, "HIGH")], FINDING)
-        out = out.unionByName(part)
+            error = f"error: {type(e).__name__}"
+            spark.createDataFrame([(name, "all", error, None, "HIGH")], FINDING).coalesce(1).write.mode("overwrite").parquet(path)
+        row = (name, "failed" if error else "done", error)
+        spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").parquet(_module_path(folder, name, "manifest"))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(one, [m for m in modules if m not in done]))
+    out = spark.createDataFrame([], FINDING)
+    for name in modules:
+        out = out.unionByName(spark.read.schema(FINDING).parquet(_module_path(folder, name)))
     return out.orderBy(F.desc(level(F.col("severity"))), "module", "feature", "metric")
 
 
+def _module_path(folder: str, name: str, part: str = "findings") -> str:
+    return f"{folder.rstrip('/')}/{part}/{quote(name, safe='')}"
+
+
+def manifest(spark: SparkSession, folder: str, modules: list[str]) -> DataFrame:
+    """(module, status, error) of the modules that a run in this folder has ended, well (done) or not (failed)."""
+    out = spark.createDataFrame([], MANIFEST)
+    for name in modules:
+        try:
+            out = out.unionByName(spark.createDataFrame(spark.read.parquet(_module_path(folder, name, "manifest")).select("module", "status", "error").collect(), MANIFEST))  # a row
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # not there, or broken off before its row
+                raise
+    return out
+
+
 def top_actions(found: DataFrame, n: int = 10) -> DataFrame:
     """GV6: the ``n`` worst findings from MEDIUM on, as ranked actions."""
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(level(F.col("severity"))), F.desc("value"), "module", "feature", "metric"))

@@ -95,42 +95,6 @@ def goodness_of_fit(df: DataFrame, category: str, expected: dict) -> DataFrame:
     return s.withColumn("p", dist.chi2_p(F.col("x"), F.col("df").cast("double"))).withColumn("chi2", F.round("x", 4)).drop("x")
 
 
-def _poisson(replicate, key: str, salt: str):
-    """A Poisson(1) weight of a row in a replicate, from a hash draw."""
-    u = draw(F.concat(F.col(key).cast("string"), F.lit("/"), replicate.cast("string")), salt)
-    edges, total, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        edges.append(total)
-        term /= k + 1
-    return sum((u >= e).cast("int") for e in edges)
-
-
-def draw(key, salt: str):
-    """A draw in [0, 1) from key and salt: 13 hex digits of an md5."""
-    return F.conv(F.substring(F.md5(F.concat(key, F.lit(":" + salt))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-
-
-def bootstrap(df: DataFrame, value: str, key: str, group: str | None = None, a=None, b=None, replicates: int = 200, level: float = 0.95) -> DataFrame:
-    """HT9: percentile interval of a mean by a Poisson bootstrap; HT10 with group: of the difference of the means of a and
-    b, significant where 0 is outside. Each row has a weight in each replicate by a hash of its key, so a run can be
-    repeated; a replicate is one weighted aggregate, summed map-side."""
-    rows = valid(df, value)
-    side = F.lit(True) if group is None else F.col(group) == a
-    if group is not None:
-        rows = rows.where(F.col(group).isin(a, b))
-    long = rows.select(F.col(value).cast("double").alias("v"), side.alias("s"), F.col(key), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    w = _poisson(F.col("r"), key, "boot")
-    mean = lambda s: F.try_divide(F.sum(F.when(s, F.col("w") * F.col("v"))), F.sum(F.when(s, F.col("w"))))
-    each = long.withColumn("w", w).groupBy("r").agg((mean(F.col("s")) if group is None else mean(F.col("s")) - mean(~F.col("s"))).alias("m"))
-    plain = F.avg(F.when(side, F.col(value))) - (F.lit(0.0) if group is None else F.avg(F.when(~side, F.col(value))))
-    tail = (1 - level) / 2
-    q = quantiles(each.groupBy("m").agg(F.count(F.lit(1)).alias("n")), [], "m", [tail, 1 - tail])
-    out = rows.agg(plain.alias("estimate")).crossJoin(F.broadcast(q))
-    low, high = F.col("q")[0], F.col("q")[1]
-    return out.select(r6("estimate").alias("estimate"), r6(low).alias("low"), r6(high).alias("high"), ((low > 0) | (high < 0)).alias("significant"))
-
-
 def mean_interval(df: DataFrame, c: str, by: str, level: float = 0.95) -> DataFrame:
     """HT16: interval of a mean by group, with the t quantile."""
     g = valid(df, c).groupBy(by).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))

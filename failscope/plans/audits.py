@@ -21,6 +21,7 @@ from ..operators import missing as md
 from ..operators import models as bm
 from ..operators import noise as ln
 from ..operators import prep as pr
+from ..operators import resampling as rs
 from ..operators import slices as sl
 from ..operators import splits as vs
 from ..operators import stats as st
@@ -132,8 +133,8 @@ _put("ht5_paired", lambda s, d: st.paired(load(s, d, "regress"), load(s, d, "reg
     select n, {r('m')} mean_diff, {r('s')} sd_diff, n-1 df, {r('m/(s/sqrt(n))')} t from (select count(*) n, avg(yhat-y) m, stddev_samp(yhat-y) s from ({text('regress')}))""")
 _add("ht6_goodness_of_fit", "scored2", lambda d: st.goodness_of_fit(d, "segment", {"BUILDING": 1, "MACHINERY": 1, "AUTOMOBILE": 1, "FURNITURE": 1, "HOUSEHOLD": 2}).drop("p"), """
     with c as (select segment, count(*) n, case when segment='HOUSEHOLD' then 2e0 else 1e0 end w from {v} group by 1), e as (select n, w/6*(select sum(n) from c) e from c) select 4 df, min(e)<5 low_expected, round(sum((n-e)*(n-e)/e),4) chi2 from e""")
-_add("ht9_bootstrap", "treat", lambda d: st.bootstrap(d, "y", "row_id", replicates=60))
-_add("ht10_bootstrap_difference", "treat", lambda d: st.bootstrap(d, "y", "row_id", "t", 1, 0, replicates=60))
+_add("ht9_bootstrap", "treat", lambda d: rs.bootstrap(d, "y", "row_id"))
+_add("ht10_bootstrap_difference", "treat", lambda d: rs.bootstrap(d, "y", "row_id", "t", 1, 0))
 _add("ht16_mean_interval", "treat", lambda d: st.mean_interval(d, "x2", "stratum"), f"select stratum, n, {r('m')} mean, {r(f'm-{TQ}*e')} low, {r(f'm+{TQ}*e')} high from (select stratum, count(x2) n, count(x2)-1 df, avg(x2) m, stddev_samp(x2)/sqrt(count(x2)) e from {{v}} group by 1)")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +32,16 @@ def drift_status(counts: DataFrame, reference: DataFrame, eps: float = 1e-6) ->
     return g.select(F.col("w.start").alias("start"), "feature", "n", r6("psi").alias("psi"), F.when(F.col("psi") >= 0.25, "DRIFT").when(F.col("psi") >= 0.10, "WARN").otherwise("STABLE").alias("status"))
 
 
+def put_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Rows of a micro-batch at ``path`` under a partition of its own, which a repeated batch overwrites: every row is there
+    once, however often a batch is tried."""
+    batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
 def watch_drift(rows: DataFrame, bounds: DataFrame, reference: DataFrame, path: str, checkpoint: str, window: str = "7 days", late: str = "1 day"):
-    """ST1 as a job: closed windows are judged in foreachBatch and appended to ``path`` as Parquet, once each."""
+    """ST1 as a job: closed windows are judged in foreachBatch and put to ``path`` as Parquet, once each."""
     def judge(batch: DataFrame, batch_id: int) -> None:
-        drift_status(batch, reference).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        put_batch(drift_status(batch, reference), batch_id, path)
 
     return drift_counts(rows, bounds, window, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(judge)
 
@@ -55,6 +62,34 @@ def performance(rows: DataFrame, window: str = "14 days", slide: str = "7 days",
     return t.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "accuracy", "precision", "recall", "f1", "mcc", "kappa", "ece", F.round(sum(F.col(f"_g{i}") for i in range(bins)), 4).alias("gap"), status.alias("status"))
 
 
+def against_earlier(windows: DataFrame, before: int = 3, metric: str = "accuracy", tol: float = 0.01) -> DataFrame:
+    """ST2's closed windows with ``baseline``, the mean of the metric over up to ``before`` earlier windows weighted by their
+    rows, and EV22's status of the change; the first window has no baseline and is OK. A row a window."""
+    order = Window.orderBy("start").rowsBetween(-before, -1)
+    base = F.try_divide(F.sum(F.col(metric) * F.col("n")).over(order), F.sum("n").over(order))
+    change = F.col(metric) - F.col("baseline")
+    status = F.when(change < -2 * tol, "REGRESSION").when(change < -tol, "WARNING").otherwise("OK")
+    return windows.drop("status").withColumn("baseline", r6(base)).withColumn("status", status)
+
+
+def watch_performance(rows: DataFrame, path: str, checkpoint: str, window: str = "14 days", slide: str = "14 days", late: str = "1 day", before: int = 3, tol: float = 0.01):
+    """ST2 as a job: closed windows are put to ``path`` once each, with the baseline of the windows that earlier batches have
+    put there and those of the batch before them."""
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, [c for c in batch.columns if c != "status"]
+        known = batch.select(*columns, F.lit(True).alias("_new"))
+        try:
+            earlier = spark.read.parquet(path).where(F.col("batch") < batch_id)
+            last = earlier.orderBy(F.desc("start")).limit(before)  # a few windows
+            known = known.unionByName(last.select(*columns, F.lit(False).alias("_new")))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing is there yet
+                raise
+        put_batch(against_earlier(known, before, tol=tol).where("_new").drop("_new"), batch_id, path)
+
+    return performance(rows, window, slide, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(judge)
+
+
 def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """ST3: each user's sessions (events closer than ``gap``) with their number of events, from (ts, user)."""
     d = events.where(F.col(user).isNotNull() & F.col("ts").isNotNull())

@@ -180,6 +180,45 @@ def test_gates_and_failing_modules(spark):
     assert gv.risk(found.limit(0)).first().risk == "LOW"
 
 
+def test_a_module_that_fails_while_it_runs_loses_its_own_findings_alone(spark, tmp_path):
+    rows = spark.createDataFrame([("m", "f", "x", "a", "HIGH")], "module string, feature string, metric string, value string, severity string")
+    bad = rows.withColumn("value", F.raise_error(F.lit("broken")).cast("double"))  # a fine plan that fails at work
+    good = spark.createDataFrame([("m", "f", "x", 1.0, "LOW"), ("m", "g", "x", 2.0, "CRITICAL")], gv.FINDING)
+    runs, folder = [], f"file://{tmp_path}"
+    def module(name, result):
+        return lambda: (runs.append(name), result)[1]
+    out = gv.run_all(spark, {"good": module("good", good), "bad/one": module("bad/one", bad)}, folder).collect()
+    assert [(r.module, r.severity) for r in out] == [("m", "CRITICAL"), ("bad/one", "HIGH"), ("m", "LOW")] and sorted(runs) == ["bad/one", "good"]
+    assert {(r.module, r.status) for r in gv.manifest(spark, folder, ["good", "bad/one", "new"]).collect()} == {("good", "done"), ("bad/one", "failed")}
+    out = gv.run_all(spark, {"good": module("good", good), "bad/one": module("bad/one", good), "new": module("new", good)}, folder).collect()
+    assert len(out) == 6 and sorted(runs) == ["bad/one", "bad/one", "good", "new"]  # what is done is read, not run
+    shutil.rmtree(tmp_path / "manifest" / "good")  # broken off before its row
+    gv.run_all(spark, {"good": module("good", good)}, folder)
+    assert runs.count("good") == 2
+
+
+def test_a_repeated_batch_leaves_its_rows_once(spark, tmp_path):
+    day = lambda d, n, acc: (f"2024-01-{d:02d}", n, acc)
+    t = spark.createDataFrame([day(1, 10, 0.9), day(8, 30, 0.92), day(15, 10, 0.7), day(22, 10, 0.85)], "start string, n int, accuracy double")
+    for _ in range(3):
+        mon.put_batch(t, 4, str(tmp_path))
+    mon.put_batch(t, 5, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path)).groupBy("batch").count().orderBy("batch").collect() == [(4, 4), (5, 4)]
+    got = mon.against_earlier(t, 2).orderBy("start").collect()
+    assert [(r.baseline, r.status) for r in got] == [(None, "OK"), (0.9, "OK"), (0.915, "REGRESSION"), (0.865, "WARNING")]
+
+
+def test_a_planted_regression_is_flagged_against_the_trailing_baseline(spark, tmp_path):
+    rows = [(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d} 0{h}:00:00", h % 2, 0.9 if (h % 2) == (d < 84 or h > 5) else 0.1) for d in range(112) for h in range(9)]
+    d = spark.createDataFrame([*rows, ("2024-09-01 00:00:00", 1, 0.9)], "ts string, y_true int, y_prob double").withColumn("ts", F.col("ts").cast("timestamp"))
+    d.coalesce(1).write.parquet(f"{tmp_path}/in")
+    job = mon.watch_performance(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", "28 days", "28 days").trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("start").collect()
+    assert len(got) >= 4 and got[0].status == "OK" and "REGRESSION" in [r.status for r in got]
+    assert len({r.start for r in got}) == len(got)
+
+
 def test_individual_fairness_and_thresholds(spark):
     rows = [(i, float(i % 50), float(i % 2)) for i in range(400)]
     d = spark.createDataFrame(rows, "k int, x double, p double")
