@@ -16,6 +16,7 @@ from ..operators import estimates as es
 from ..operators import evaluation as ev
 from ..operators import fairness as fa
 from ..operators import governance as gv
+from ..operators import graphs as gr
 from ..operators import leakage as lk
 from ..operators import missing as md
 from ..operators import models as bm
@@ -217,7 +218,10 @@ _add("fa10_audit", "scored2", lambda d: fa.audit(d, ["grp", "segment"]), f"""
     select t.axis, dp_gap, eo_gap, di_ratio, case when dp_gap<=0.05 then 'LOW' when dp_gap<=0.1 then 'MEDIUM' when dp_gap<=0.2 then 'HIGH' else 'CRITICAL' end dp_severity, case when eo_gap<=0.05 then 'LOW' when eo_gap<=0.1 then 'MEDIUM' when eo_gap<=0.2 then 'HIGH' else 'CRITICAL' end eo_severity,
     case when di_ratio>=0.95 then 'LOW' when di_ratio>=0.9 then 'MEDIUM' when di_ratio>=0.8 then 'HIGH' else 'CRITICAL' end di_severity, worst_group, small_groups, (select axis from t order by greatest(dp_gap,eo_gap) desc, axis desc limit 1) worst_axis from t join w on w.axis=t.axis""")
 _add("fa12_recommendations", "scored2", lambda d: fa.recommendations(fa.report(d.withColumn("y_pred", F.when(F.col("grp") == "1-URGENT", 1).otherwise(F.col("y_pred"))))))
-_add("fa7_individual", "scored", lambda d: fa.individual(d.withColumn("day", F.unix_timestamp("ts")), ["custkey", "day"], "y_prob", "row_id"))
+_add("fa7_individual", "scored", lambda d: fa.individual(d.withColumn("day", F.unix_timestamp("ts")), ["custkey", "day"], "y_prob", "row_id"), """
+    with s as (select row_id k, y_prob y, cast(custkey as double) a, cast(epoch(ts) as double) b from {v}), e as (select min(a) la, max(a) ha, min(b) lb, max(b) hb from s), x as (select k, y, (a-la)/(ha-la) a, (b-lb)/(hb-lb) b from s, e),
+    m as (select p.k, p.y, min_by(q.y, {'d': (p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b), 'k': q.k}, 5) near from x p join x q on p.k <> q.k group by 1, 2)
+    select round(1-avg(g),6) consistency, 1-avg(g) >= 0.8 passes from (select list_avg(list_transform(near, lambda v: abs(v-y))) g from m)""")
 _add("fa14_fair_threshold", "gappy", lambda d: fa.fair_threshold(d), f"""
     with t as (select unnest(range(0,50)) i), c as (select i, grp, count(*) n, count(*) filter (k>=i) sel, sum(y_true) pos, coalesce(sum(y_true) filter (k>=i),0) tp from (select grp, y_true, least(greatest(floor((y_prob-0.01e0)/(0.98e0/49)+1e-9),-1),49) k from {{v}}) cross join t group by 1,2),
     g as (select i, {r(f"max(sel/{D('n')})-min(sel/{D('n')})")} gap, {r(f"2e0*sum(tp)/{D('sum(sel)+sum(pos)')}")} f1 from c group by 1) select round(0.01e0+i*(0.98e0/49),6) threshold, gap, f1 from g order by gap, f1 desc, i limit 1""")
@@ -384,10 +388,10 @@ _add("cs16_simpson", "treat", cs.simpson, f"""
     max(sign(e)) filter (not whole) he, count(e) filter (not whole) k from g) select whole, stratum, n, {r('e')} effect, {r('r')} r, lr=hr and lr<>0 and lr=-wr paradox_by_correlation, le=he and le<>0 and k>1 and le<>we paradox_by_effect from g, v""")
 _add("cs17_refuted", "study", lambda d: es.refuted(d, "t", "y", ["x1", "x2"]))
 _add("cs18_audit", "treat", lambda d: es.audit(d.withColumn("ps", F.when(F.col("x1") > 8000, 0.99).otherwise(F.col("ps")))), "select 'overlap' finding, 'MEDIUM' severity from {v} group by () having avg(case when x1>8000 then 1e0 else 0e0 end)>=0.1")
-_put("gr1_reach", lambda s, d: cs.reach(load(s, d, "edges"), load(s, d, "edges").select(F.col("src").alias("root")).distinct()), f"with recursive e as (select * from ({text('edges')})), d(root,node) as (select src,dst from e union select root,dst from d join e on node=src) select root, node from d")
+_put("gr1_reach", lambda s, d: gr.reach(load(s, d, "edges"), load(s, d, "edges").select(F.col("src").alias("root")).distinct()), f"with recursive e as (select * from ({text('edges')})), d(root,node) as (select src,dst from e union select root,dst from d join e on node=src) select root, node from d")
 _loop = lambda s, d: load(s, d, "edges").unionByName(table(s, d, "supplier").select(F.concat(F.lit("C"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("dst")))
 LOOP = f"select src, dst from ({text('edges')}) union all select concat('C', cast(s_suppkey as string)), concat('N', cast(s_nationkey as string)) from supplier"
-_put("gr2_cycles", lambda s, d: cs.cycles(_loop(s, d)), f"with recursive e as (select distinct * from ({LOOP})), d(root,node) as (select src,dst from e union select root,dst from d join e on node=src) select distinct node from d where root=node")
+_put("gr2_cycles", lambda s, d: gr.cycles(_loop(s, d)), f"with recursive e as (select distinct * from ({LOOP})), d(root,node) as (select src,dst from e union select root,dst from d join e on node=src) select distinct node from d where root=node")
 _put("gr6_roles", lambda s, d: cs.roles(load(s, d, "trade"), load(s, d, "node_pairs")), f"""
     with e as (select distinct * from ({text('trade')})), p as (select distinct * from ({text('node_pairs')})), k as (select x, y, src node, 'px' k from p join e on dst=x union all select x, y, dst, 'cx' from p join e on src=x union all select x, y, src, 'py' from p join e on dst=y union all select x, y, dst, 'cy' from p join e on src=y),
     g as (select x, y, node, bool_or(k='px') px, bool_or(k='cx') cx, bool_or(k='py') py, bool_or(k='cy') cy from k where node<>x and node<>y group by 1,2,3), o as (select x, y, node, case when px and py then 'confounder' when cx and cy then 'collider' when cx and py then 'mediator' when px then 'parent' end as role from g)

@@ -10,6 +10,7 @@ from ..operators import drift as dr
 from ..operators import evaluation as ev
 from ..operators import fairness as fa
 from ..operators import governance as gv
+from ..operators import graphs as gr
 from ..operators import prep as pr
 from ..operators import stats as st
 from ..sources.views import KNOWN, draw, load, text
@@ -125,7 +126,7 @@ _add("ht16_wilson", "scored2", lambda d: st.proportion_interval(d, "y_pred", "se
 
 _add("cs10_diff_in_diff", "treat", cs.diff_in_diff, "select round(a,6) treated_post, round(b,6) treated_pre, round(c,6) control_post, round(d,6) control_pre, round(a-b-c+d,6) did from (select avg(y) filter (t=1 and post=1) a, avg(y) filter (t=1 and post=0) b, avg(y) filter (t=0 and post=1) c, avg(y) filter (t=0 and post=0) d from {v})")
 _add("cs14_two_stage", "treat", lambda d: cs.two_stage(d, "x1", "t", "y"), "select round(covar_samp(x1,y)/covar_samp(x1,t),6) effect, round(r*r/(1-r*r)*(n-2),2) first_stage_f from (select covar_samp(x1,y) q, corr(x1,t) r, count(*) n from {v}) s, {v} group by r, n")
-_QUERIES["gr3_relatives"] = lambda spark, sf: cs.relatives(load(spark, sf, "trade"), load(spark, sf, "node_pairs"))
+_QUERIES["gr3_relatives"] = lambda spark, sf: gr.relatives(load(spark, sf, "trade"), load(spark, sf, "node_pairs"))
 _SQL["gr3_relatives"] = f"""with recursive e as (select distinct * from ({text('trade')})), p as (select * from ({text('node_pairs')})), s as (select x root from p union select y from p),
     d(root,node) as (select src,dst from e where src in (select root from s) union select root,dst from d join e on node=src), u(root,node) as (select dst,src from e where dst in (select root from s) union select root,src from u join e on node=dst)
     select x, y, 'confounder' kind, a.node from p join u a on a.root=x join u b on b.root=y and b.node=a.node union all select x, y, 'collider', a.node from p join d a on a.root=x join d b on b.root=y and b.node=a.node

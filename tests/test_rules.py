@@ -21,6 +21,7 @@ from failscope.operators import estimates as es
 from failscope.operators import evaluation as ev
 from failscope.operators import fairness as fa
 from failscope.operators import governance as gv
+from failscope.operators import graphs as gr
 from failscope.operators import missing as md
 from failscope.operators import models as bm
 from failscope.operators import prep as pr
@@ -260,7 +261,7 @@ def test_files(spark):
 
 def test_graphs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "d"), ("d", None)], "src string, dst string")
-    assert sorted(r.node for r in cs.cycles(e).collect()) == ["a", "b", "c"]
+    assert sorted(r.node for r in gr.cycles(e).collect()) == ["a", "b", "c"]
     pairs = spark.createDataFrame([("b", "d")], "x string, y string")
     assert [(r.node, r.role) for r in cs.roles(e, pairs).collect()] in ([("c", "mediator"), ("a", "parent")], [("a", "parent"), ("c", "mediator")])
 

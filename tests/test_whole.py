@@ -2,7 +2,7 @@
 
 import random
 
-from failscope.operators import causal as cs
+from failscope.operators import graphs as gr
 from failscope.operators import stats as st
 from failscope.plans import registry
 from failscope.sources.views import load, table
@@ -28,7 +28,7 @@ def test_corrections_take_every_order_and_no_window_over_all(spark):
 def test_relatives_of_many_pairs(spark):
     edges = spark.createDataFrame([("Z", "X"), ("Z", "Y"), ("X", "M"), ("M", "Y"), ("X", "W"), ("Y", "W"), ("A", "Z"), ("A", "Z")], "src string, dst string")
     pairs = spark.createDataFrame([("X", "Y"), ("Z", "W"), ("M", "W"), ("X", "gone")], "x string, y string")
-    got = sorted((r.x, r.y, r.kind, r.node) for r in cs.relatives(edges, pairs).collect())
+    got = sorted((r.x, r.y, r.kind, r.node) for r in gr.relatives(edges, pairs).collect())
     want = [("X", "Y", "collider", "W"), ("X", "Y", "confounder", "A"), ("X", "Y", "confounder", "Z"), ("X", "Y", "mediator", "M")]
     want += [("Z", "W", "confounder", "A"), *[("Z", "W", "mediator", n) for n in "MXY"], *[("M", "W", "confounder", n) for n in "AXZ"], ("M", "W", "mediator", "Y")]
     assert got == sorted(want)
