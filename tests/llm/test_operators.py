@@ -253,15 +253,9 @@ def test_each_language_has_a_threshold_of_its_own():
 def test_the_sample_is_bounded_in_words_and_whole_documents(spark):
     docs = spark.createDataFrame([(i, "w " * 50, "a", None) for i in range(40)], DOCS)
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
-    seen = []
-    toxicity_calibrated = toxicity.calibrated
-    toxicity.calibrated = lambda ids, *rest: (seen.append([len(x) for x in ids]), toxicity_calibrated(ids, *rest))[1]
-    try:
-        toxicity.fit(docs, labels, rows=20, most=260)
-        toxicity.fit(docs, labels, rows=7)
-    finally:
-        toxicity.calibrated = toxicity_calibrated
-    assert seen == [[50] * 5, [50] * 7]
+    few, all_ = toxicity.fit(docs, labels, rows=20, most=260), toxicity.fit(docs, labels, rows=5)
+    assert few.thresholds == all_.thresholds and (few.emb == all_.emb).all()  # five documents of fifty words fit
+    assert (toxicity.fit(docs.repartition(7), labels.repartition(3)).emb == toxicity.fit(docs, labels).emb).all()
 
 
 def plain_pooled(m, pairs):
