@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import r6, ratio0, valid
+from ..functions.core import r6, ratio0, valid, written
+from . import folds
 
 
 def noise_thresholds(df: DataFrame, label: str, probs: list[str]) -> DataFrame:
@@ -91,6 +92,24 @@ def residual_noise(df: DataFrame, y: str = "y", yhat: str = "yhat", key: str = "
     return rows.crossJoin(F.broadcast(m)).select(key, r6("e").alias("residual"), F.coalesce(F.col("e") > F.col("_m") + 3 * F.col("_s"), F.lit(False)).alias("is_issue"))
 
 
+def found_out_of_fold(df: DataFrame, features: list[str], label: str, classes: int, key: str = "row_id", k: int = 5) -> DataFrame:
+    """LN12 from features alone: the rule over probabilities of models that have not seen the row (linear discriminants of
+    the other folds), so nothing has to be given but labels and features."""
+    scored = folds.out_of_fold_classes(df, features, label, classes, key, k).withColumnRenamed(key, "row_id")
+    return out_of_fold(scored, "label", [f"p{c}" for c in range(classes)])
+
+
+def confident_out_of_fold(df: DataFrame, features: list[str], label: str, classes: int, key: str = "row_id", k: int = 5) -> DataFrame:
+    """Confident learning (LN1–LN3, LN5, LN8) over the same out-of-fold probabilities."""
+    scored = written(folds.out_of_fold_classes(df, features, label, classes, key, k).withColumnRenamed(key, "row_id"))
+    return confident(scored, "label", [f"p{c}" for c in range(classes)])
+
+
+def residuals_out_of_fold(df: DataFrame, features: list[str], y: str, key: str = "row_id", k: int = 5) -> DataFrame:
+    """LN13 from features alone: residuals of linear models of the other folds."""
+    return residual_noise(folds.out_of_fold(df, features, y, key, k), "y", "yhat", key)
+
+
 def noise_matrix(df: DataFrame, clean: str, noisy: str, classes: int) -> DataFrame:
     """LN14: share of each noisy label in every clean class."""
     share = lambda k: r6(F.avg((F.col(noisy) == k).cast("double"))).alias(f"to{k}")

@@ -15,6 +15,7 @@ from ..operators import drift as dr
 from ..operators import estimates as es
 from ..operators import evaluation as ev
 from ..operators import fairness as fa
+from ..operators import folds as fo
 from ..operators import governance as gv
 from ..operators import graphs as gr
 from ..operators import leakage as lk
@@ -179,8 +180,14 @@ _add("vs3_stratified_folds", "scored", lambda d: vs.stratified_folds(d, "row_id"
 _add("vs4_time_series", "scored", lambda d: vs.time_series_splits(d, "ts", "row_id", 3, 5).groupBy("split", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids")), """
     with o as (select row_id, row_number() over (order by ts, row_id)-1 i, count(*) over ()//4 s from {v}), e as (select cast(k as integer) split, row_id, case when i < s*k-5 then 'train' when i >= s*k and i < s*(k+1) then 'test' end as role from o cross join (select unnest(range(1,4)) k))
     select split, role, count(*) n, cast(sum(row_id) as bigint) ids from e where role is not null group by 1,2""")
-_add("vs6_cross_validate", "study", lambda d: vs.cross_validate(d, lambda t: _pipeline(t, ["x1", "x2", "y"], "t"), (F.col("t") == F.col("prediction")).cast("double"), k=3))
-_add("vs7_nested", "study", lambda d: vs.nested(d, lambda t, g: _pipeline(t, ["x1", "x2", "y"], "t", **g), [{"reg": 0.0}, {"reg": 0.5}], (F.col("t") == F.col("prediction")).cast("double"), outer=2, inner=2))
+_add("vs6_cross_validate", "study", lambda d: vs.cross_validate(d, lambda t: _pipeline(t, ["x1", "x2", "y"], "t"), (F.col("t") == F.col("prediction")).cast("double"), k=5))
+_add("vs7_nested", "study", lambda d: vs.nested(d, lambda t, g: _pipeline(t, ["x1", "x2", "y"], "t", **g), [{"reg": 0.0}, {"reg": 0.5}], (F.col("t") == F.col("prediction")).cast("double"), outer=5, inner=3))
+_add("vs6_ridge_folds", "study", lambda d: fo.ridge_folds(d, ["x1", "x2"], "y", k=3, reg=0.1), f"""
+    with f as (select cast(floor({draw('row_id', 'v')}*3) as integer) fold, x1, x2, y from {{v}}), t as (select i, avg(x1) m1, avg(x2) m2, avg(y) my, sqrt(covar_pop(x1,x1)) s1, sqrt(covar_pop(x2,x2)) s2, covar_pop(x1,x2) c12, covar_pop(x1,y) c1, covar_pop(x2,y) c2
+        from f join (select unnest(range(0,3)) i) on fold<>i group by i), u as (select *, c12/s1/s2 q, c1/s1 a, c2/s2 b from t), w as (select i, (1.1e0*a-q*b)/(1.1e0*1.1e0-q*q)/s1 w1, (1.1e0*b-q*a)/(1.1e0*1.1e0-q*q)/s2 w2, m1, m2, my from u),
+    e as (select fold, count(*) n, avg((y-my-w1*(x1-m1)-w2*(x2-m2))*(y-my-w1*(x1-m1)-w2*(x2-m2))) e, var_pop(y) s from f join w on i=fold group by 1), g as (select fold, n, sqrt(e) rmse, 1-e/s r2 from e), h as (select avg(rmse) mean, stddev_samp(rmse) std from g)
+    select fold, n, {r('rmse')} rmse, {r('r2')} r2, {r('mean')} mean, {r('std')} std, {r('mean-1.96e0*std/sqrt(3e0)')} low, {r('mean+1.96e0*std/sqrt(3e0)')} high from g, h""")
+_add("vs7_ridge_nested", "study", lambda d: fo.ridge_nested(d, ["x1", "x2", "ps"], "y", [0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]))
 
 
 def _pipeline(train, features, label, reg=0.0):
@@ -293,11 +300,14 @@ _add("ln7_asymmetry", "noisy", lambda d: ln.asymmetry(ln.transitions(ln.joint(_f
 _add("ln9_cleaned", "noisy", lambda d: ln.cleaned(d, _flags(d)).select("row_id", "y_noisy"), ISSUE + " select row_id, label y_noisy from f where not coalesce(is_issue,false)")
 _add("ln10_agreement", "noisy", lambda d: ln.agreement(_flags(d).where("is_issue"), d.where("y_noisy <> y_true")), ISSUE + f""", xa as (select row_id from f where is_issue), xb as (select row_id from {{v}} where y_noisy<>y_true), n as (select (select count(*) from xa) x, (select count(*) from xb) y, (select count(*) from (select * from xa intersect select * from xb)) z)
     select x n_first, y n_second, z n_both, {r(f"z/{D('x+y-z')}")} jaccard from n""")
-_add("ln11_audit", "noisy", lambda d: ln.audit(_flags(d), 3, 5).withColumn("first_ids", F.array_join(F.transform("first_ids", lambda x: x.cast("string")), ",")), TRANS + f""", f as (select *, case when m is null then own < (case label when 0 then t0 when 1 then t1 else t2 end) else confident<>label end is_issue from k),
+_add("ln11_audit", "noisy", lambda d: ln.audit(_flags(d), 3, 100).withColumn("first_ids", F.array_join(F.transform("first_ids", lambda x: x.cast("string")), ",")), TRANS + f""", f as (select *, case when m is null then own < (case label when 0 then t0 when 1 then t1 else t2 end) else confident<>label end is_issue from k),
     g as (select count(*) n, count(*) filter (is_issue) issues, round(avg(round(own,6)),6) mean_quality from f), h as (select *, {r(f"issues/{D('n')}")} fraction from g) select h.*, s.spread, s."asymmetric", case when fraction>0.3 then 'CRITICAL' when fraction>0.15 then 'HIGH' when fraction>0.05 then 'MEDIUM' else 'LOW' end severity,
-    (select string_agg(cast(row_id as varchar), ',' order by row_id) from (select row_id from f where is_issue order by row_id limit 5)) first_ids from h, ({ASYM}) s""")
+    (select string_agg(cast(row_id as varchar), ',' order by row_id) from (select row_id from f where is_issue order by row_id limit 100)) first_ids from h, ({ASYM}) s""")
 _add("ln12_out_of_fold", "noisy", lambda d: ln.out_of_fold(d, "y_noisy", P3), f"select row_id, y_noisy as label, {ARGMAX} likeliest, {r('greatest(p0,p1,p2)')} p, {ARGMAX}<>y_noisy or greatest(p0,p1,p2)<0.5 is_issue from {{v}}")
 _add("ln13_residual_noise", "regress", lambda d: ln.residual_noise(d), f"with e as (select row_id, abs(y-yhat) e from {{v}}) select row_id, {r('e')} residual, e>(select avg(e)+3*stddev_samp(e) from e) is_issue from e")
+_add("ln12_found_out_of_fold", "noisy", lambda d: ln.found_out_of_fold(d, ["p0", "p1"], "y_noisy", 3))
+_add("ln12_confident_out_of_fold", "noisy", lambda d: ln.confident_out_of_fold(d, ["p0", "p1"], "y_noisy", 3))
+_add("ln13_residuals_out_of_fold", "study", lambda d: ln.residuals_out_of_fold(d, ["x1", "x2", "t"], "y"))
 _add("ln14_noise_matrix", "noisy", lambda d: ln.noise_matrix(d, "y_true", "y_noisy", 3), "select y_true, round(avg(case when y_noisy=0 then 1e0 else 0e0 end),6) to0, round(avg(case when y_noisy=1 then 1e0 else 0e0 end),6) to1, round(avg(case when y_noisy=2 then 1e0 else 0e0 end),6) to2 from {v} group by 1")
 _add("ln15_target_type", "noisy", lambda d: ln.target_type(d, "y_noisy").unionByName(ln.target_type(d, "p0")), "select count(distinct y_noisy) as values, 'classification' kind from {v} union all select count(distinct p0), 'regression' from {v}")
 
