@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,32 +123,6 @@ def pattern_clusters(df: DataFrame, cols: list[str], k: int = 3, seed: int = 7)
     return model.transform(x).select("pattern", "n", "cluster")
 
 
-def impute(df: DataFrame, cols: list[str], key: str = "row_id", cycles: int = 3, noise: float = 0.1, salt: str = "0") -> DataFrame:
-    """MD12: chained regressions. Columns start at their means; in every cycle each incomplete column is regressed on the
-    others over the rows that have it, and the missing ones get the prediction plus a hash draw's normal deviate times
-    ``noise`` times the regression's error. The table is written once a cycle."""
-    means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.count_if(_gone(c)).alias(f"_n_{c}") for c in cols]).first()
-    d = df.select(key, *[_gone(c).alias(f"_g_{c}") for c in cols], *[F.coalesce(F.col(c).cast("double"), F.lit(means[f"_m_{c}"]), F.lit(0.0)).alias(c) for c in cols])
-    for n in range(cycles):
-        for c in [c for c in cols if means[f"_n_{c}"] and means[f"_m_{c}"] is not None]:
-            x = VectorAssembler(inputCols=[o for o in cols if o != c], outputCol="_x").transform(d)
-            model = LinearRegression(featuresCol="_x", labelCol=c, predictionCol="_p", solver="normal", regParam=1e-6).fit(x.where(~F.col(f"_g_{c}")))
-            u, v = draw_of(key, f"{salt}{n}{c}a"), draw_of(key, f"{salt}{n}{c}b")
-            z = F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-9)))) * F.cos(2 * np.pi * v)
-            d = model.transform(x).withColumn(c, F.when(F.col(f"_g_{c}"), F.col("_p") + z * (noise * model.summary.rootMeanSquaredError)).otherwise(F.col(c))).drop("_x", "_p")
-        d = written(d)
-    return d.select(key, *cols)
-
-
-def multiple_imputation(df: DataFrame, cols: list[str], key: str = "row_id", m: int = 3, cycles: int = 2) -> DataFrame:
-    """MD13: m imputed tables, told apart by ``imputation``."""
-    out = None
-    for i in range(m):
-        one = impute(df, cols, key, cycles, salt=str(i)).withColumn("imputation", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def pool(estimates: DataFrame, estimate: str = "estimate", variance: str = "variance") -> DataFrame:
     """MD14: Rubin's rules over a row an imputation: mean, within and between variance and the total."""
     g = estimates.agg(F.count(F.lit(1)).alias("m"), F.avg(estimate).alias("q"), F.avg(variance).alias("w"), F.coalesce(F.var_samp(estimate), F.lit(0.0)).alias("b"))

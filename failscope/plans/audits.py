@@ -18,6 +18,7 @@ from ..operators import fairness as fa
 from ..operators import folds as fo
 from ..operators import governance as gv
 from ..operators import graphs as gr
+from ..operators import imputation as im
 from ..operators import leakage as lk
 from ..operators import missing as md
 from ..operators import models as bm
@@ -366,8 +367,8 @@ _add("md8_association_tests", "gaps", lambda d: md.association_tests(d, ["acctba
     select '{c}' feature, 'seg' other, 'chi2' test, {r('sum((a-ea)*(a-ea)/ea+(b-eb)*(b-eb)/eb)')} statistic, count(*)-1e0 df from (select a, b, (a+b)*ta/(ta+tb) ea, (a+b)*tb/(ta+tb) eb from (select *, sum(a) over () ta, sum(b) over () tb from (select seg, cast(count(*) filter ({c} is null) as double) a, cast(count(*) filter ({c} is not null) as double) b from {{v}} group by 1)))
     union all select '{c}', 'y', 't', {r('(ma-mb)/sqrt(va/na+vb/nb)')}, round((va/na+vb/nb)*(va/na+vb/nb)/(va/na*va/na/(na-1)+vb/nb*vb/nb/(nb-1)),4) from (select count(y) filter ({c} is null) na, avg(y) filter ({c} is null) ma, var_samp(y) filter ({c} is null) va, count(y) filter ({c} is not null) nb, avg(y) filter ({c} is not null) mb, var_samp(y) filter ({c} is not null) vb from {{v}})""" for c in ("acctbal", "nation")))
 _add("md11_pattern_clusters", "gaps", lambda d: md.pattern_clusters(d, GAPS))
-_add("md12_impute", "gaps", lambda d: md.impute(d, ["acctbal", "nation", "balance"], cycles=1))
-_add("md14_pooled", "gaps", lambda d: md.pool(md.multiple_imputation(d, ["acctbal", "nation"], m=2, cycles=1).groupBy("imputation").agg(F.avg("acctbal").alias("estimate"), (F.var_samp("acctbal") / F.count("acctbal")).alias("variance"))))
+_add("md12_impute", "gaps", lambda d: im.impute(d.withColumn("part", F.when(F.col("row_id") % 7 > 0, F.col("seg"))), ["acctbal", "nation", "balance", "part"]))
+_add("md14_pooled", "gaps", lambda d: md.pool(im.impute_many(d, ["acctbal", "nation"]).groupBy("imputation").agg(F.avg("acctbal").alias("estimate"), (F.var_samp("acctbal") / F.count("acctbal")).alias("variance"))))
 _add("md15_audit", "gaps", lambda d: md.audit(md.missing_profile(d, GAPS, "y")), "with p as (select round(rate,6) rate, case when rate=0 then 'NONE' when gap>0.1 then 'MNAR' when gap>0.05 then 'MAR' else 'MCAR' end m from (" + " union all ".join(_M(c) for c in GAPS) + f"""))
     select {r('max(rate)')} max_rate, {r('avg(rate)')} cell_rate, count(*) filter (m='MNAR') mnar, case when max(rate)>0.2 or count(*) filter (m='MNAR')>0 then 'HIGH' when max(rate)>0.05 then 'MEDIUM' else 'LOW' end severity, case when avg(rate)>0.3 then 'HIGH' when avg(rate)>0.1 then 'MEDIUM' else 'LOW' end cell_severity from p""")
 

@@ -22,6 +22,7 @@ from failscope.operators import evaluation as ev
 from failscope.operators import fairness as fa
 from failscope.operators import governance as gv
 from failscope.operators import graphs as gr
+from failscope.operators import imputation as im
 from failscope.operators import missing as md
 from failscope.operators import models as bm
 from failscope.operators import prep as pr
@@ -163,7 +164,7 @@ def test_lattice_search_finds_a_planted_slice(spark):
 def test_imputation_fills_and_keeps(spark):
     rows = [(i, float(i), 2.0 * i + 1 if i % 4 else None) for i in range(200)]
     d = spark.createDataFrame(rows, "row_id int, a double, b double")
-    got = {r.row_id: r for r in md.impute(d, ["a", "b"], cycles=2).collect()}
+    got = {r.row_id: r for r in im.impute(d, ["a", "b"], cycles=2).collect()}
     assert all(got[i].b == b for i, _, b in rows if b is not None)
     assert max(abs(got[i].b - (2.0 * i + 1)) for i, _, b in rows if b is None) < 1.0
     assert md.little_test(d, ["a", "b"]).first().df == 1
