@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import corr, r6
+from ..functions.core import corr, r6, valid, written
 from .models import assemble
 
 
@@ -148,6 +148,67 @@ def lime(model, df: DataFrame, features: list[str], output: Column, key: str = "
     return _solved(p, key, features, ridge).withColumn("value", r6("value"))
 
 
+def lime_local(model, df: DataFrame, features: list[str], output: Column, key: str = "row_id", samples: int = 500, k: int = 5, kernel: str = "exponential",
+               width: float | None = None, background: int = 1000, seed: int = 0, ridge: float = 0.01) -> DataFrame:
+    """XP8 over present and absent features: (key, rank, feature, value, intercept, r2).
+
+    A sample keeps a drawn number of a row's features and takes the others from a background row, one of at most
+    ``background`` rows of least hash (a documented bound). Samples weigh by nearness on standardised features: exponential in
+    the squared distance (width 0.75 sqrt(M)), or in the squared cosine distance (width 0.25). A sparse linear model of
+    presence is grown feature by feature, each time by the one that leaves the least weighted error, up to ``k``; r2 is its
+    weighted fit. All draws are hashes, so a rerun is equal. Rows with a null or NaN feature are left out.
+    """
+    m = len(features)
+    rows = valid(df, *features).select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    pool = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(background)
+    pool = written(pool.select((F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1).alias("_at"), *[F.col(f).alias(f"_b_{f}") for f in features]))  # background rows
+    held = pool.count()
+    scale = rows.agg(*[g(f).alias(f"_{n}_{f}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_samp))])
+    d = rows.crossJoin(F.broadcast(scale)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    u = lambda name: (F.pmod(F.xxhash64(F.col(key), "s", F.lit(f"{name}/{seed}")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    d = d.withColumn("_at", F.floor(u("row") * max(1, held)).cast("int")).withColumn("_on", 1 + F.floor(u("on") * m)).withColumns({f"_u_{f}": u(f"f{f}") for f in features})
+    d = d.join(F.broadcast(pool), "_at")
+    rank = {f: sum(((F.col(f"_u_{g}") < F.col(f"_u_{f}")).cast("int") for g in features), F.lit(0)) for f in features}
+    d = d.withColumns({f"_k_{f}": rank[f] < F.col("_on") for f in features})
+    real = {f: F.when(F.col(f"_k_{f}"), F.col(f)).otherwise(F.col(f"_b_{f}")) for f in features}
+    unit = lambda v, f: F.coalesce(F.try_divide(v - F.col(f"_m_{f}"), F.col(f"_s_{f}")), F.lit(0.0))
+    x, z = [unit(F.col(f), f) for f in features], [unit(real[f], f) for f in features]
+    add = lambda parts: sum(parts[1:], parts[0])
+    if kernel == "exponential":
+        w = F.exp(-add([(p - q) * (p - q) for p, q in zip(x, z)]) / float(width or 0.75 * math.sqrt(m)) ** 2)
+    else:
+        cosine = F.coalesce(F.try_divide(add([p * q for p, q in zip(x, z)]), F.sqrt(add([p * p for p in x])) * F.sqrt(add([q * q for q in z]))), F.lit(0.0))
+        w = F.exp(-(1 - cosine) * (1 - cosine) / float(width or 0.25) ** 2)
+    d = d.select(key, w.alias("w"), F.array(F.lit(1.0), *[F.col(f"_k_{f}").cast("double") for f in features]).alias("z"), *[real[f].alias(f) for f in features])
+    p = model.transform(assemble(d, features)).select(key, "w", "z", output.cast("double").alias("out"))
+    pairs = [(i, j) for i in range(m + 1) for j in range(i, m + 1)]
+    g = p.groupBy(key).agg(F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("z")[j]) for i, j in pairs]).alias("a"), F.array(*[F.sum(F.col("w") * F.col("z")[i] * F.col("out")) for i in range(m + 1)]).alias("b"), F.sum(F.col("w") * F.col("out") * F.col("out")).alias("c"))
+
+    def grow(batches):
+        for part in batches:
+            for at, a, b, c in zip(part[key], part["a"], part["b"], part["c"]):
+                full, b = np.zeros((m + 1, m + 1)), np.array(b, float)
+                for (i, j), v in zip(pairs, a):
+                    full[i, j] = full[j, i] = v
+                chosen, beta, error = [], b[:1] / max(full[0, 0], 1e-300), 0.0
+                for _ in range(min(k, m)):
+                    tried = []
+                    for j in (j for j in range(1, m + 1) if j not in chosen):
+                        own = [0, *chosen, j]
+                        mat = full[np.ix_(own, own)]
+                        x = np.linalg.pinv(mat + ridge * np.diag([0.0, *np.ones(len(own) - 1)])) @ b[own]
+                        tried.append((c - 2 * x @ b[own] + x @ mat @ x, j, x))
+                    error, j, beta = min(tried, key=lambda t: (round(t[0], 12), t[1]))
+                    chosen.append(j)
+                spread = c - b[0] * b[0] / max(full[0, 0], 1e-300)
+                r2 = 1 - error / spread if spread > 1e-12 else 0.0
+                yield pd.DataFrame({key: [at] * len(chosen), "feature": [features[j - 1] for j in chosen], "value": beta[1:], "intercept": float(beta[0]), "r2": float(r2)})
+
+    out = g.mapInPandas(grow, f"{key} {rows.schema[key].dataType.simpleString()}, feature string, value double, intercept double, r2 double")
+    order = Window.partitionBy(key).orderBy(F.desc(F.abs("value")), "feature")
+    return out.select(key, F.row_number().over(order).alias("rank"), "feature", r6("value").alias("value"), r6("intercept").alias("intercept"), F.round("r2", 4).alias("r2"))
+
+
 def lime_stability(model, df: DataFrame, features: list[str], output: Column, key: str = "row_id", seeds: int = 3, samples: int = 50) -> DataFrame:
     """XP9: mean, deviation and coefficient of variation of local attributions over seeds; stable under 0.05."""
     out = None

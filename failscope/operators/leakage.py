@@ -114,6 +114,7 @@ def window_audit(df: DataFrame, value: str, given: str, by: str, ts: str, days:
 
 def encoding_audit(df: DataFrame, category: str, given: str, target: str, role: str = "role") -> DataFrame:
     """LK9: rows whose given target encoding equals their category's mean over training rows, or that over all rows instead."""
+    df = df.select(category, given, target, role)
     g = df.groupBy(category).agg(F.avg(F.when(F.col(role) == "train", F.col(target).cast("double"))).alias("_t"), F.avg(F.col(target).cast("double")).alias("_a"))
     near = lambda a: F.coalesce(F.abs(F.col(given) - F.col(a)) < 1e-9, F.lit(False))
     d = df.join(g, category, "left")

@@ -225,7 +225,13 @@ _add("fa10_audit", "scored2", lambda d: fa.audit(d, ["grp", "segment"]), f"""
     t as (select axis, {r('max(sr)-min(sr)')} dp_gap, {r('greatest(max(tpr)-min(tpr),max(fpr)-min(fpr))')} eo_gap, {r('min(sr)/max(sr)')} di_ratio, cast(sum(case when n<30 then 1 else 0 end) as bigint) small_groups from r group by 1)
     select t.axis, dp_gap, eo_gap, di_ratio, case when dp_gap<=0.05 then 'LOW' when dp_gap<=0.1 then 'MEDIUM' when dp_gap<=0.2 then 'HIGH' else 'CRITICAL' end dp_severity, case when eo_gap<=0.05 then 'LOW' when eo_gap<=0.1 then 'MEDIUM' when eo_gap<=0.2 then 'HIGH' else 'CRITICAL' end eo_severity,
     case when di_ratio>=0.95 then 'LOW' when di_ratio>=0.9 then 'MEDIUM' when di_ratio>=0.8 then 'HIGH' else 'CRITICAL' end di_severity, worst_group, small_groups, (select axis from t order by greatest(dp_gap,eo_gap) desc, axis desc limit 1) worst_axis from t join w on w.axis=t.axis""")
-_add("fa12_recommendations", "scored2", lambda d: fa.recommendations(fa.report(d.withColumn("y_pred", F.when(F.col("grp") == "1-URGENT", 1).otherwise(F.col("y_pred"))))))
+_URGENT = "(select row_id, custkey, y_true, y_prob, grp, ts, segment, y_pred2, case when grp='1-URGENT' then 1 else y_pred end y_pred from {v})"
+_add("fa12_recommendations", "scored2", lambda d: fa.recommendations(fa.report(d.withColumn("y_pred", F.when(F.col("grp") == "1-URGENT", 1).otherwise(F.col("y_pred"))))), f"""
+    with g as (select {r('dp')} dp, {r('greatest(tp,fp)')} eo, {r('tp')} tp, {r('pp')} pp, {r('di')} di, b from ({FAIR.replace('{v}', _URGENT)})), k as (select *, (dp>=0.1)::int+(eo>=0.1)::int+(tp>=0.1)::int+(pp>=0.1)::int+(di<0.8)::int violations from g),
+    s as (select *, case violations when 0 then 'OK' when 1 then 'MEDIUM' when 2 then 'HIGH' else 'CRITICAL' end status from k),
+    t as (select criterion, value, status, miss from (select 'demographic_parity' criterion, dp as value, dp-0.1 miss, dp>=0.1 bad, status from s union all select 'equalized_odds', eo, eo-0.1, eo>=0.1, status from s union all select 'equal_opportunity', tp, tp-0.1, tp>=0.1, status from s
+        union all select 'predictive_parity', pp, pp-0.1, pp>=0.1, status from s union all select 'disparate_impact', di, 0.8-di, di<0.8, status from s) where bad)
+    select cast(row_number() over (order by miss desc, criterion) as integer) as rank, criterion, value, status, case criterion {' '.join(f"when '{k}' then '{v}'" for k, v in fa.ADVICE.items())} end advice from t""")
 _add("fa7_individual", "scored", lambda d: fa.individual(d.withColumn("day", F.unix_timestamp("ts")), ["custkey", "day"], "y_prob", "row_id"), """
     with s as (select row_id k, y_prob y, cast(custkey as double) a, cast(epoch(ts) as double) b from {v}), e as (select min(a) la, max(a) ha, min(b) lb, max(b) hb from s), x as (select k, y, (a-la)/(ha-la) a, (b-lb)/(hb-lb) b from s, e),
     m as (select p.k, p.y, min_by(q.y, {'d': (p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b), 'k': q.k}, 5) near from x p join x q on p.k <> q.k group by 1, 2)
@@ -251,7 +257,7 @@ _add("dr13_alerts", "cohorts", lambda d: dr.alerts(dr.per_feature(d)), f"with t
 _add("dr14_by_method", "cohorts", lambda d: dr.by_method(d, "ks"), f"with t as (select feature, {r('d')} drift from ({KS})) select feature, drift, drift>0.1 alert, cast(row_number() over (order by drift desc, feature) as integer) as rank from t")
 _add("dr7_domain_classifier", "wide", lambda d: bm.domain_classifier(d, ["v", "h", "u"]))
 _add("dr8_pca_drift", "wide", lambda d: bm.pca_drift(d, ["v", "h", "u"]))
-_add("dr9_kernel_drift", "wide", lambda d: bm.kernel_drift(d, ["v", "h", "u"], terms=16, permutations=20))
+_add("dr9_kernel_drift", "wide", lambda d: bm.kernel_drift(d, ["v", "h", "u"]))
 _add("dr10_unsupervised", "wide", lambda d: bm.unsupervised_drift(d, ["v", "h", "u"]))
 CAUSES = f"""with g as (select feature, avg(case when cohort='reference' then value end) ar, avg(case when cohort='current' then value end) ac, quantile_cont(case when cohort='reference' then value end,0.25) q1, quantile_cont(case when cohort='reference' then value end,0.75) q3,
     avg(case when value is null then 1e0 else 0e0 end) filter (cohort='reference') mr, avg(case when value is null then 1e0 else 0e0 end) filter (cohort='current') mc from {{raw}} group by 1),
@@ -329,7 +335,18 @@ _put("lk7_future_features", lambda s, d: lk.future_features(table(s, d, "lineite
     select 'l_shipdate' feature, count(*) filter (cast(l_shipdate as timestamp) > cast(o_orderdate as timestamp)) late, {r(f"count(*) filter (cast(l_shipdate as timestamp) > cast(o_orderdate as timestamp))/{D('count(*)')}")} share from lineitem join orders on l_orderkey=o_orderkey""")
 _add("lk8_temporal_report", "study", lambda d: lk.temporal_report(d, ["ts"], "ts"), """
     select 'split order' "check", count(*) filter (role='test' and ts<=(select max(ts) from {v} where role='train')) count, count(*) filter (role='test' and ts<=(select max(ts) from {v} where role='train'))>0 leaks from {v} union all select 'future ts', 0, false""")
-_add("lk9_encoding_audit", "study", lambda d: lk.encoding_audit(d.join(d.groupBy("stratum").agg(F.avg("y").alias("enc")), "stratum"), "stratum", "enc", "y"), "select count(*) n, 0 train_only, count(*) all_rows from {v}")
+
+
+def _encoded(d):
+    """Even rows with the training encoding; of the others each third with a wrong one, the rest with that of all rows."""
+    g = d.groupBy("stratum").agg(F.avg(F.when(F.col("role") == "train", F.col("y"))).alias("_a"), F.avg("y").alias("_b"))
+    enc = F.when(F.col("row_id") % 2 == 0, F.col("_a")).when(F.col("row_id") % 3 == 0, F.col("_a") + 1.0).otherwise(F.col("_b"))
+    return lk.encoding_audit(d.join(g, "stratum").withColumn("enc", enc), "stratum", "enc", "y")
+
+
+_add("lk9_encoding_audit", "study", _encoded, """
+    with g as (select stratum, avg(y) filter (role='train') a, avg(y) b from {v} group by 1), e as (select a, b, case when row_id % 2 = 0 then a when row_id % 3 = 0 then a+1e0 else b end enc from {v} join g using (stratum))
+    select count(*) n, count(*) filter (abs(enc-a)<1e-9) train_only, count(*) filter (abs(enc-b)<1e-9 and not abs(enc-a)<1e-9) all_rows from e""")
 
 
 def _windows(s, d):
@@ -417,7 +434,7 @@ _add("bm4_tree", "study", lambda d: ev.rates(ev.binary_counts(_model(d).transfor
 _add("bm5_forest", "study", lambda d: xp.impurity_importance(d.sparkSession, bm.tree(d, ["x1", "x2", "y"], "t", "forest", trees=5), ["x1", "x2", "y"]))
 _add("bm6_elbow", "study", lambda d: bm.elbow(d, ["x1", "x2"], [2, 3]))
 _add("bm8_pca", "study", lambda d: bm.pca(d, ["x1", "x2", "y"], 2).select("component", F.round("explained", 4).alias("explained"), "reconstruction_error"))
-_add("bm9_out_of_fold", "study", lambda d: bm.out_of_fold(d, ["x1", "x2", "y"], "t", k=2).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("probs")[1]), 3).alias("mean_p")))
+_add("bm9_out_of_fold", "study", lambda d: bm.out_of_fold(d, ["x1", "x2", "y"], "t", k=5).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("probs")[1]), 3).alias("mean_p")))
 _add("bm10_sensitive_study", "scored2", lambda d: bm.sensitive_study(d.withColumn("urgent", (F.col("grp") == "1-URGENT").cast("double")).withColumn("day", F.unix_timestamp("ts").cast("double")), ["y_prob", "day"], "urgent", "y_true", "grp"))
 _add("xp1_permutation", "study", _permuted)
 _add("xp2_drop_column", "study", lambda d: xp.drop_importance(d.where("role='train'"), d.where("role='test'"), ["x1", "x2", "y"], lambda t, cols: bm.tree(t, cols, "t", depth=4), (F.col("t") == F.col("prediction")).cast("double")))
@@ -430,6 +447,7 @@ _add("xp7_shap_summary", "study", lambda d: xp.shap_summary(_shap(d), d, ["t", "
 _add("xp7_waterfall", "study", lambda d: xp.waterfall(_shap(d), 0.0))
 _lime = lambda d, **k: xp.lime(_fit(d), d.select("row_id", "t", "x1", "x2"), ["t", "x1", "x2"], F.col("prediction"), samples=12, **k)
 _add("xp8_lime", "study", lambda d: _lime(d))
+_add("xp8_lime_local", "study", lambda d: xp.lime_local(_fit(d), d.select("row_id", "t", "x1", "x2"), ["t", "x1", "x2"], F.col("prediction"), samples=100, k=2))
 _add("xp9_lime_stability", "study", lambda d: xp.lime_stability(_fit(d), d.select("row_id", "t", "x1", "x2"), ["t", "x1", "x2"], F.col("prediction"), seeds=2, samples=8).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if("stable").alias("stable")))
 _add("xp10_agreement", "study", lambda d: xp.agreement(_shap(d), _lime(d)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n")))
 _add("xp11_explain", "study", lambda d: xp.explain(_shap(d)))
