@@ -211,3 +211,17 @@ def test_shingle_sets_that_are_kept_ready_are_bounded():
         t = " ".join(str(7 * n + i) for n in range(5000))
         assert lines.similar(t, t + "x", 0.8)
         assert sum(len(t) for t, _ in lines._READY) <= lines.HELD_CHARS
+
+
+def test_lattices_find_pairs_at_the_threshold():
+    """Of pairs at a cosine just over the threshold at most one in a few hundred shares no cell in any lattice."""
+    rng = np.random.default_rng(9)
+    for dim in (16, 64, 128):
+        x, y = rng.normal(size=(2, 3000, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y -= (x * y).sum(axis=1)[:, None] * x
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        z = 0.9301 * x + np.sqrt(1 - 0.9301**2) * y
+        a, b = lattice.cells(x), lattice.cells(z)
+        met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1)
+        assert (~met).sum() <= 9
