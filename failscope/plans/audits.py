@@ -28,6 +28,7 @@ from ..operators import resampling as rs
 from ..operators import slices as sl
 from ..operators import splits as vs
 from ..operators import stats as st
+from ..operators import treeshap as ts
 from ..sources import files as io
 from ..sources.views import draw, load, table, text
 from ..streaming import monitors as mon
@@ -442,6 +443,7 @@ _add("xp4_compare_rankings", "study", lambda d: xp.compare_rankings({"impurity":
 _fit = lambda d: bm.linear(d, ["t", "x1", "x2"], "y")
 _shap = lambda d: xp.shapley(_fit(d), d.select("row_id", "t", "x1", "x2"), ["t", "x1", "x2"], F.col("prediction"))
 _add("xp5_shapley", "study", _shap)
+_add("xp5_tree_shap", "study", lambda d: ts.tree_shap(bm.tree(d, ["x1", "x2", "y"], "t", "forest", trees=20), d, ["x1", "x2", "y"]))
 _add("xp6_kernel_shap", "study", lambda d: xp.kernel_shap(_fit(d), d.select("row_id", "t", "x1", "x2"), ["t", "x1", "x2"], F.col("prediction"), samples=6))
 _add("xp7_shap_summary", "study", lambda d: xp.shap_summary(_shap(d), d, ["t", "x1", "x2"]))
 _add("xp7_waterfall", "study", lambda d: xp.waterfall(_shap(d), 0.0))
