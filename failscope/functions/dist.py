@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,13 +81,65 @@ def t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-def _column(f, *columns: Column) -> Column:
-    """f over the columns of a small table; null where any is null."""
+def beta_inc_all(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """:func:`beta_inc` of arrays, whose fractions go on together until all have settled."""
+    x = np.clip(x, 0.0, 1.0)
+    swap = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    inside = (x > 0) & (x < 1)
+    y = np.where(inside, x, 0.5)
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(y) + b * np.log1p(-y)) / a
+    c, d, out = np.ones_like(y), np.zeros_like(y), np.ones_like(y)
+    for k in range(400):
+        m = k // 2
+        if k == 0:
+            top = np.ones_like(y)
+        elif k % 2 == 0:
+            top = m * (b - m) * y / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            top = -(a + m) * (a + b + m) * y / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 + top * d
+        d = 1 / np.where(d == 0, 1e-300, d)
+        c = 1 + top / np.where(c == 0, 1e-300, c)
+        out = out * c * d
+        if k > 0 and (np.abs(1 - c * d) < 1e-14).all():
+            break
+    value = np.where(inside, front * (out - 1), (x >= 1).astype(float))
+    return np.where(swap, 1 - value, value)
+
+
+def t_tail_all(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """:func:`t_tail` of arrays."""
+    tail = 0.5 * beta_inc_all(df / 2, np.full_like(df, 0.5), df / (df + t * t))
+    return np.where(t >= 0, tail, 1 - tail)
 
-    def run(*parts: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(x) for x in row) else float(f(*map(float, row))) for row in zip(*parts)], dtype="float64")
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(*columns)
+def _over(f, *columns: Column) -> Column:
+    """f of whole arrays of one, two or three columns; null where any is null."""
+
+    def run(*parts):
+        x = [p.to_numpy(dtype="float64", na_value=np.nan) for p in parts]
+        fine = ~np.isnan(np.stack(x)).any(axis=0)
+        out = np.full(len(fine), np.nan)
+        out[fine] = f(*[c[fine] for c in x])
+        return pd.Series(out).astype(object).where(fine, None)
+
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return run(a, b, c)
+
+    return F.pandas_udf((one, two, three)[len(columns) - 1], "double")(*columns)
+
+
+def _column(f, *columns: Column) -> Column:
+    """f over the columns of a small table, number by number."""
+    return _over(lambda *x: np.array([f(*map(float, row)) for row in zip(*x)], float), *columns)
 
 
 def normal_p(z: Column, alternative: str = "two-sided") -> Column:
@@ -96,11 +149,11 @@ def normal_p(z: Column, alternative: str = "two-sided") -> Column:
 
 def t_p(t: Column, df: Column) -> Column:
     """Two-sided."""
-    return _column(lambda x, n: 2 * t_tail(abs(x), n), t, df)
+    return _over(lambda x, n: 2 * t_tail_all(np.abs(x), n), t, df)
 
 
 def t_p_greater(t: Column, df: Column) -> Column:
-    return _column(t_tail, t, df)
+    return _over(t_tail_all, t, df)
 
 
 def t_critical(df: Column, level: float = 0.95) -> Column:

@@ -8,6 +8,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,18 @@ def test_imputation_fills_and_keeps(spark):
     assert md.little_test(d, ["a", "b"]).first().df == 1
 
 
+def test_tails_of_arrays_equal_those_of_numbers(spark):
+    rng = np.random.default_rng(1)
+    t, df = rng.normal(scale=4, size=400), rng.choice([0.7, 1, 2, 5.5, 30, 1e4, 1e6], 400)
+    t[:3] = 0.0, 1e9, -1e9
+    assert np.allclose(dist.t_tail_all(t, df), [dist.t_tail(a, b) for a, b in zip(t, df)], rtol=1e-8, atol=1e-300)
+    a, b, x = rng.uniform(0.2, 50, 300), rng.uniform(0.2, 50, 300), rng.uniform(-0.1, 1.1, 300)
+    assert np.allclose(dist.beta_inc_all(a, b, x), [dist.beta_inc(*v) for v in zip(a, b, x)], rtol=1e-8, atol=1e-300)
+    rows = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (2.0, None)], "t double, df double")
+    got = [r.p for r in rows.select(dist.t_p_greater(F.col("t"), F.col("df")).alias("p")).collect()]
+    assert abs(got[0] - dist.t_tail(1.0, 5.0)) < 1e-12 and got[1:] == [None, None]
+
+
 def test_gates_and_failing_modules(spark):
     found = spark.createDataFrame([("m", "f", "x", 1.0, "HIGH"), ("m", "g", "x", 1.0, "LOW")], gv.FINDING)
     gv.gate(found, "HIGH")
