@@ -27,3 +27,16 @@ def test_two_planted_features_of_five(spark, kernel):
     assert len(far) >= 3 and np.mean(found) >= 0.8, (found, far)
     assert np.mean([r[5] for r in got if r[0] in far]) > 0.3 and all(r[5] <= 1 for r in got)
     assert xp.lime_local(model, some.limit(0), NAMES, F.col("prediction")).count() == 0
+
+
+def test_sums_of_samples_are_made_where_the_row_is(spark):
+    df = spark.range(40).selectExpr("id row_id", "cast(id as double) a", "cast(id * id % 7 as double) b", "cast(3 * id + 2 as double) y")
+    model = LinearRegression(labelCol="y").fit(bm.assemble(df, ["a", "b"]))
+    some = df.unionByName(df.where("row_id = 0").selectExpr("99L row_id", "cast(null as double) a", "b", "y"))
+    for made, rows in ((xp.kernel_shap(model, df, ["a", "b"], F.col("prediction")), 80), (xp.lime(model, some, ["a", "b"], F.col("prediction")), 80), (xp.lime_local(model, some, ["a", "b"], F.col("prediction"), samples=20), 80)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        sums = plan[plan.index("MapInPandas") : plan.index("UDF(")]
+        assert "Exchange" not in sums, plan
+        assert made.count() == rows
+    got = {(r[0], r[1]): r[2] for r in xp.kernel_shap(model, df, ["a", "b"], F.col("prediction")).collect()}
+    assert all(abs(got[i, "a"] - 3 * (i - 19.5)) < 1e-3 and abs(got[i, "b"]) < 1e-3 for i in range(40))
