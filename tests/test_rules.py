@@ -287,3 +287,13 @@ def test_the_rest_works_without_the_training_data_part():
     for _ in range(2):  # with the pipeline's file and without it
         subprocess.run([sys.executable, "-c", code], cwd=f"{copy}/r", check=True, timeout=120, env=os.environ | {"PYTHONPATH": f"{copy}/r"})
         Path(f"{copy}/r/corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_calibrators_count_scores_once(spark, monkeypatch):
+    from failscope.operators import calibrators as cb
+
+    df = spark.createDataFrame([(i % 3 == 0, (i % 10) / 10 + 0.01) for i in range(300)], "b boolean, y_prob double").selectExpr("cast(b as int) y_true", "y_prob")
+    seen = []
+    monkeypatch.setattr(cb, "written", lambda d, own=cb.written: seen.append(own(d)) or seen[-1])
+    cb.auto_calibrate(df, df).collect()
+    assert [d.count() for d in seen] == [20]
