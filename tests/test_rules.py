@@ -297,3 +297,13 @@ def test_calibrators_count_scores_once(spark, monkeypatch):
     monkeypatch.setattr(cb, "written", lambda d, own=cb.written: seen.append(own(d)) or seen[-1])
     cb.auto_calibrate(df, df).collect()
     assert [d.count() for d in seen] == [20]
+
+
+def test_a_draw_is_one_digest_of_the_same_value(spark):
+    from failscope.sources import views
+
+    mine = views._DRAW.sub(views._one_digest, views.draw("id", "a"))
+    assert mine.count("md5(") == 1
+    both = spark.range(-50, 500).selectExpr("id").unionByName(spark.sql("select cast(null as bigint) id")).selectExpr(f"{views.draw('id', 'a')} a", f"{mine} b")
+    assert both.where("not (a <=> b)").count() == 0 and dict(both.dtypes) == {"a": "double", "b": "double"}
+    assert all(views._DRAW.sub(views._one_digest, t).count("md5(") * 4 == t.count("md5(") for t in views.VIEWS.values())
