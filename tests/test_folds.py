@@ -77,3 +77,25 @@ def test_planted_flips_are_found_without_given_probabilities(spark):
     y = df.withColumn("y", F.col("a") * 3 + F.col("b") + F.when(F.col("row_id") % 100 == 7, 60).otherwise(0))
     got = {r.row_id for r in ln.residuals_out_of_fold(y, ["a", "b"], "y").where("is_issue").collect()}
     assert got == set(range(7, 900, 100))
+
+
+def test_fits_by_fold_read_their_rows_once(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    from failscope.operators import models as bm
+    from failscope.operators import splits as vs
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(400).selectExpr("id row_id", "cast(id % 7 as double) a", "cast(id % 7 > 2 as int) t").mapInPandas(count, "row_id bigint, a double, t int")
+    fit = lambda d, g=None: Pipeline(stages=[bm.VectorAssembler(inputCols=["a"], outputCol="features"), LogisticRegression(labelCol="t", maxIter=3)]).fit(d)
+    hit = (F.col("t") == F.col("prediction")).cast("double")
+    for made in (lambda: vs.cross_validate(df, fit, hit, k=3), lambda: vs.nested(df, fit, [{"r": 0}], hit, outer=3, inner=2), lambda: bm.out_of_fold(df, ["a"], "t", k=2)):
+        before = seen.value
+        assert made().count() and seen.value - before == 400
