@@ -64,3 +64,29 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert gr.cycles(chain).count() == 0
     closed = chain.unionByName(spark.createDataFrame([(n, 50), (10, n + 5)], "src bigint, dst bigint"))
     assert gr.cycles(closed).agg(F.count("node"), F.min("node"), F.max("node")).first() == (n - 49, 50, n)
+
+
+def test_roles_equal_plain_sets(spark):
+    from failscope.operators import causal as cs
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(60)] + [(1, 1), (None, 2), (2, None)]
+    pairs = [(a, b) for a in range(5) for b in range(4, 12)] + [(3, 3), (0, 4), (77, 1), (None, 1)]
+    up, down = {}, {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            up.setdefault(b, set()).add(a)
+            down.setdefault(a, set()).add(b)
+    want = set()
+    for x, y in pairs:
+        for n in set(range(12)) - {x, y}:
+            px, cx, py, cy = (n in side.get(end, ()) for end in (x, y) for side in (up, down))
+            role = "confounder" if px and py else "collider" if cx and cy else "mediator" if cx and py else "parent" if px else None
+            if role:
+                want.add((x, y, n, role))
+    got = [(r.x, r.y, r.node, r.role) for r in cs.roles(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(pairs, "x int, y int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # parents of y alone meet no pair: the joins' output is the answer, not each pair's 3,000 neighbours
+    hub = spark.createDataFrame([(n, 0) for n in range(100, 3100)] + [(1, 2)], "src int, dst int")
+    out = cs.roles(hub, spark.createDataFrame([(x, 0) for x in range(3, 41)], "x int, y int"))
+    assert out.collect() == [] and "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
