@@ -46,3 +46,16 @@ def test_odd_rows(spark):
     model = bm.tree(df, names, "y", depth=3)
     odd = spark.createDataFrame([(1, None, 1.0, 1.0), (2, float("nan"), 1.0, 1.0), (3, 1.0, 1.0, 1.0)], "row_id int, f0 double, f1 double, f2 double")
     assert {r.row_id for r in ts.tree_shap(model, odd, names).collect()} == {3} and ts.tree_shap(model, odd.limit(0), names).count() == 0
+
+
+def test_cells_hold_the_values_of_leaves_at_cuts_too(spark):
+    df, names = table(spark, 400, 3)
+    boxes = [t for t in ts.leaves(bm.tree(df, names, "y", "forest", trees=3))] + [[({}, 0.5)]]
+    background = np.array([0.1, -0.2, 0.0])
+    cuts = sorted({v for t in boxes for box, _ in t for ends in box.values() for v in ends if np.isfinite(v)})
+    x = np.random.default_rng(0).choice([*cuts, *(np.array(cuts) + 1e-9), -9.0, 9.0, np.inf], (500, 3))
+    made = [ts.cells(t, background) for t in boxes]
+    assert all(isinstance(m, ts.Cells) for m in made)
+    want = sum(ts.values(x, background, t) for t in boxes)
+    assert np.abs(ts.tabled(x, background, made) - want).max() < 1e-12 and np.abs(want).max() > 0.01
+    assert np.abs(ts.tabled(x, background, boxes) - want).max() < 1e-12  # without cells, from leaves
