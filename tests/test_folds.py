@@ -99,3 +99,16 @@ def test_fits_by_fold_read_their_rows_once(spark):
     for made in (lambda: vs.cross_validate(df, fit, hit, k=3), lambda: vs.nested(df, fit, [{"r": 0}], hit, outer=3, inner=2), lambda: bm.out_of_fold(df, ["a"], "t", k=2)):
         before = seen.value
         assert made().count() and seen.value - before == 400
+
+
+def test_moments_of_a_null_group_and_far_values_equal_numpy(spark):
+    import numpy as np
+    from failscope.operators.folds import moments
+
+    v = np.random.default_rng(0).normal(1e8, 1.0, (300, 2))
+    rows = [(None if i % 3 == 2 else i % 3, *map(float, x)) for i, x in enumerate(v)]
+    got = moments(spark.createDataFrame(rows, "g int, a double, b double").repartition(5), ["g"], ["a", "b"])
+    assert set(got) == {(0,), (1,), (None,)}
+    for k, own in (((0,), v[0::3]), ((1,), v[1::3]), ((None,), v[2::3])):
+        gap = own - own.mean(axis=0)
+        assert got[k].n == 100 and np.allclose(got[k].mean, own.mean(axis=0)) and np.allclose(got[k].products, gap.T @ gap, rtol=1e-6)

@@ -68,3 +68,25 @@ def test_nothing_and_many_texts(spark):
     got = im.impute(df, ["t", "one"], cycles=1)
     assert got.count() == 200 and got.where("t is null").count() == 0
     assert im.impute_many(df.limit(0), ["t", "one"]).count() == 0
+
+
+def test_class_draws_name_each_score_once(spark):
+    from pyspark.sql import functions as F
+
+    from failscope.operators import imputation as im
+
+    names = ["a", "b", "c"]
+    d = spark.range(50).select(*[F.sin(F.col("id") * (i + 1)).alias(n) for i, n in enumerate(names)], (F.col("id") / 50).alias("_u"))
+    d = d.withColumns({"_w": F.lit([[0.5, 1.0, -1.0], [2.0, 0.0, 0.3], [0.1, -0.4, 0.9], [1.0, 1.0, 1.0]]), "_b": F.array(*map(F.lit, [0.1, 0.2, -0.3, 0.0]))})
+    whole = im.draw_steps(names, 4)
+    for columns in whole:
+        d = d.withColumns(columns)
+    from failscope.operators.folds import probabilities
+
+    p = probabilities(F.col("_w"), F.col("_b"), names, 4)
+    drawn, total = F.lit(0.0), F.lit(0.0)
+    for q in p[:-1]:
+        total = total + q
+        drawn = drawn + (F.col("_u") >= total).cast("double")
+    assert d.where(F.col("_drawn") != drawn).count() == 0 and d.select("_drawn").distinct().count() > 1
+    assert max(str(c).count("exp(") for columns in whole for c in columns.values()) <= 1
