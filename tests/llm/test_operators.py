@@ -258,6 +258,25 @@ def test_the_sample_is_bounded_in_words_and_whole_documents(spark):
     assert (toxicity.fit(docs.repartition(7), labels.repartition(3)).emb == toxicity.fit(docs, labels).emb).all()
 
 
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    rows = [(i, f"q{i}", "a", None) for i in range(9000)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(9000)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)  # two shards
+    learned = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learned) > 6000 and all(model.emb[toxicity.buckets(f"q{i}")[0]].any() for i in learned)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1000)
+    some = docs.where("doc_id < 4000")
+    assert (toxicity.fit(some.repartition(7), labels.repartition(3)).emb == toxicity.fit(some, labels).emb).all()
+
+
+def test_counted_scores_give_the_thresholds_of_single_ones():
+    scored = [(i % 3, (i * 7 % 50) / 50, float(i * 7 % 50 > 30 or i % 11 == 0)) for i in range(300)]
+    counted = defaultdict(int)
+    for row in scored:
+        counted[row] += 1
+    assert toxicity.thresholds([(*row, n) for row, n in counted.items()]) == toxicity.thresholds(scored)
+
+
 def plain_pooled(m, pairs):
     """Maxima of every filter over a text by the definition, and the output."""
     e = [m.emb[a].astype(float) + m.emb[b] for a, b in pairs]
