@@ -90,3 +90,28 @@ def test_roles_equal_plain_sets(spark):
     hub = spark.createDataFrame([(n, 0) for n in range(100, 3100)] + [(1, 2)], "src int, dst int")
     out = cs.roles(hub, spark.createDataFrame([(x, 0) for x in range(3, 41)], "x int, y int"))
     assert out.collect() == [] and "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relatives_find_chains_once(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(12)] + [(30, 31), (31, 32), (32, 30)] + [(rng.randrange(20, 28), rng.randrange(28)) for _ in range(25)]
+    pairs = [(x, y) for x in (0, 5, 21, 25, 30, 31) for y in (3, 9, 22, 26, 32)]
+    after = {n: set() for n in range(33)}
+    for a, b in edges:
+        after[a].add(b)
+
+    def met(n):
+        seen, todo = set(), list(after[n])
+        while todo:
+            if (at := todo.pop()) not in seen:
+                seen.add(at)
+                todo += after[at]
+        return seen
+
+    down = {n: met(n) for n in after}
+    up = {n: {m for m in after if n in down[m]} for n in after}
+    want = {(x, y, k, n) for x, y in pairs for k, both in (("confounder", up[x] & up[y]), ("collider", down[x] & down[y]), ("mediator", down[x] & up[y])) for n in both}
+    calls, plain = [], gr.chains
+    monkeypatch.setattr(gr, "chains", lambda e: calls.append(1) or plain(e))
+    got = [tuple(r) for r in gr.relatives(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(pairs, "x int, y int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(calls) == 1
