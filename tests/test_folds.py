@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from failscope.operators import folds as fo
+from failscope.operators import models as bm
 from failscope.operators import noise as ln
 
 
@@ -112,3 +113,9 @@ def test_moments_of_a_null_group_and_far_values_equal_numpy(spark):
     for k, own in (((0,), v[0::3]), ((1,), v[1::3]), ((None,), v[2::3])):
         gap = own - own.mean(axis=0)
         assert got[k].n == 100 and np.allclose(got[k].mean, own.mean(axis=0)) and np.allclose(got[k].products, gap.T @ gap, rtol=1e-6)
+
+
+def test_elbow_keeps_the_features_alone(spark):
+    df = spark.range(200).select((F.col("id") % 2 * 100 + F.col("id") / 100).alias("a"), F.when(F.col("id") >= 0, F.raise_error(F.lit("read"))).alias("other"))
+    got = bm.elbow(df, ["a"], [2]).first()
+    assert got.k == 2 and got.inertia < 200 and got.silhouette > 0.9
