@@ -119,3 +119,11 @@ def test_elbow_keeps_the_features_alone(spark):
     df = spark.range(200).select((F.col("id") % 2 * 100 + F.col("id") / 100).alias("a"), F.when(F.col("id") >= 0, F.raise_error(F.lit("read"))).alias("other"))
     got = bm.elbow(df, ["a"], [2]).first()
     assert got.k == 2 and got.inertia < 200 and got.silhouette > 0.9
+
+
+def test_forests_of_the_domain_classifier_read_even_parts(spark, monkeypatch):
+    parts, plain = [], bm.tree
+    monkeypatch.setattr(bm, "tree", lambda d, *a, **k: parts.append(d.rdd.getNumPartitions()) or plain(d, *a, **k))
+    df = spark.range(600).coalesce(1).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, "reference").otherwise("current").alias("cohort"), (F.col("id") % 2 * 5 + F.col("id") % 7).cast("double").alias("a"))
+    got = bm.domain_classifier(df, ["a"]).first()
+    assert got.level == "CRITICAL" and list(got.top_features) == ["a"] and len(parts) == 4 and min(parts) > 1
