@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from failscope.operators import fairness as fa
 from failscope.operators import neighbours as nb
+from failscope.plans import registry
 
 
 def brute(rows, k):
@@ -60,3 +61,24 @@ def test_consistency_equals_brute_force(spark):
     want = 1 - np.mean([abs(y[a] - y[b]) for a, _, b, _ in near])
     got = fa.individual(df, ["a", "b"], "p", "k").first()
     assert abs(got.consistency - want) < 1e-6 and got.passes == (want >= 0.8)
+
+
+def test_values_of_neighbours_come_with_them(spark):
+    rows, names = rows_of(3, 400, 2), ["x0", "x1"]
+    fine = [r for r in rows if None not in r and not any(np.isnan(v) for v in r[1:])]
+    df = spark.createDataFrame([(k, float(k % 11), *x) for k, *x in fine], "k bigint, v double, x0 double, x1 double")
+    got = {r.k: r for r in nb.near_lists(df, 2, 5, 16, 9).collect()}
+    assert set(got) == {r[0] for r in fine} and all(r.v == r.k % 11 and all(n.v == n.k % 11 for n in r.near) for r in got.values())
+    assert sorted((k, i, n.k) for k, r in got.items() for i, n in enumerate(r.near, 1)) == [w[:3] for w in brute(fine, 5)]
+
+
+def test_pairs_meet_no_join_and_draws_use_all_cores(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(fa, "individual", lambda df, *a: got.append(df) or df)
+    registry.queries()["fa7_individual"](spark, "/root/testdata/sf0.001")
+    assert got[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # one file of one split
+    monkeypatch.undo()
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *map(float, rng.random(3))) for i in range(300)], "k bigint, a double, b double, p double")
+    plan = fa.individual(df, ["a", "b"], "p", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "tiles" not in line and "leaf" not in line]
